@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Words of the contracts: runs of anything but the six ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
+#: With it, a finished query's shuffle files go at once and not when the driver happens to collect garbage.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,16 +25,23 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         path = os.path.join(tempfile.gettempdir(), f"wardline-{spark.sparkContext.applicationId}")
         spark.conf.set("spark.checkpoint.dir", path)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
     return path
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder; later steps read those files, whichever executors are gone."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written as a table in the shared folder; later steps read those files, whichever executors are gone."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    with setting(spark, CLEAN_UP, "true"):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -29,6 +29,9 @@ TOTAL = 1.5
 MOST = 2
 #: Passes over a source's blocks in which gaps are filled.
 ROUNDS = 4
+#: Words of an output shard, and the fewest and most shards.
+SHARD_WORDS = 500_000
+SHARDS = (16, 8192)
 SEED = 20_240_607
 #: Sources at most: their quotas, a number each, are split in the driver.
 MOST_SOURCES = 1_000_000
@@ -94,8 +97,9 @@ def _same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
-def allocate(docs: DataFrame, shards: int = 16, seed: int = SEED) -> DataFrame:
+def allocate(docs: DataFrame, shards: int | None = None, seed: int = SEED) -> tuple[DataFrame, int]:
     """``docs`` with size, source_size, target and ``shards``: the output shard of each copy that the mix takes of it.
+    Also, how many shards there are: by default one for each ``SHARD_WORDS`` of the mix, within ``SHARDS``.
 
     The columns of these names and ``_source``, ``_size`` and ``_block`` are replaced; all others are kept.
     """
@@ -114,9 +118,10 @@ def allocate(docs: DataFrame, shards: int = 16, seed: int = SEED) -> DataFrame:
         so_far = F.sum(F.when(F.col("_fits"), F.col("words")).otherwise(0)).over(whole.orderBy("_place"))
         picked = picked.withColumn("_gap", gap).withColumn("_fits", fits).withColumn("_more", F.col("_more") | (F.col("_fits") & (so_far <= F.col("_gap"))))
     drawn = cut(picked.withColumn("_copies", F.col("_passes") + F.col("_more").cast("int")).drop("_rest", "_more", "_gap", "_fits", "_passes"))
-    quotas = drawn.groupBy("_source").agg(F.sum("_copies").cast("long").alias("q")).orderBy(F.col("_source").asc_nulls_last()).limit(MOST_SOURCES + 1).collect()
+    quotas = drawn.groupBy("_source").agg(F.sum("_copies").cast("long").alias("q"), F.first("target").alias("target")).orderBy(F.col("_source").asc_nulls_last()).limit(MOST_SOURCES + 1).collect()
     if len(quotas) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
+    shards = shards or int(min(max(SHARDS[0], sum(r.target for r in quotas) // SHARD_WORDS), SHARDS[1]))
     each = np.cumsum(split_quotas(np.array([r.q for r in quotas], np.int64), shards, seed), 0).T
     bounds = docs.sparkSession.createDataFrame([(r._source, x.tolist()) for r, x in zip(quotas, each, strict=True)], "_source string, _bounds array<long>")
     # Places in a source's order of draws: the blocks of the first pass, then those of the second.
@@ -129,21 +134,23 @@ def allocate(docs: DataFrame, shards: int = 16, seed: int = SEED) -> DataFrame:
         drawn.withColumn("_draws", F.array(*[before[k] + F.sum(taken[k]).over(order) - 1 for k in range(MOST)])).alias("d").join(bounds.alias("q"), _same(F.col("d._source"), F.col("q._source")))
         .select(F.col("d._source").alias("_s"), F.col("_block").alias("_b"), "source_size", "target", F.when(F.col("_copies") > 0, shard).otherwise(F.array().cast("array<int>")).alias("shards"))
     )
-    return (
+    out = (
         sized.join(dealt, _same(F.col("_source"), F.col("_s")) & (F.col("_block") == F.col("_b")))
         .select(*docs.columns, F.col("_size").alias("size"), "source_size", "target", "shards")
     )
+    return out, shards
 
 
-def mix(docs: DataFrame, shards: int = 16, seed: int = SEED) -> DataFrame:
-    """The mix: the columns of ``docs``, once for each copy taken, dealt out to ``shards`` partitions and shuffled there."""
-    rows = allocate(docs, shards, seed).select(*docs.columns, F.posexplode("shards").alias("_copy", "_shard"))
+def mix(docs: DataFrame, shards: int | None = None, seed: int = SEED) -> DataFrame:
+    """The mix: the columns of ``docs``, once for each copy taken, each output shard whole in a partition and shuffled there."""
+    dealt, n = allocate(docs, shards, seed)
+    rows = dealt.select(*docs.columns, F.posexplode("shards").alias("_copy", "_shard"))
     return (
         rows.withColumn("_order", F.xxhash64(F.lit(seed + 2), F.col("doc_id"), F.col("_copy")))
-        .repartitionByRange(shards, "_shard", "_order").sortWithinPartitions("_shard", "_order").select(*docs.columns)
+        .repartition(n, "_shard").sortWithinPartitions("_shard", "_order").select(*docs.columns)
     )
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    out = allocate(docs.select("doc_id", "text", "source"))
+    out, _ = allocate(docs.select("doc_id", "text", "source"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).cast("long").alias("taken"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, mixing, resample, url_lists
+from . import bpe, html_template, katz, media, mixing, near_dup, resample, topk, url_lists
 from .common import table
 
 
@@ -15,6 +15,14 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_template.digest(table(spark, sf_dir, "pages"))
+
+
+def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(table(spark, sf_dir, "documents"), width=4)
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -23,10 +31,18 @@ def op4_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(table(spark, sf_dir, "documents"))
 
 
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.digest(table(spark, sf_dir, "embeddings"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 def op9_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.result(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -37,9 +53,13 @@ def op10_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_template": op1_html_template,
+    "op2_near_dup": op2_near_dup,
     "op3_bpe": op3_bpe,
     "op4_webp": op4_webp,
+    "op5_top_k": op5_top_k,
     "op6_mixing": op6_mixing,
+    "op7_katz": op7_katz,
     "op9_resampling": op9_resampling,
     "op10_url_lists": op10_url_lists,
 }
@@ -63,10 +83,10 @@ events AS (
   UNION ALL SELECT 'paths', 'allow', h || '/' || part, n % 300, 'add' FROM known WHERE n % 2 = 0 AND part <> ''
   UNION ALL SELECT 'domains', 'block', h, 30 + n % 100, 'add' FROM domains
   UNION ALL SELECT 'domains', 'block', h, 180 + n % 100, 'remove' FROM domains),
-dated AS (SELECT list, verdict, k, event, TIMESTAMP '2024-01-01' + to_days(d::INT) AS at FROM events),
+dated AS (SELECT list, verdict, k, event, TIMESTAMP '2024-01-01' + to_days(d::INT) AS happened FROM events),
 intervals AS (
   SELECT * FROM (
-    SELECT list, verdict, k, event, at AS valid_from, lead(at) OVER (PARTITION BY list, verdict, k ORDER BY at, event) AS valid_to FROM dated)
+    SELECT list, verdict, k, event, happened AS valid_from, lead(happened) OVER (PARTITION BY list, verdict, k ORDER BY happened, event) AS valid_to FROM dated)
   WHERE event = 'add' AND (valid_to IS NULL OR valid_to > valid_from)),
 looked AS (
   SELECT page_id, fetched_at, host AS k FROM captures WHERE host <> ''
