@@ -37,7 +37,6 @@ HOT = 2048
 #: Words whose hash a worker keeps; then it starts anew.
 CACHE = 400_000
 END, BEGIN = np.uint64(1), np.uint64(2)
-_48 = np.uint64((1 << 48) - 1)
 
 
 class _Hashes(dict):
@@ -66,18 +65,43 @@ def unsmall(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(unpack(data, np.uint8).reshape(4, -1).T).view("<u4")[:, 0].astype(np.int64)
 
 
+def pack_words(words: np.ndarray, starts: np.ndarray, width: int) -> bytes:
+    """The first ``width`` bytes of hashes that rise from each of ``starts``: as differences, byte by byte."""
+    top = words >> np.uint64(64 - 8 * width)
+    steps = np.diff(top, prepend=np.uint64(0))
+    steps[starts] = top[starts]
+    return pack(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+
+
+def unpack_words(data: bytes, starts: np.ndarray, width: int) -> np.ndarray:
+    planes = unpack(data, np.uint8).reshape(width, -1)
+    steps = np.zeros((planes.shape[1], 8), np.uint8)
+    steps[:, :width] = planes.T
+    steps = steps.view("<u8")[:, 0]
+    sums = np.cumsum(steps, dtype=np.uint64)
+    before = sums[starts] - steps[starts]
+    return sums - np.repeat(before, np.diff(np.append(starts, len(steps))))
+
+
 def held_out(doc_id) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 10 == 0
 
 
 class Chunk:
-    """Documents in a row: ids, their tokens (each document's words and the end) as places in ``vocab``, sorted hashes."""
+    """Documents in a row: ids, their tokens (each document's words and the end) as places in ``vocab``, sorted hashes.
+
+    A row has the vocabulary by falling frequency, so that its tokens are small numbers.
+    """
 
     SCHEMA = "chunk long, ids array<long>, sizes array<long>, n_words long, tokens binary, vocab binary"
 
     def __init__(self, row: dict):
         self.ids, self.sizes = row["ids"], np.array(row["sizes"], np.int64)
-        self.tokens, self.vocab = unpack(row["tokens"], np.int32), unpack(row["vocab"], np.uint64)
+        by_rank = unpack(row["vocab"], np.uint64)
+        order = np.argsort(by_rank)
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order))
+        self.vocab, self.tokens = by_rank[order], place[unsmall(row["tokens"])]
         self.held = np.array([held_out(i) for i in self.ids], bool)
         self.train = ~np.repeat(self.held, self.sizes)
 
@@ -113,9 +137,12 @@ def chunks(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
 
         def row():
             sizes = [len(x) for x in found]
-            vocab, tokens = np.unique(np.concatenate(found), return_inverse=True)
+            vocab, tokens, counts = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+            order = np.argsort(-counts, kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
             return pa.RecordBatch.from_arrays(
-                [pa.array([place << 32 | n]), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([len(vocab)]), pa.array([pack(tokens.astype(np.int32))], pa.binary()), pa.array([pack(vocab)], pa.binary())],
+                [pa.array([place << 32 | n]), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([len(vocab)]), pa.array([pack(small(rank[tokens]))], pa.binary()), pa.array([pack(vocab[order])], pa.binary())],
                 names=["chunk", "ids", "sizes", "n_words", "tokens", "vocab"],
             )
 
@@ -211,9 +238,10 @@ def _met(buckets: int, parts: list[dict], c: Chunk) -> np.ndarray:
     return counts
 
 
-def pair_counts(made: DataFrame, words: DataFrame, word_buckets: int, buckets: int, hot: np.ndarray, model: Unigrams) -> DataFrame:
+def pair_counts(made: DataFrame, words: DataFrame, word_buckets: int, buckets: int, hot: np.ndarray, model: Unigrams, width: int) -> DataFrame:
     """An ``ANSWER`` for each chunk and bucket of contexts: the counts of its pairs; for each context how many words were seen
-    1 to K times after it, and what share of the unigrams all words seen after it have.
+    1 to K times after it, and what share of the unigrams all words seen after it have. Words after a context are told apart by
+    ``width`` bytes of their hash.
     """
 
     def ask(rows: pa.Table, answers: pa.Table) -> pa.Table:
@@ -226,8 +254,7 @@ def pair_counts(made: DataFrame, words: DataFrame, word_buckets: int, buckets: i
                 if len(here):
                     ctx, first, each = np.unique(c.context[here], return_index=True, return_counts=True)
                     order = np.argsort(first)
-                    w48 = np.ascontiguousarray((c.vocab[c.word[here]] & _48).view(np.uint8).reshape(-1, 8)[:, :6])
-                    for k, x in enumerate((row["chunk"], b, pack(c.contexts[ctx[order]]), pack(small(each[order])), w48.tobytes(), pack(small(c.count[here])), pack(small(counts[c.word[here]])))):
+                    for k, x in enumerate((row["chunk"], b, pack(c.contexts[ctx[order]]), pack(small(each[order])), pack_words(c.vocab[c.word[here]], np.sort(first), width), pack(small(c.count[here])), pack(small(counts[c.word[here]])))):
                         out[k].append(x)
         kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 5)
         return pa.table({name: pa.array(x, k) for name, x, k in zip(("chunk", "bucket", "contexts", "each", "words", "counts", "of_word"), out, kinds, strict=True)})
@@ -238,10 +265,8 @@ def pair_counts(made: DataFrame, words: DataFrame, word_buckets: int, buckets: i
         each = [unsmall(x["each"]) for x in asked_rows]
         known, at = np.unique(np.concatenate(ctxs), return_inverse=True)
         at_pair = np.repeat(at, np.concatenate(each))
-        raw = np.frombuffer(b"".join(x["words"] for x in asked_rows), np.uint8).reshape(-1, 6)
-        wide = np.zeros((len(raw), 8), np.uint8)
-        wide[:, :6] = raw
-        key = known[at_pair] * np.uint64(0x9E3779B97F4A7C15) + wide.view(np.uint64)[:, 0] * np.uint64(0xC2B2AE3D27D4EB4F)
+        after = np.concatenate([unpack_words(x["words"], np.cumsum(e) - e, width) for x, e in zip(asked_rows, each, strict=True)])
+        key = known[at_pair] * np.uint64(0x9E3779B97F4A7C15) + after * np.uint64(0xC2B2AE3D27D4EB4F)
         _, first, pair = np.unique(key, return_index=True, return_inverse=True)
         total = np.bincount(pair, np.concatenate([unsmall(x["counts"]) for x in asked_rows])).astype(np.int64)
         seen = total > 0
@@ -291,7 +316,9 @@ def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, bucket: int = BUCKET)
     # Sentences begin with a context of their own.
     hot = np.array([*[r.hot for r in rows], int(BEGIN)], np.int64).astype(np.uint64)
     asked = counted.where("chunk is not null").drop("hot", "n", "seen")
-    found = cut(pair_counts(made, asked, word_buckets, buckets, hot, model))
+    # Of a context's words, that are no more than there are tokens, less than one in 4096 is taken for another.
+    width = min(8, -(-(tokens.bit_length() + 12) // 8))
+    found = cut(pair_counts(made, asked, word_buckets, buckets, hot, model, width))
     pair_n = found.where("chunk is null and hot is null").select(F.posexplode("n")).groupBy("pos").agg(F.sum("col").alias("n")).collect()
     discount = discounts([r.n for r in sorted(pair_n)] if pair_n else [0] * (K + 1))
     spread = found.where("hot is not null").groupBy("hot").agg(*[F.sum(F.col("n")[r]).alias(f"n{r}") for r in range(K)], F.sum("seen").alias("seen")).collect()
