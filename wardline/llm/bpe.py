@@ -19,6 +19,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -120,7 +121,7 @@ def encoder(path: str) -> WordEncoder:
 
 def slices(texts: pa.Array, most: int = SLICE_CHARS):
     """(start, stop) of runs of rows with about ``most`` characters; a longer text is a run of its own."""
-    size = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < len(size):
         done = size[at - 1] if at else 0

@@ -15,6 +15,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,7 +67,7 @@ def log_ratio(docs: DataFrame, good: list[int]) -> np.ndarray:
     def count(batches):
         raw, target, seen = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64), False
         for batch in batches:
-            wanted = np.isin(pa.compute.fill_null(batch.column(0), -1).to_numpy(zero_copy_only=False), known.value)
+            wanted = np.isin(pc.fill_null(batch.column(0), -1).to_numpy(zero_copy_only=False), known.value)
             for a in range(0, batch.num_rows, 500):
                 for text, hit in zip(batch.column(1).slice(a, 500).to_pylist(), wanted[a : a + 500], strict=True):
                     seen = True
