@@ -341,7 +341,7 @@ def report_md_rows(spark, d):
 
 
 RULEGEN = """CASE category
- WHEN 'prompt_injection' THEN CASE WHEN regexp_matches(coalesce(a_body, ''), '[A-Za-z0-9+/=]{40,}') THEN '[A-Za-z0-9+/=]{40,}' WHEN contains(lower(a_body), 'ignore.*instructions') THEN 'ignore.*instructions' WHEN contains(lower(a_body), 'system:') THEN '^SYSTEM:|\\[SYSTEM\\]' WHEN contains(lower(a_body), 'disregard') THEN 'disregard.*rules|override.*safety' ELSE array_to_string(list_slice(regexp_split_to_array(trim(a_body), '\\s+'), 1, 4), '\\ ') END
+ WHEN 'prompt_injection' THEN CASE WHEN regexp_matches(coalesce(a_body, ''), '[A-Za-z0-9+/=]{40,}') THEN '[A-Za-z0-9+/=]{40,}' WHEN contains(lower(a_body), 'ignore.*instructions') THEN 'ignore.*instructions' WHEN contains(lower(a_body), 'system:') THEN '^SYSTEM:|\\[SYSTEM\\]' WHEN contains(lower(a_body), 'disregard') THEN 'disregard.*rules|override.*safety' ELSE replace(array_to_string(list_slice(regexp_split_to_array(trim(a_body), '\\s+'), 1, 4), '\\ '), '.', '\\.') END
  WHEN 'data_exfiltration' THEN CASE WHEN contains(a_command, 'curl') THEN 'curl.*-d' WHEN contains(a_command, '|') THEN '\\|.*nc\\s' WHEN contains(a_command, 'wget') THEN 'wget.*--post-file' ELSE 'curl.*-d' END
  WHEN 'privilege_escalation' THEN CASE WHEN contains(a_command, 'chmod 777') THEN 'chmod\\s+777' WHEN contains(a_command, 'rm') THEN 'rm\\s+-rf\\s+/' WHEN contains(a_command, '|') THEN 'curl.*\\|\\s*bash' WHEN contains(a_command, 'chmod +s') THEN 'chmod\\s+\\+s' WHEN contains(a_command, 'chmod') THEN 'chmod\\s+777|chmod\\s+\\+s' ELSE 'rm\\s+-rf\\s+/' END
  WHEN 'pii_leak' THEN CASE WHEN tool = 'file_read' THEN replace(string_split(a_path, '/')[-1], '.', '\\.') ELSE '\\d{3}-\\d{2}-\\d{4}' END END"""
@@ -372,13 +372,13 @@ def rulegen_rule_row(spark, d):
     return scan.generated_rules(scanned(spark).where("status = 'passed'")).select("name", "tool", "action", "field")
 
 
-def _new_order(generated_first: bool) -> str:
+def _new_order() -> str:
     return f"""{SCAN}, r(ord, name, tool, action) AS (VALUES {values([(k, *r[:3]) for k, r in enumerate(c.RULES)])}),
- both AS (SELECT 0 AS part, ord, 'autogen_' || id AS name, {RULE_TOOL} AS tool, 'BLOCK' AS action FROM before WHERE status = 'passed' UNION ALL SELECT 1, ord, name, tool, action FROM r WHERE NOT starts_with(name, 'autogen_'))
- SELECT (row_number() OVER (ORDER BY part, ord) - 1)::INT AS ord, name, tool, action FROM both"""
+ merged AS (SELECT 0 AS part, ord, 'autogen_' || id AS name, {RULE_TOOL} AS tool, 'BLOCK' AS action FROM before WHERE status = 'passed' UNION ALL SELECT 1, ord, name, tool, action FROM r WHERE NOT starts_with(name, 'autogen_'))
+ SELECT (row_number() OVER (ORDER BY part, ord) - 1)::INT AS ord, name, tool, action FROM merged"""
 
 
-@query(_new_order(True))
+@query(_new_order())
 def apply_rules(spark, d):
     return policy.upserted(scan.generated_rules(scanned(spark).where("status = 'passed'")), policy.rules_frame(spark))
 
