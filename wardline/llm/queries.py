@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_template, katz, media, mixing, near_dup, resample, topk, url_lists
+from . import bpe, html_template, id_files, katz, media, mixing, near_dup, resample, topk, url_lists
 from .common import table
 
 
@@ -43,6 +43,10 @@ def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(table(spark, sf_dir, "documents"))
 
 
+def op8_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return id_files.digest(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
 def op9_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.result(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -60,6 +64,7 @@ QUERIES = {
     "op5_top_k": op5_top_k,
     "op6_mixing": op6_mixing,
     "op7_katz": op7_katz,
+    "op8_id_files": op8_id_files,
     "op9_resampling": op9_resampling,
     "op10_url_lists": op10_url_lists,
 }
