@@ -33,6 +33,7 @@ class Model:
         self.lane = np.arange(lanes)
         self.by_symbol = np.ones((lanes * SYMBOLS, SYMBOLS), np.int32)
         self.by_state = np.ones((lanes * STATES, SYMBOLS), np.int32)
+        self.total_symbol, self.total_state = (np.full(lanes * n, SYMBOLS, np.int64) for n in (SYMBOLS, STATES))
         self.two = np.full(lanes * SLOTS, -1, np.int32)
         self.one = np.full(lanes * SLOTS, -1, np.int32)
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
@@ -46,14 +47,16 @@ class Model:
         state = (self.id_two >= 0) * 2 + (self.id_one >= 0)
         self.row_a, self.row_b = self.lane * SYMBOLS + self.symbol, self.lane * STATES + state
         a, b = self.by_symbol[self.row_a], self.by_state[self.row_b]
-        self.sums = np.cumsum(a * self.lean[:, None] + b * (8 - self.lean)[:, None], 1, dtype=np.int64)
-        self.a, self.b = a, b
+        a = np.multiply(a, self.lean[:, None], out=a)
+        a += b * (8 - self.lean)[:, None]
+        self.sums = np.cumsum(a, 1, dtype=np.int32)
 
     def learn(self, symbol: np.ndarray, ids: np.ndarray) -> None:
-        better = self.a[self.lane, symbol].astype(np.int64) * self.b.sum(1) - self.b[self.lane, symbol].astype(np.int64) * self.a.sum(1)
+        better = self.by_symbol[self.row_a, symbol] * self.total_state[self.row_b] - self.by_state[self.row_b, symbol] * self.total_symbol[self.row_a]
         self.lean = np.clip(self.lean + np.sign(better).astype(np.int32), 1, 7)
-        for table, row in ((self.by_symbol, self.row_a), (self.by_state, self.row_b)):
+        for table, total, row in ((self.by_symbol, self.total_symbol, self.row_a), (self.by_state, self.total_state, self.row_b)):
             table[row, symbol] += 24
+            total[row] += 24
         self.two[self.at_two] = self.one[self.at_one] = ids
         self.before, self.last, self.symbol = self.last, ids, symbol
 
@@ -61,6 +64,7 @@ class Model:
         """Now and then: halve the frequencies, so that they stay small and follow the text."""
         for table in (self.by_symbol, self.by_state):
             table[:] = (table + 1) >> 1
+        self.total_symbol, self.total_state = self.by_symbol.sum(1, dtype=np.int64), self.by_state.sum(1, dtype=np.int64)
 
 
 class Range:
