@@ -16,6 +16,7 @@ What is shuffled is a packed row per pair of words that a chunk holds, not per t
 
 from __future__ import annotations
 
+import functools
 import zlib
 
 import numpy as np
@@ -34,6 +35,8 @@ CHUNK_BYTES = 12_000_000
 #: Distinct words or pairs that a bucket is meant to get from all chunks together.
 BUCKET = 1_000_000
 HOT = 2048
+#: Passes over the buckets of contexts: of all chunks' requests, no more than a pass's are on disk at a time.
+PASSES = 2
 #: Words whose hash a worker keeps; then it starts anew.
 CACHE = 400_000
 END, BEGIN = np.uint64(1), np.uint64(2)
@@ -238,10 +241,10 @@ def _met(buckets: int, parts: list[dict], c: Chunk) -> np.ndarray:
     return counts
 
 
-def pair_counts(made: DataFrame, words: DataFrame, word_buckets: int, buckets: int, hot: np.ndarray, model: Unigrams, width: int) -> DataFrame:
+def pair_counts(made: DataFrame, words: DataFrame, word_buckets: int, buckets: int, hot: np.ndarray, model: Unigrams, width: int, turn: int) -> DataFrame:
     """An ``ANSWER`` for each chunk and bucket of contexts: the counts of its pairs; for each context how many words were seen
     1 to K times after it, and what share of the unigrams all words seen after it have. Words after a context are told apart by
-    ``width`` bytes of their hash.
+    ``width`` bytes of their hash. Buckets of pass ``turn`` only.
     """
 
     def ask(rows: pa.Table, answers: pa.Table) -> pa.Table:
@@ -251,7 +254,7 @@ def pair_counts(made: DataFrame, words: DataFrame, word_buckets: int, buckets: i
             counts = _met(word_buckets, answers.to_pylist(), c)
             c.pairs()
             for b, here in enumerate(c.dealt(buckets, hot)):
-                if len(here):
+                if len(here) and b % PASSES == turn:
                     ctx, first, each = np.unique(c.context[here], return_index=True, return_counts=True)
                     order = np.argsort(first)
                     for k, x in enumerate((row["chunk"], b, pack(c.contexts[ctx[order]]), pack(small(each[order])), pack_words(c.vocab[c.word[here]], np.sort(first), width), pack(small(c.count[here])), pack(small(counts[c.word[here]])))):
@@ -318,7 +321,7 @@ def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, bucket: int = BUCKET)
     asked = counted.where("chunk is not null").drop("hot", "n", "seen")
     # Of a context's words, that are no more than there are tokens, less than one in 4096 is taken for another.
     width = min(8, -(-(tokens.bit_length() + 12) // 8))
-    found = cut(pair_counts(made, asked, word_buckets, buckets, hot, model, width))
+    found = functools.reduce(DataFrame.unionByName, [cut(pair_counts(made, asked, word_buckets, buckets, hot, model, width, turn)) for turn in range(PASSES)])
     pair_n = found.where("chunk is null and hot is null").select(F.posexplode("n")).groupBy("pos").agg(F.sum("col").alias("n")).collect()
     discount = discounts([r.n for r in sorted(pair_n)] if pair_n else [0] * (K + 1))
     spread = found.where("hot is not null").groupBy("hot").agg(*[F.sum(F.col("n")[r]).alias(f"n{r}") for r in range(K)], F.sum("seen").alias("seen")).collect()
