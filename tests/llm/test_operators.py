@@ -389,7 +389,23 @@ def test_resampling_tells_good_from_bad(spark):
     got = {r.doc_id: r.kept for r in resample.result(d, seen).collect()}
     test = [i for i in known if i % 2]
     good, bad = [got[i] for i in test if known[i]], [got[i] for i in test if not known[i]]
-    assert sum(good) / len(good) > 0.85 and sum(bad) / len(bad) < 0.35
+    assert sum(good) / len(good) > 0.97 and sum(bad) / len(bad) < 0.1
+
+
+def test_resampling_as_brute_force(spark):
+    d, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    good = {r.doc_id for r in labels.collect() if r.quality == 1 and not r.toxic}
+    grams = {r.doc_id: Counter(resample.buckets(r.text).tolist()) for r in d.collect()}
+    raw, target = (sum((c for i, c in grams.items() if i in ids), Counter()) for ids in (grams, good))
+    for r in resample.select(d, labels).collect():
+        c, own = grams[r.doc_id], r.doc_id in good
+        rest = (target.total() - own * c.total()) / (raw.total() - c.total())
+        want = sum(n * math.log((target[b] - own * n + resample.PRIOR) / ((raw[b] - n) * rest + resample.PRIOR)) for b, n in c.items())
+        assert math.isclose(r.log_weight, want, rel_tol=1e-9, abs_tol=1e-6) and (r.good, r.n_grams) == (own, c.total())
+
+
+def test_shapes():
+    assert list(map(resample.shape, ["word", "Word", "WORD!!", "a1-b22", "é", "Ä", "don't", "中文"])) == ["a", "Aa", "A!", "a0-a0", "a", "A", "a'a", "a"]
 
 
 def test_resampling_odd(spark, odd, none):
