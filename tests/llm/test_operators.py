@@ -415,6 +415,8 @@ def test_resampling_odd(spark, odd, none):
     got = resample.select(odd, some).collect()
     assert len(got) == odd.count() and 0 < sum(r.kept for r in got) < len(got)
     assert len({r.kept for r in got if r.doc_id == 1}) == 1
+    same = lambda rows: Counter((r.doc_id, r.n_grams, r.log_weight, r.kept) for r in rows)
+    assert same(resample.result(odd, some).collect()) == same(got)
 
 
 def test_kth_highest(spark):

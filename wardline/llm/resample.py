@@ -179,13 +179,20 @@ def select(docs: DataFrame, labels: DataFrame, share: float | None = None, lose:
     out = weigh(docs.drop("kept"), good, seed)
     if not len(good) or (share is not None and share >= 1):
         return out.withColumn("kept", F.lit(True))
-    keys = cut(out.select("key", "good"))
+    return out.withColumn("kept", F.col("key") >= F.lit(_least(cut(out.select("key", "good")), share, lose)))
+
+
+def _least(keys: DataFrame, share: float | None, lose: float) -> float:
+    """The lowest key in the sample."""
     among = keys if share is not None else keys.where("good")
     n = among.count()
     k = round(n * share) if share is not None else n - int(n * lose)
-    least = kth_highest(among, k) if k else float("-inf") if share is None else float("inf")
-    return out.withColumn("kept", F.col("key") >= F.lit(least))
+    return kth_highest(among, k) if k else float("-inf") if share is None else float("inf")
 
 
 def result(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return select(docs.select("doc_id", "text"), labels).select("doc_id", "n_grams", "log_weight", "kept")
+    """doc_id, n_grams, log_weight and kept of each document: ``select`` without the texts, so that they are weighed once."""
+    good = labelled(labels)
+    out = cut(weigh(docs.select("doc_id", "text"), good).drop("text"))
+    kept = F.col("key") >= F.lit(_least(out, None, LOSE)) if len(good) else F.lit(True)
+    return out.select("doc_id", "n_grams", "log_weight", kept.alias("kept"))
