@@ -132,3 +132,78 @@ def test_stream_correlation(spark, tmp_path):
     run.awaitTermination(90)
     got = {r.id: (r.text, r.code) for r in spark.table("met").collect()}
     assert got == {0: ("ssn [REDACTED-SSN]", None), 1: (None, -32000), 2: (None, -32000)}
+
+
+def test_policy_file_round_trip(spark, tmp_path):
+    from wardline.sources import messages
+
+    rows = policy.rule_rows()
+    path = str(tmp_path / "new" / "policy.yaml")
+    messages.save_policy(policy.raw(rows), path)
+    assert policy.valid(messages.policy(path), spark) == rows
+    (tmp_path / "p.yaml").write_text("- a\n- b\n")
+    assert messages.policy(str(tmp_path / "p.yaml")) == []
+
+
+def test_report_files(spark, tmp_path):
+    from wardline.sources import reports
+
+    results = q.scanned(spark)
+    rules = scan.generated_rules(results.where("status = 'passed'"))
+    reports.save(results, str(tmp_path), rules, target="here")
+    lines = [line for f in sorted((tmp_path / "report").glob("part-*")) for line in f.read_text().splitlines()]
+    assert lines[0] == "# Scan report" and "- Target: `here`" in lines and "| Total attacks | 15 |" in lines and "| Vulnerability score (%) | 26.7 |" in lines
+    rows = [line for line in lines if line.startswith("| VULNERABLE") or line.startswith("| BLOCKED") or line.startswith("| REDACTED")]
+    assert len(rows) == 15 and all(r.startswith("| VULNERABLE") for r in rows[:4]) and sum(line.startswith("- `{") for line in lines) == 4
+    assert reports.load(spark, str(tmp_path)).exceptAll(results.select(*reports.COLUMNS)).count() == 0
+    with pytest.raises(ValueError):
+        reports.save(results, str(tmp_path), formats=("pdf",))
+
+
+def stream(spark, df, path):
+    df.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_stream_totals(spark, tmp_path):
+    from wardline.streaming import relay
+
+    calls = q.calls(spark, SF).limit(200)
+    stream(spark, calls, str(tmp_path / "in"))
+    run = relay.totals(stream(spark, calls, str(tmp_path / "in"))).writeStream.format("memory").queryName("totals").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    run.awaitTermination(90)
+    want = pipeline.decided(spark.read.parquet(str(tmp_path / "in"))).groupBy("action").count()
+    assert sorted(map(tuple, spark.table("totals").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_stream_follows_the_policy_file(spark, tmp_path):
+    from wardline.sources import messages
+    from wardline.streaming import relay
+
+    path, seen = str(tmp_path / "policy.json"), []
+    one = call(spark, "shell_exec", command="ls")
+    for _ in range(2):
+        source = stream(spark, one, str(tmp_path / "in"))
+
+    def write(decided, number):
+        seen.append([r.action for r in decided.collect()])
+        messages.save_policy([{"action": "block"}], path)
+
+    run = source.writeStream.foreachBatch(relay.guarded(path, write)).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    run.awaitTermination(90)
+    assert seen == [["ALLOW"], ["BLOCK"]]
+
+
+def test_stream_pairs_by_state(spark, tmp_path):
+    from wardline.streaming import relay
+
+    def events(*rows):
+        return spark.createDataFrame([("s", i, n, t, x) for n, i, t, x in rows], "session_id string, id long, seq long, tool string, text string").withColumn("ts", F.expr("timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,0,seq)")).select("session_id", "id", "seq", "ts", "tool", "text")
+
+    ssn = "ssn 123-45-6789"
+    for batch in (events((1, 7, "old", None), (2, 7, "new", None), (3, 8, "lost", None), (4, 9, None, ssn)), events((5, 7, None, ssn), (6, 7, None, ssn)), events((100_000, 1, None, "late")), events((100_001, 2, None, "later"))):
+        source = stream(spark, batch, str(tmp_path / "in"))
+    run = relay.paired(source, "1 second").writeStream.format("memory").queryName("paired").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    got = sorted((r.id, r.tool or "", r.text or "", r.code or 0) for r in spark.table("paired").collect())
+    assert got == [(1, "", "late", 0), (2, "", "later", 0), (7, "", ssn, 0), (7, "new", "ssn [REDACTED-SSN]", 0), (8, "lost", "", -32000), (9, "", ssn, 0)]

@@ -72,27 +72,46 @@ def joined(calls: DataFrame, rules: DataFrame, key: str = "call_id") -> DataFram
 def valid(rules: list[dict], spark: SparkSession) -> list[tuple]:
     """Raw rules (of a policy file) as rows; a malformed one is left out whole: no mapping, unknown action, bad condition or pattern."""
     pattern = spark.sparkContext._jvm.java.util.regex.Pattern
+
+    def listed(c, key):
+        if not isinstance(c.get(key), list):
+            raise ValueError(f"{key} is no list")
+        return list(map(str, c[key]))
+
+    def parsed(c):
+        kind = str(c.get("type") or "").strip()
+        patterns = listed(c, "patterns") if kind in ("pattern_match", "pii_detection") else []
+        domains = [d.strip().lower() for d in listed(c, "allowed_domains") if d.strip()] if kind == "domain_allowlist" else []
+        field = c.get("field") if kind in ("pattern_match", "domain_allowlist") else ""
+        if not isinstance(field, str):
+            raise ValueError("field is no text")
+        for p in patterns:
+            pattern.compile(DIALECT + p)
+        condition(kind, field, patterns, domains)
+        return kind, field, patterns, domains
+
     out = []
     for k, r in enumerate(rules):
         try:
-            action = str(r.get("action", "")).strip().upper()
-            if action not in ACTIONS:
+            action = r["action"].strip().upper()
+            conditions = r.get("conditions") or [{"type": "always"}]
+            if action not in ACTIONS or not isinstance(conditions, list):
                 continue
-            conditions = []
-            for c in r.get("conditions") or [{"type": "always"}]:
-                patterns = [str(p) for p in c.get("patterns") or []]
-                for p in patterns:
-                    pattern.compile(DIALECT + p)
-                condition(c["type"], c.get("field"), patterns, c.get("allowed_domains") or [])
-                if c["type"] in ("pattern_match", "pii_detection") and not patterns or c["type"] in ("pattern_match", "domain_allowlist") and not isinstance(c.get("field"), str):
-                    raise ValueError("incomplete condition")
-                conditions.append((c["type"], c.get("field") or "", patterns, [str(d).strip().lower() for d in c.get("allowed_domains") or []]))
-            out.append((k, str(r.get("name") or f"rule_{k}"), str(r.get("tool") or "*"), action, str(r.get("message") or ""), conditions))
+            out.append((k, str(r.get("name") or f"rule_{k}"), str(r.get("tool") or "*"), action, str(r.get("message") or ""), list(map(parsed, conditions))))
         except Exception:  # noqa: BLE001, S112 - whatever is wrong with a rule, it alone is left out
             continue
     return out
 
 
+def raw(rows: list[tuple]) -> list[dict]:
+    """Rows as the mappings of a policy file."""
+    def plain(kind, field, patterns, domains):
+        own = {"pattern_match": {"field": field, "patterns": patterns}, "pii_detection": {"patterns": patterns}, "domain_allowlist": {"field": field, "allowed_domains": domains}}
+        return {"type": kind, **own.get(kind, {})}
+
+    return [{"name": name, "tool": tool, "action": action.lower(), "message": message, "conditions": [plain(*c) for c in conditions]} for _, name, tool, action, message, conditions in rows]
+
+
 def without_generated(rules: DataFrame) -> DataFrame:
     return rules.where(~F.col("name").startswith(GENERATED))
 

@@ -6,6 +6,10 @@ user, its time the event's. Texts get planted personal data and injections, sinc
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +18,7 @@ from .functions import leaves as lv
 from .functions import text as tx
 from .operators import correlate, policy, scan
 from .plans import pipeline
+from .sources import messages, reports
 
 QUERIES, SQL = {}, {}
 
@@ -131,6 +136,79 @@ def corr_first_response(spark, d):
     return correlate.first_responses(r)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share."""
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or os.path.join(tempfile.gettempdir(), f'wardline-{spark.sparkContext.applicationId}')}/{uuid.uuid4().hex}"
+
+
+def logged(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select(F.lit("2.0").alias("jsonrpc"), F.col("event_id").alias("id"), F.col("event_type").alias("method"))
+
+
+@query("SELECT event_id AS id, CASE WHEN event_id % 5 <> 0 THEN event_type END AS method, event_id % 5 <> 0 AS ok FROM events WHERE event_id % 7 <> 0")
+def src_ndjson(spark, d):
+    """A log of JSON lines with blank and broken ones, written and read."""
+    path = scratch(spark)
+    line = F.when(F.col("id") % 7 == 0, " ").when(F.col("id") % 5 == 0, F.concat(F.lit('{"id":'), "id")).otherwise(F.to_json(F.struct("jsonrpc", "id", "method")))
+    logged(spark, d).select(line.alias("value")).write.text(path)
+    rows = messages.json_lines(spark, path)
+    return rows.select(F.regexp_extract("line", r'"id":(\d+)', 1).cast("long").alias("id"), F.try_variant_get("message", "$.method", "string").alias("method"), F.col("message").isNotNull().alias("ok"))
+
+
+@query("SELECT event_id AS id, event_type AS method FROM events")
+def src_framed(spark, d):
+    """A log of frames, written and read."""
+    path = scratch(spark)
+    messages.write_framed(logged(spark, d).select(F.to_json(F.struct("*")).alias("body")), path)
+    v = messages.framed(spark, path).select(F.try_parse_json("body").alias("v"))
+    return v.select(F.try_variant_get("v", "$.id", "long").alias("id"), F.try_variant_get("v", "$.method", "string").alias("method"))
+
+
+@query("""SELECT '{"jsonrpc":"2.0","id":' || event_id || ',"method":"' || event_type || '"}' AS line FROM events""")
+def sink_ndjson(spark, d):
+    path = scratch(spark)
+    messages.write_lines(logged(spark, d), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@query("""SELECT event_id, '{"id":' || event_id || ',"props":' || json(props) || '}' AS line FROM events""")
+def fmt_json(spark, d):
+    return table(spark, d, "events").select("event_id", F.to_json(F.struct(F.col("event_id").alias("id"), F.parse_json("props").alias("props"))).alias("line"))
+
+
+@query(f"{SCAN} SELECT id, name, category, tool, severity, status FROM before")
+def src_report_reload(spark, d):
+    """A saved report, loaded again."""
+    path = scratch(spark)
+    reports.save(scanned(spark), path, formats=("json",))
+    return reports.load(spark, path).drop("ord")
+
+
+#: Raw rules with every defect that leaves a rule out.
+RAW_RULES = [
+    {"name": "ok", "tool": "shell_exec", "action": " block ", "conditions": [{"type": "pattern_match", "field": "command", "patterns": ["rm"]}]},
+    "no mapping", {"action": "deny"}, {"action": 1}, {"action": "allow"},
+    {"action": "block", "conditions": "always"}, {"action": "block", "conditions": [{"type": "unheard"}]}, {"action": "block", "conditions": [{}]},
+    {"action": "block", "conditions": [{"type": "always"}, {"type": "pattern_match", "field": "x", "patterns": ["("]}]},
+    {"action": "block", "conditions": [{"type": "pattern_match", "field": "x", "patterns": "abc"}]},
+    {"action": "block", "conditions": [{"type": "domain_allowlist", "field": None, "allowed_domains": []}]},
+    {"action": "redact_output", "conditions": [{"type": "pii_detection", "patterns": []}]},
+    {"action": "require_approval", "tool": "email_send", "conditions": [{"type": "domain_allowlist", "field": "to", "allowed_domains": [" A.com ", ""]}, {"type": "always"}]},
+]
+
+
+@query("SELECT * FROM (VALUES (0, 'ok', 'shell_exec', 'BLOCK', 1), (4, 'rule_4', '*', 'ALLOW', 1), (11, 'rule_11', '*', 'REDACT_OUTPUT', 1), (12, 'rule_12', 'email_send', 'REQUIRE_APPROVAL', 2)) t(ord, name, tool, action, n_conditions)")
+def policy_compile(spark, d):
+    return spark.createDataFrame(policy.valid(RAW_RULES, spark), policy.RULE).select("ord", "name", "tool", "action", F.size("conditions").alias("n_conditions"))
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN md5(event_id::VARCHAR) WHEN 1 THEN user_id::VARCHAR END AS session FROM events")
+def session_assign(spark, d):
+    """initialize gets a new session (named by a hash of the message, so that a retried task names it alike), others keep theirs, if any."""
+    n = F.col("event_id") % 3
+    return table(spark, d, "events").select("event_id", F.when(n == 0, F.md5(F.col("event_id").cast("string"))).when(n == 1, F.col("user_id").cast("string")).alias("session"))
+
+
 @query(f"{CALLS} SELECT call_id, tool, {RESULT_SQL} AS text FROM calls")
 def mock_tool_response(spark, d):
     return calls(spark, d).select("call_id", "tool", scan.tool_result(F.col("tool"), F.col("args")).alias("text"))

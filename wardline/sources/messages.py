@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,13 +38,37 @@ def framed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, n long, body string")
 
 
+def write_lines(messages: DataFrame, path: str) -> None:
+    """``messages``, one JSON object a row, as JSON lines; columns that are null are left out."""
+    messages.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
+
+
+def write_framed(bodies: DataFrame, path: str) -> None:
+    """The column ``body`` (JSON) as frames; the line end behind each body counts as its white space."""
+    frame = F.concat(F.lit("Content-Length: "), (F.octet_length("body") + 2).cast("string"), F.lit("\r\n\r\n"), F.col("body"))
+    bodies.select(frame.alias("value")).write.option("lineSep", "\r\n").text(path)
+
+
 def policy(path: str) -> list[dict]:
-    """The raw rules of a policy file; none if it is missing or no mapping."""
+    """The raw rules of a policy file, JSON or YAML; none if it is missing or no mapping."""
     try:
-        import yaml
-
         with open(path, encoding="utf-8") as f:
-            root = yaml.safe_load(f)
+            text = f.read()
+        try:
+            root = json.loads(text)
+        except ValueError:
+            import yaml
+
+            root = yaml.safe_load(text)
     except Exception:  # noqa: BLE001 - an unreadable policy is an empty one
         return []
-    return root.get("rules") or [] if isinstance(root, dict) else []
+    rules = root.get("rules") if isinstance(root, dict) else None
+    return rules if isinstance(rules, list) else []
+
+
+def save_policy(rules: list[dict], path: str) -> None:
+    """Raw rules as a policy file (JSON, which is YAML too); readers see the old or the new one, never a part."""
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    with open(f"{path}.new", "w", encoding="utf-8") as f:
+        json.dump({"rules": rules, "settings": {}}, f, indent=2, ensure_ascii=False)
+    os.replace(f"{path}.new", path)
