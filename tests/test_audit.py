@@ -11,7 +11,7 @@ from wardline import catalogue as c
 from wardline import queries as q
 from wardline.functions import leaves, text
 from wardline.operators import policy, scan
-from wardline.plans import pipeline
+from wardline.plans import pipeline, rescan
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -55,6 +55,19 @@ def test_golden_scan(spark):
     assert (safe.blocked, safe.safe) == (9, 6)
 
 
+def test_rescan(spark, monkeypatch):
+    attacks = scan.payloads(spark)
+    rules, both = rescan.rescan(attacks.unionAll(attacks), policy.rule_rows(q.PLAIN))
+    assert [r[1] for r in rules] == [r[0] for r in c.RULES] and [r[0] for r in rules] == list(range(len(rules)))
+    assert rescan.learned(scan.outcome(pipeline.decided(attacks, rules)), rules) == policy.rule_rows(q.PLAIN)
+    assert both.where("now = 'passed'").isEmpty()
+    none = attacks.limit(0)
+    assert rescan.rescan(none, [])[0] == [] and rescan.rescan(none, [])[1].isEmpty()
+    monkeypatch.setattr(rescan, "MOST_RULES", 3)
+    with pytest.raises(ValueError):
+        rescan.rescan(attacks, policy.rule_rows(q.PLAIN))
+
+
 def test_policy_cases(spark):
     always = [(k, n, "*", "BLOCK", "", [("always", "", [], [])]) for k, n in enumerate(("first", "second"))]
     assert call(spark, "x", a="1").select(policy.compiled(always)["rule_name"]).first()[0] == "first"

@@ -17,7 +17,7 @@ from . import catalogue as c
 from .functions import leaves as lv
 from .functions import text as tx
 from .operators import correlate, policy, scan
-from .plans import pipeline
+from .plans import pipeline, rescan
 from .sources import messages, reports
 
 QUERIES, SQL = {}, {}
@@ -501,6 +501,12 @@ def improvement_pct(spark, d):
     return compared(spark).agg(F.when(F.count("*") == 0, 100.0).otherwise(F.bround((F.count("*") - left) * 100.0 / F.count("*"), 1)).cast("double").alias("improvement"))
 
 
+@query(f"{SCAN} SELECT b.id, b.status AS was, a.status AS now, CASE WHEN NOT a.critical THEN a.rule END AS rule_name FROM before b JOIN after a USING (id)")
+def scan_learn_rescan(spark, d):
+    """A scan, the rules that its failures give, and a second scan under them."""
+    return rescan.rescan(scan.payloads(spark), policy.rule_rows(PLAIN))[1]
+
+
 @query(f"{SCAN} SELECT bool_and(status <> 'passed') AS all_passed FROM after")
 def wall_all_passed(spark, d):
     return scanned(spark, c.RULES).agg(F.bool_and(F.col("status") != "passed").alias("all_passed"))
