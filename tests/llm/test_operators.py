@@ -108,6 +108,20 @@ def test_crowds_branch_and_tile(spark, monkeypatch):
     assert got == brute_classes(rows, 4, 80)
 
 
+@pytest.mark.parametrize("root", [0, len(near_dup.ROOTS) - 1])
+def test_large_nodes_of_every_tree_are_compared(spark, monkeypatch, root):
+    monkeypatch.setattr(near_dup, "LEAF", 8)
+    rng = random.Random(3)
+    alike = [[rng.randrange(3) for _ in range(near_dup.COORDINATES)] for _ in range(60)]
+    rows = [(2 * k + j, x) for k, x in enumerate(alike) for j in range(2)]  # pairs of equal sketches in one crowd
+    own = spark.createDataFrame(rows, "rep long, sketch array<int>")
+    nodes = own.selectExpr("1L AS node", f"{root} AS root", "rep", "rep AS comp")
+    met = {}
+    for r in near_dup._blocks(nodes, own).collect():
+        met.setdefault(r.rep, set()).add(r.block)
+    assert all(met.get(2 * k, set()) & met.get(2 * k + 1, set()) for k in range(60))
+
+
 def test_near_duplicates_odd(spark, odd, none):
     got = near_dup.classes(odd).collect()
     assert len(got) == odd.count() and all(r.component_id is None and r.kept for r in got if r.doc_id is None)
