@@ -131,6 +131,16 @@ def test_near_duplicates_odd(spark, odd, none):
     assert near_dup.classes(none).count() == 0
 
 
+def test_texts_of_null_and_repeated_ids_stay(spark, none):
+    import corpus_pipeline as p
+
+    a, b, c = (" ".join(f"{x}{k}" for k in range(20)) for x in "abc")
+    rows = [(None, a), (None, b), (None, b), (3, a), (7, a), (7, b), (7, b), (7, c), (8, None), (8, "")]
+    got = Counter((r.doc_id, r.text) for r in p.near_duplicates(spark, docs(spark, rows), SF).collect())
+    assert got == Counter([(None, a), (None, b), (None, b), (3, a), (7, b), (7, c), (8, None), (8, "")])
+    assert p.near_duplicates(spark, none, SF).count() == 0
+
+
 # 3
 def test_bpe_is_the_librarys(spark, odd, none):
     from tokenizers import Tokenizer
