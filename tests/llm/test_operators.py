@@ -57,6 +57,17 @@ def test_recurring_blocks_are_template(spark):
     assert {r.text for r in got} == {f"Story {k} of its own" for k in range(6)}
 
 
+def test_copies_are_no_template(spark):
+    def page(x):
+        return f"<body><div class=a><p>Read our terms of use.</p><p>Story {x} begins</p><p>and story {x} goes on</p></div>"
+
+    rows = [(k, "http://h.example/", page(max(k, 4))) for k in range(15)]  # five copies among fifteen pages
+    rows += [(20 + k, "http://copies.example/", page("x")) for k in range(3)] + [(30 + k, "http://same.example/", f"<body><p>All alike</p><aside>{k}</aside>") for k in range(3)]
+    got = {r.page_id: r.text for r in html_template.digest(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"Story {max(k, 4)} begins and story {max(k, 4)} goes on" for k in range(15))
+    assert all(got[20 + k] == "Read our terms of use. Story x begins and story x goes on" and got[30 + k] == "All alike" for k in range(3))
+
+
 # 2
 def brute_classes(rows, width, percent):
     sets = {}

@@ -4,21 +4,24 @@ Pages of a host share a template. A token is a structural element with its path
 text with the path it stands on. Tokens that occur equally often on each of the host's pages have the same occurrence
 vector; those are an equivalence class. A class is valid if it occurs on enough pages, has more than one token, and its
 structural tokens nest: each one's parent is of a valid class too. Valid classes, nested, are the template; what it
-leaves open, the slots, is the pages' own content. Blocks of text that recur on many of a host's pages are part of the
-template, and so are, by their names, menus, headers, footers, sidebars, notices, adverts, forms and comments. Of the
+leaves open, the slots, is the pages' own content. Blocks of text that recur on many of a host's pages, beside other text each
+time, are part of the template (copies of a page are no evidence of one), and so are, by their names, menus, headers, footers, sidebars, notices, adverts, forms and comments. Of the
 slots, a page's ``article`` or ``main`` is its text, or else those that hold much of the host's text and not mostly links.
 
 At scale: an occurrence vector is kept as a sum of hashes over pages, pre-aggregated where pages are read, so that a host
 with a third of all pages is no single group. A host's template is one row, bounded by the tokens of a page; pages meet it in a
-left join, whose hot hosts adaptive execution splits. Pages are parsed twice and shuffled once.
+left join, whose hot hosts adaptive execution splits. Pages are parsed twice and shuffled once. What stands beside a block is a hash,
+counted in two steps, so that a block of all pages is no single group either.
 
-Null html gives an empty text. Pages without a host are one host. Repeated pages are extracted each; extra columns are kept,
+A page whose blocks are all of the template keeps them. Null html gives an empty text. Pages without a host are one host. Repeated pages are extracted each; extra columns are kept,
 those named ``text`` and ``n_chars`` replaced. Unclosed, misnested and cut tags are read as far as they go.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
+import itertools
 import re
 
 import pyarrow as pa
@@ -29,9 +32,12 @@ from pyspark.sql import types as T
 
 from .common import cut
 
-#: A class is part of the template if it is on this share of a host's pages, and on 2 of them; a text block, on 3.
+#: A class is part of the template if it is on this share of a host's pages, and on 2 of them; a text block, if it stands beside
+#: this share of the host's distinct contents, and beside 3.
 ON_PAGES = 0.5
 TEXT_ON_PAGES = 0.2
+#: What stands beside a block: the longest other blocks of the page that have this share of its other text.
+BESIDE = 0.9
 #: A slot is content if it has this share of the text of the host's largest one, and is not mostly links.
 TEXT_SHARE = 0.2
 LINK_SHARE = 0.5
@@ -137,12 +143,28 @@ def parse(page: str) -> tuple[list[Block], dict[int, list]]:
     return blocks, tokens
 
 
+def beside(blocks: list[Block]) -> list[int]:
+    """For each block the hash of what stands beside it, and last that of the page's content."""
+    hashes = [_hash(b.text) for b in blocks]
+    order = sorted(range(len(blocks)), key=lambda k: (-len(blocks[k].text), hashes[k]))
+    held = [0, *itertools.accumulate(len(blocks[k].text) for k in order)]
+    sums = [0, *itertools.accumulate(hashes[k] for k in order)]
+    out = [0] * (len(blocks) + 1)
+    for place, k in enumerate([*order, len(blocks)]):
+        size, own = (len(blocks[k].text), hashes[k]) if k < len(blocks) else (0, 0)
+        least = (held[-1] - size) * BESIDE
+        n = bisect.bisect_left(held, least)
+        out[k] = (sums[n] if n <= place else sums[bisect.bisect_left(held, least + size)] - own) % (1 << 63)
+    return out
+
+
 def host(url: str = "url"):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
 def _tokens(pages: DataFrame, column: str) -> DataFrame:
-    """host, token, kind, parent, and this page's part of the token's occurrence vector, text and linked characters."""
+    """host, token, kind, parent, this page's part of the token's occurrence vector, text and linked characters, and what it stands
+    beside. Token 0 is the page, beside its content."""
 
     def run(batches):
         for batch in batches:
@@ -157,27 +179,31 @@ def _tokens(pages: DataFrame, column: str) -> DataFrame:
                             text[b.paths[-1]] = text.get(b.paths[-1], 0) + len(b.text)
                             links[b.paths[-1]] = links.get(b.paths[-1], 0) + len(b.text) * b.linked
                     for t, (n, parent) in tokens.items():
-                        rows.append((h, t, True, parent, _hash(f"{key} {n}") >> 16, text.get(t, 0), links.get(t, 0)))
+                        rows.append((h, t, True, parent, _hash(f"{key} {n}") >> 16, text.get(t, 0), links.get(t, 0), 0))
+                    own = [b for b in blocks if not b.out]
+                    *others, content = beside(own)
+                    rows.append((h, 0, False, 0, _hash(f"{key}") >> 16, 0, 0, content))
                     found = {}
-                    for b in blocks:
-                        if not b.main and not b.out:
-                            found.setdefault(b.token(), [0, b.paths[-1]])[0] += 1
-                    for t, (n, parent) in found.items():
-                        rows.append((h, t, False, parent, _hash(f"{key} {n}") >> 16, 0, 0))
-                columns = zip(*rows, strict=True) if rows else [[]] * 7
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["host", "token", "tag", "parent", "vector", "chars", "linked"])
+                    for b, other in zip(own, others, strict=True):
+                        if not b.main:
+                            found.setdefault(b.token(), [0, b.paths[-1], other])[0] += 1
+                    for t, (n, parent, other) in found.items():
+                        rows.append((h, t, False, parent, _hash(f"{key} {n}") >> 16, 0, 0, other))
+                columns = zip(*rows, strict=True) if rows else [[]] * 8
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["host", "token", "tag", "parent", "vector", "chars", "linked", "beside"])
 
-    return pages.select(host().alias("host"), F.xxhash64("page_id", "url").alias("key"), F.col(column).alias("html")).mapInArrow(run, "host string, token long, tag boolean, parent long, vector long, chars long, linked long")
+    return pages.select(host().alias("host"), F.xxhash64("page_id", "url").alias("key"), F.col(column).alias("html")).mapInArrow(run, "host string, token long, tag boolean, parent long, vector long, chars long, linked long, beside long")
 
 
 def templates(pages: DataFrame, column: str = "html") -> DataFrame:
     """host, slots (containers whose text is content) and fixed (text blocks of the template): one row for each host."""
     per_token = cut(
         _tokens(pages, column).groupBy("host", "token", "tag")
-        .agg(F.min("parent").alias("parent"), F.count("*").alias("pages"), F.sum("vector").alias("vector"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
+        .agg(F.min("parent").alias("parent"), F.count("*").alias("pages"), F.sum("vector").alias("vector"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.count_distinct("beside").alias("contents"))
+        .where("tag or pages > 1 or token = 0")  # a block of one page is in no class
     )
-    # Every page of a host has its outermost token, so the most frequent one counts its pages.
-    of_host = per_token.groupBy("host").agg(F.max("pages").alias("on"), F.max(F.when(F.col("tag"), F.col("chars"))).alias("most"))
+    # Every page of a host has token 0, which so counts its pages and distinct contents.
+    of_host = per_token.groupBy("host").agg(F.max("pages").alias("on"), F.max(F.when(F.col("token") == 0, F.col("contents"))).alias("of_contents"), F.max(F.when(F.col("tag"), F.col("chars"))).alias("most"))
     sizes = per_token.groupBy("host", "pages", "vector").agg(F.count("*").alias("alike"))
     classed = per_token.join(sizes, ["host", "pages", "vector"]).join(of_host, "host")
     common = (F.col("pages") >= 2) & (F.col("pages") >= F.col("on") * ON_PAGES)
@@ -185,7 +211,7 @@ def templates(pages: DataFrame, column: str = "html") -> DataFrame:
     above = valid.where("valid").select("host", F.col("token").alias("parent"), F.lit(True).alias("nested"))
     nested = valid.join(above, ["host", "parent"], "left").withColumn("template", F.col("valid") & (F.coalesce("nested", F.lit(False)) | (F.col("parent") == F.lit(_hash("")))))
     slot = F.col("template") & (F.col("chars") >= F.col("most") * TEXT_SHARE) & (F.col("chars") > 0) & (F.col("linked") < F.col("chars") * LINK_SHARE)
-    fixed = ~F.col("tag") & (F.col("pages") >= 3) & (F.col("pages") >= F.col("on") * TEXT_ON_PAGES)
+    fixed = ~F.col("tag") & (F.col("token") != 0) & (F.col("contents") >= 3) & (F.col("contents") >= F.col("of_contents") * TEXT_ON_PAGES)
     return nested.where(slot | fixed).groupBy("host").agg(F.collect_set(F.when(slot, F.col("token"))).alias("slots"), F.collect_set(F.when(fixed, F.col("token"))).alias("fixed"))
 
 
@@ -195,7 +221,7 @@ def main_text(page: str | None, slots, fixed) -> str:
     found = [b for b in blocks if b.main]
     if not found:
         slots, fixed = set(slots or ()), set(fixed or ())
-        blocks = [b for b in blocks if b.token() not in fixed]
+        blocks = [b for b in blocks if b.token() not in fixed] or blocks
         found = [b for b in blocks if slots.intersection(b.paths)] or [b for b in blocks if not b.linked] or blocks
     return " ".join(b.text for b in found)
 
