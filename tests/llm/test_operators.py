@@ -68,6 +68,12 @@ def test_copies_are_no_template(spark):
     assert all(got[20 + k] == "Read our terms of use. Story x begins and story x goes on" and got[30 + k] == "All alike" for k in range(3))
 
 
+def test_template_blocks_inside_article(spark):
+    rows = [(k, "http://h.example/", f"<body><article><h1>Title {k}</h1><p>Story {k} of its own</p><p>To be continued</p><div class=x1>Pass it on to your friends</div></article><div class=y>Other {k}</div>") for k in range(6)]
+    got = html_template.digest(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.text for r in got} == {f"Title {k} Story {k} of its own To be continued" for k in range(6)}
+
+
 # 2
 def brute_classes(rows, width, percent):
     sets = {}

@@ -5,8 +5,8 @@ text with the path it stands on. Tokens that occur equally often on each of the
 vector; those are an equivalence class. A class is valid if it occurs on enough pages, has more than one token, and its
 structural tokens nest: each one's parent is of a valid class too. Valid classes, nested, are the template; what it
 leaves open, the slots, is the pages' own content. Blocks of text that recur on many of a host's pages, beside other text each
-time, are part of the template (copies of a page are no evidence of one), and so are, by their names, menus, headers, footers, sidebars, notices, adverts, forms and comments. Of the
-slots, a page's ``article`` or ``main`` is its text, or else those that hold much of the host's text and not mostly links.
+time, are part of the template (copies of a page are no evidence of one), and so are, by their names, menus, headers, footers, sidebars, notices, adverts, forms and comments. Of what
+is left, a page's ``article`` or ``main`` is its text, or else the slots that hold much of the host's text and not mostly links.
 
 At scale: an occurrence vector is kept as a sum of hashes over pages, pre-aggregated where pages are read, so that a host
 with a third of all pages is no single group. A host's template is one row, bounded by the tokens of a page; pages meet it in a
@@ -185,8 +185,7 @@ def _tokens(pages: DataFrame, column: str) -> DataFrame:
                     rows.append((h, 0, False, 0, _hash(f"{key}") >> 16, 0, 0, content))
                     found = {}
                     for b, other in zip(own, others, strict=True):
-                        if not b.main:
-                            found.setdefault(b.token(), [0, b.paths[-1], other])[0] += 1
+                        found.setdefault(b.token(), [0, b.paths[-1], other])[0] += 1
                     for t, (n, parent, other) in found.items():
                         rows.append((h, t, False, parent, _hash(f"{key} {n}") >> 16, 0, 0, other))
                 columns = zip(*rows, strict=True) if rows else [[]] * 8
@@ -216,12 +215,19 @@ def templates(pages: DataFrame, column: str = "html") -> DataFrame:
 
 
 def main_text(page: str | None, slots, fixed) -> str:
-    """The text of a page's content slots. Pages outside the template give all blocks that are not left out."""
+    """The text of a page's content slots. Pages outside the template give all blocks that are not left out.
+
+    Of an ``article`` or ``main``, containers that hold template text alone are left out; a line that recurs among text of the
+    page's own is part of it.
+    """
+    slots, fixed = set(slots or ()), set(fixed or ())
     blocks = [b for b in parse(page or "")[0] if not b.out]
-    found = [b for b in blocks if b.main]
+    free = [b for b in blocks if b.token() not in fixed]
+    own = {b.paths[-1] for b in free}
+    main = [b for b in blocks if b.main]
+    found = [b for b in main if b.paths[-1] in own] or main
     if not found:
-        slots, fixed = set(slots or ()), set(fixed or ())
-        blocks = [b for b in blocks if b.token() not in fixed] or blocks
+        blocks = free or blocks
         found = [b for b in blocks if slots.intersection(b.paths)] or [b for b in blocks if not b.linked] or blocks
     return " ".join(b.text for b in found)
 
