@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -26,3 +26,36 @@ def leaves(df: DataFrame, json: str, depth: int = 8) -> DataFrame:
             inner = here.where(nested).lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).select("pos", "key", F.col("value").alias("w")))
             here = inner.select(*kept, F.when(F.col("key").isNotNull(), F.concat("path", F.lit("."), "key")).otherwise(F.concat("path", F.lit("["), "pos", F.lit("]"))).alias("path"), F.col("w").alias("v"))
     return out
+
+
+#: Of a JSON text: its strings, keys with their colon, and marks of structure.
+_TOKENS = r'"(?:[^"\\]++|\\.)*+"(?:\s*+:)?+|[{}\[\],]'
+_STATE = "struct<stack: array<struct<key: string, pos: int>>, out: array<struct<path: string, value: string>>>"
+
+
+def string_leaves(json: Column, root: Column) -> Column:
+    """The string leaves of a JSON object or array at any depth: array of path (from ``root``) and value. Other texts have none."""
+    valid = json.rlike(r"^\s*[{\[]") & F.get_json_object(json, "$").isNotNull()
+    tokens = F.regexp_extract_all(F.when(valid, json).otherwise(F.lit("")), F.lit(_TOKENS), F.lit(0))
+
+    def text(token):
+        return F.from_json(F.concat(F.lit("["), F.regexp_replace(token, r"\s*:$", ""), F.lit("]")), "array<string>")[0]
+
+    def step(state, token):
+        stack, out = state["stack"], state["out"]
+        top, above = F.element_at(stack, -1), F.slice(stack, 1, F.size(stack) - 1)
+        path = F.concat(root, F.array_join(F.transform(stack, lambda x: F.when(x["pos"] >= 0, F.concat(F.lit("["), x["pos"].cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("."), x["key"]))), ""))
+
+        def level(key, pos):
+            return F.array(F.struct(key.alias("key"), pos.alias("pos")))
+
+        moved = (
+            F.when(token == "{", F.concat(stack, level(F.lit(""), F.lit(-1)))).when(token == "[", F.concat(stack, level(F.lit(""), F.lit(0))))
+            .when(token.isin("}", "]"), above).when((token == ",") & (top["pos"] >= 0), F.concat(above, level(F.lit(""), top["pos"] + 1)))
+            .when(token.endswith(":"), F.concat(above, level(text(token), F.lit(-1)))).otherwise(stack)
+        )
+        found = F.when(token.endswith('"'), F.concat(out, F.array(F.struct(path.alias("path"), F.coalesce(text(token), token).alias("value"))))).otherwise(out)
+        return F.struct(moved.alias("stack"), found.alias("out")).cast(_STATE)
+
+    empty = F.struct(F.array().alias("stack"), F.array().alias("out")).cast(_STATE)
+    return F.aggregate(tokens, empty, step)["out"]

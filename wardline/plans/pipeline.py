@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.leaves import string_leaves
 from ..functions.text import findings
 from ..operators.policy import compiled, rule_rows
 
@@ -12,8 +13,16 @@ FIELDS = ("to", "subject", "body", "command", "path")
 
 
 def inspected(calls: DataFrame) -> DataFrame:
-    """``calls`` (args: map of text) with ``findings`` over all arguments and ``critical``."""
-    found = F.flatten(F.array(*[findings(F.col("args")[f], f) for f in FIELDS]))
+    """``calls`` (args: map of text) with ``findings`` over all arguments and, where one is a JSON object or array, over its
+    string leaves at any depth, and ``critical``. A pattern that a leaf has is not told of its whole argument again."""
+
+    def of(entry):
+        whole = findings(entry["value"], entry["key"])
+        inner = F.flatten(F.transform(string_leaves(entry["value"], entry["key"]), lambda x: findings(x["value"], x["path"])))
+        return F.concat(F.filter(whole, lambda f: ~F.exists(inner, lambda g: g["pattern"] == f["pattern"])), inner)
+
+    none = F.filter(findings(F.lit(""), ""), lambda f: F.lit(False))
+    found = F.coalesce(F.flatten(F.transform(F.map_entries("args"), of)), none)
     return calls.withColumn("findings", found).withColumn("critical", F.exists("findings", lambda x: x["severity"] == "critical"))
 
 
