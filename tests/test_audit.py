@@ -232,3 +232,14 @@ def test_every_argument_and_nested_leaf_is_inspected(spark):
     calls = spark.createDataFrame([(k, "other", a) for k, a, _ in rows], "id long, tool string, args map<string,string>")
     got = {r.id: (r.action, [f.field for f in r.findings]) for r in pipeline.decided(calls).collect()}
     assert got == {k: ("BLOCK" if x else "ALLOW", x) for k, _, x in rows}
+
+
+def test_every_nested_leaf_is_redacted(spark):
+    t = q.planted(spark, SF).selectExpr("doc_id", "text", "struct(text AS a, array(struct(text AS b, doc_id AS n), NULL) AS c, map(text, array(text, NULL)) AS m) AS v")
+    want, v = text.redacted(F.col("text")), text.redacted_leaves(F.col("v"), t.schema["v"].dataType)
+    own = F.expr("struct(want AS a, array(struct(want AS b, doc_id AS n), NULL) AS c, map(text, array(want, NULL)) AS m)")
+    done = t.withColumns({"want": want, "got": v}).withColumn("own", own)
+    assert done.where("want <> text").count() > 0 and done.where(F.to_json("got") != F.to_json("own")).count() == 0
+    untyped = F.pandas_udf(text.redacted_json, "string")
+    j = t.select("doc_id", untyped(F.to_json(F.struct(F.col("v.c").alias("c"), F.col("doc_id").alias("n")))).alias("line"))
+    assert all("123-45-6789" not in r.line and "joe:pass@" not in r.line and json.loads(r.line)["n"] == r.doc_id and json.loads(r.line)["c"][1] is None for r in j.collect())

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..catalogue import INJECTION, PII
 
@@ -29,6 +33,47 @@ def redacted(x: Column, kinds=PII) -> Column:
     return reduce(lambda t, k: F.regexp_replace(t, DIALECT + k[1], f"[REDACTED-{k[0]}]"), kinds, x)
 
 
+def redacted_leaves(x: Column, kind: T.DataType, kinds=PII) -> Column:
+    """``x`` of type ``kind`` with every string leaf of its structs, arrays and map values redacted; names, keys and nulls stay."""
+    if isinstance(kind, T.StringType):
+        return redacted(x, kinds)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(x, lambda v: redacted_leaves(v, kind.elementType, kinds))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(x, lambda _, v: redacted_leaves(v, kind.valueType, kinds))
+    if isinstance(kind, T.StructType):
+        return F.when(x.isNotNull(), F.struct(*[redacted_leaves(x.getField(f.name), f.dataType, kinds).alias(f.name) for f in kind.fields]))
+    return x
+
+
+def redacted_json(values: pd.Series) -> pd.Series:
+    """For ``pandas_udf``: JSON texts of any shape with every string leaf redacted; what is no JSON is redacted as text.
+
+    As Python reads JSON: numbers with a fraction are doubles, and the last of equal keys counts.
+    """
+    each = [(re.compile(p, re.I), f"[REDACTED-{label}]") for label, p in PII]
+
+    def text(x):
+        for p, label in each:
+            x = p.sub(label, x)
+        return x
+
+    def walk(v):
+        if isinstance(v, dict):
+            return {k: walk(x) for k, x in v.items()}
+        return [walk(x) for x in v] if isinstance(v, list) else text(v) if isinstance(v, str) else v
+
+    def one(x):
+        if x is None:
+            return None
+        try:
+            return json.dumps(walk(json.loads(x)), separators=(",", ":"))
+        except (ValueError, RecursionError):
+            return text(x)
+
+    return values.map(one)
+
+
 def redaction_counts(x: Column, kinds=PII) -> list[Column]:
     """How many matches of each kind the redaction of ``x`` replaces."""
     return [F.regexp_count(redacted(x, kinds[:k]), F.lit(DIALECT + p)).alias(label.lower()) for k, (label, p) in enumerate(kinds)]

@@ -370,7 +370,7 @@ def parse_or_quarantine(spark, d):
 @query("""SELECT doc_id, '{"content":{"note":"ssn [REDACTED-SSN]","n":' || doc_id || '}}' AS line FROM documents""")
 def redact_json(spark, d):
     v = table(spark, d, "documents").select("doc_id", F.struct(F.lit("ssn 123-45-6789").alias("note"), F.col("doc_id").alias("n")).alias("content"))
-    return v.select("doc_id", F.to_json(F.struct(F.col("content").withField("note", tx.redacted(F.col("content.note"))).alias("content"))).alias("line"))
+    return v.select("doc_id", F.to_json(F.struct(tx.redacted_leaves(F.col("content"), v.schema["content"].dataType).alias("content"))).alias("line"))
 
 
 # --- scan, report, rules -------------------------------------------------------------------------------------------------
