@@ -1,12 +1,14 @@
 """Adaptive context-mixing range coder for token ids.
 
-Ids are cut into blocks that are coded independently, each from a fresh model, with a checksum of its ids. Order-2 and order-1
-contexts predict the id that followed them last; order 0 predicts an id's number of bits. A token is one symbol, that says which
-prediction holds or how many bits the id has, and in the latter case the bits below the first. The symbol's probabilities are
-mixed from two adaptive tables, one by the previous symbol and one by what the predictions look like; the mix leans to the table
-that did better. A carry-less 64-bit range coder puts out 32-bit words.
+Ids are cut into blocks that are coded independently, each from a fresh model, with a checksum of its ids. The probability of the next
+id is a mix of three predictions: order 2 and order 1 each predict the id that followed their context last, order 0 is an adaptive
+distribution over the ids seen so far, which are kept in ``SLOTS`` hashed slots, and an escape, after which the id's bits follow
+evenly. The weights of orders 2 and 1 adapt after each id, apart for each state of the predictions (which are there, whether they
+agree); contexts learn after each id; order 0 learns at the ends of chunks, short ones first. An id takes one part of the range:
+order 2's if that is right, else order 1's, else its part of order 0. A carry-less 64-bit range coder puts out 32-bit words.
 
-The blocks of a segment are coded together: one numpy step codes the next token of every block.
+The blocks of a group are coded together: a numpy step codes the next id of every block, and what of the encoder doesn't depend on
+the weights is computed for a chunk of all blocks at once. All arithmetic is of integers: files are the same everywhere.
 """
 
 from __future__ import annotations
@@ -16,55 +18,119 @@ import zlib
 
 import numpy as np
 
-BLOCK = 2048
-#: Blocks that are coded together, and slots of a block's tables of predictions.
+#: Ids of a block at most, and at least if there are as many; blocks that are coded together.
+BLOCK = 4096
+LEAST = 2048
 LANES = 1024
-SLOTS = 2048
-#: Symbols: order 2 holds, order 1 holds, bits of the id (0 to 20).
-SYMBOLS = 23
+#: Slots of a block's tables of predictions, by order. The last of order 0 is the escape.
+SLOTS = 1024
+SLOTS_1 = 256
+SLOTS_2 = 1024
+ESCAPE = SLOTS - 1
+#: Bits of order 0's frequencies, and of the mix's weights.
+F0 = 12
+MIX = 15
+#: States of the predictions: whether order 2 has one, and whether order 1 has the same.
 STATES = 4
-MAGIC = b"TIDC\x01"
+#: A weight loses 1/16 and gains the first number at each id, and the second if its prediction was right: it never comes to 0, and
+#: orders 1 and 2 together never to more than about three quarters.
+LEAST_GAIN, GAIN = 4, 1536
+#: Where chunks end, and the length of those that follow.
+CHUNKS = (24, 96, 320, 768, 1408, 2176, 3072)
+CHUNK = 1024
+MAGIC = b"TIDC\x02"
 _LOW = np.uint64(0xFFFFFFFF)
 _32 = np.uint64(32)
+_MIX, _F0, _16 = np.uint64(MIX), np.uint64(F0), np.uint64(16)
+_ALL = np.uint64(1 << MIX)
+_FIELD = np.uint64(0xFFFF)
+#: Two weights lie in one number, order 2's above.
+_LOSS = np.uint32(0x0FFF0FFF)
+_GAINS = np.array([LEAST_GAIN * 0x10001, LEAST_GAIN * 0x10001 + GAIN, LEAST_GAIN * 0x10001 + (GAIN << 16)], np.uint32)
 
 
-class Model:
+def _chunks(block: int) -> list[tuple[int, int]]:
+    ends = [c for c in CHUNKS if c < block] + list(range(CHUNKS[-1] + CHUNK, block, CHUNK)) + [block]
+    return list(zip([0, *ends], ends, strict=False))
+
+
+class Order0:
+    """Each lane's distribution over slots: of every chunk, from the ids before it."""
+
     def __init__(self, lanes: int):
-        self.lane = np.arange(lanes)
-        self.by_symbol = np.ones((lanes * SYMBOLS, SYMBOLS), np.int32)
-        self.by_state = np.ones((lanes * STATES, SYMBOLS), np.int32)
-        self.total_symbol, self.total_state = (np.full(lanes * n, SYMBOLS, np.int64) for n in (SYMBOLS, STATES))
-        self.two = np.full(lanes * SLOTS, -1, np.int32)
-        self.one = np.full(lanes * SLOTS, -1, np.int32)
-        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.symbol, self.lean = np.zeros(lanes, np.int64), np.full(lanes, 4, np.int32)
-
-    def predict(self) -> None:
-        """Predictions of the next id, and the symbol's cumulative frequencies."""
-        self.at_two = self.lane * SLOTS + ((self.last * 0x9E3779B1 + self.before * 0x85EBCA6B >> 7) & (SLOTS - 1))
-        self.at_one = self.lane * SLOTS + (self.last * 0x9E3779B1 >> 9 & (SLOTS - 1))
-        self.id_two, self.id_one = self.two[self.at_two], self.one[self.at_one]
-        state = (self.id_two >= 0) * 2 + (self.id_one >= 0)
-        self.row_a, self.row_b = self.lane * SYMBOLS + self.symbol, self.lane * STATES + state
-        a, b = self.by_symbol[self.row_a], self.by_state[self.row_b]
-        a = np.multiply(a, self.lean[:, None], out=a)
-        a += b * (8 - self.lean)[:, None]
-        self.sums = np.cumsum(a, 1, dtype=np.int32)
-
-    def learn(self, symbol: np.ndarray, ids: np.ndarray) -> None:
-        better = self.by_symbol[self.row_a, symbol] * self.total_state[self.row_b] - self.by_state[self.row_b, symbol] * self.total_symbol[self.row_a]
-        self.lean = np.clip(self.lean + np.sign(better).astype(np.int32), 1, 7)
-        for table, total, row in ((self.by_symbol, self.total_symbol, self.row_a), (self.by_state, self.total_state, self.row_b)):
-            table[row, symbol] += 24
-            total[row] += 24
-        self.two[self.at_two] = self.one[self.at_one] = ids
-        self.before, self.last, self.symbol = self.last, ids, symbol
-
-    def age(self) -> None:
-        """Now and then: halve the frequencies, so that they stay small and follow the text."""
-        for table in (self.by_symbol, self.by_state):
-            table[:] = (table + 1) >> 1
-        self.total_symbol, self.total_state = self.by_symbol.sum(1, dtype=np.int64), self.by_state.sum(1, dtype=np.int64)
+        self.lanes = lanes
+        self.base = np.arange(lanes) * SLOTS
+        self.ids = np.full(lanes * SLOTS, (1 << 31) - 1, np.int64)
+        self.ids.reshape(lanes, SLOTS)[:, ESCAPE] += 1
+        #: Counts and, in the 11 bits below, whether there is one.
+        self.counts = np.zeros((lanes, SLOTS), np.int32)
+        self.counts[:, ESCAPE] = 1 << 11 | 1
+        self.seen = 0
+        self._freeze()
+
+    def _freeze(self) -> None:
+        """What a slot has: its id, where its frequencies start, and how many they are; 32, 16 and 16 bits. The frequencies' sum
+        is 2 ** F0, and a slot in use has one at least."""
+        sums = np.cumsum(self.counts, 1, dtype=np.int32)
+        used = sums & 2047
+        sums >>= 11
+        sums *= ((1 << F0) - used[:, -1:] << 18) // sums[:, -1:]
+        sums >>= 18
+        sums += used
+        sums[:, -1] = 1 << F0
+        sizes = sums.copy()
+        sizes[:, 1:] -= sums[:, :-1]
+        sums -= sizes
+        sums <<= 16
+        sums |= sizes
+        self.slot = self.ids << 32
+        self.slot |= sums.reshape(-1)
+        self.slot = self.slot.view(np.uint64)
+        self.sizes = sizes.reshape(-1)
+
+    def lookup(self) -> np.ndarray:
+        """The slot of each frequency of each lane."""
+        return np.repeat(np.tile(np.arange(SLOTS, dtype=np.uint16), self.lanes), self.sizes)
+
+    def places(self, ids: np.ndarray) -> np.ndarray:
+        return ids % ESCAPE + self.base
+
+    def learn(self, ids: np.ndarray) -> None:
+        """From a chunk of ids (rows are steps)."""
+        at = self.places(ids)
+        escapes = (self.ids[at] != ids).sum(0)
+        at = at.reshape(-1)
+        self.ids[at] = ids.reshape(-1)  # of a slot's ids the last one stays
+        found = np.bincount(at, minlength=self.lanes * SLOTS).astype(np.int32).reshape(self.lanes, SLOTS)
+        found <<= 11
+        self.counts += found
+        self.counts |= found > 0
+        self.seen += len(ids)
+        # As many escapes as in the last chunk; a 48th at least, so that an escape leaves the range wide enough for the id's bits.
+        self.counts[:, ESCAPE] = np.maximum(escapes * self.seen // len(ids), self.seen // 48 + 1) << 11 | 1
+        self._freeze()
+
+
+class Contexts:
+    """What followed each context of orders 1 and 2 last, and the weights of the two."""
+
+    def __init__(self, lanes: int):
+        lane = np.arange(lanes)
+        self.base_1, self.base_2, self.base_state = lane * SLOTS_1, lane * SLOTS_2, lane * STATES
+        self.one, self.two = np.full(lanes * SLOTS_1, -1, np.int32), np.full(lanes * SLOTS_2, -1, np.int32)
+        self.weights = np.full(lanes * STATES, 0x04000400, np.uint32)
+
+    def places(self, last: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a = last.astype(np.uint32) * np.uint32(0x9E3779B1)
+        b = before.astype(np.uint32) * np.uint32(0x85EBCA6B)
+        b += a
+        a >>= np.uint32(24)
+        b >>= np.uint32(22)
+        return self.base_1 + a, self.base_2 + b
+
+    def state(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Where the weights are."""
+        return self.base_state + ((two >= 0).view(np.uint8) * np.uint8(2) + (one == two))
 
 
 class Range:
@@ -72,137 +138,192 @@ class Range:
         self.low = np.zeros(lanes, np.uint64)
         self.range = np.full(lanes, np.uint64(0xFFFFFFFFFFFFFFFF))
 
-    def narrow(self, step: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Take a symbol's part of the range; the lanes that have a word to move."""
-        self.low += step * start
-        self.range = step * size
-        hit = np.flatnonzero(self.range <= _LOW)
+    def narrow(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Take a part of the range; the lanes that have a word to move, which is in ``word``."""
+        self.low += start
+        self.range = size
+        hit = (size <= _LOW).nonzero()[0]
         if len(hit):
-            low, part = self.low[hit], self.range[hit]
-            astride = low >> _32 != low + part >> _32
-            part = np.where(astride, (np.uint64(0) - low) & _LOW, part)
-            self.low[hit], self.range[hit] = low << _32, part << _32
-            self.word = (low >> _32).astype(np.uint32)
+            low, part = self.low.take(hit), size.take(hit)
+            self.word = top = low >> _32
+            astride = ((low + part >> _32) != top).nonzero()[0]
+            if len(astride):
+                part[astride] = (np.uint64(0) - low[astride]) & _LOW
+            low <<= _32
+            part <<= _32
+            self.low[hit], size[hit] = low, part
         return hit
 
 
-def _bits(ids: np.ndarray) -> np.ndarray:
-    return np.frexp(ids.astype(np.float64))[1].astype(np.int64)
-
-
-def encode_blocks(ids: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
-    """The words of each block; ``ids`` are blocks by rows, ``sizes`` (falling) their tokens."""
-    lanes = len(sizes)
-    model, coder = Model(lanes), Range(lanes)
-    out, at = np.zeros((lanes, 2 * BLOCK + 2), np.uint32), np.zeros(lanes, np.int64)
-    bits = _bits(ids)
-    live = np.searchsorted(-sizes, -np.arange(int(sizes[0])) - 0.5) if lanes else []
-    for t in range(int(sizes[0]) if lanes else 0):
-        if live[t] < len(model.lane):
-            _shrink(model, coder, live[t])
-        n = live[t]
-        model.predict()
-        now = ids[:n, t]
-        symbol = np.where(now == model.id_two, 0, np.where(now == model.id_one, 1, bits[:n, t] + 2))
-        end, lane = model.sums[model.lane, symbol], model.lane
-        start = np.where(symbol > 0, model.sums[lane, symbol - 1], 0)
-        hit = coder.narrow(coder.range // model.sums[:, -1].astype(np.uint64), start.astype(np.uint64), (end - start).astype(np.uint64))
-        if len(hit):
-            out[hit, at[hit]] = coder.word
-            at[hit] += 1
-        extra = np.where(symbol > 3, symbol - 3, 0)
-        rest = np.where(symbol > 3, now - (np.int64(1) << extra), 0)
-        hit = coder.narrow(coder.range >> extra.astype(np.uint64), rest.astype(np.uint64), np.ones(n, np.uint64))
-        if len(hit):
-            out[hit, at[hit]] = coder.word
-            at[hit] += 1
-        model.learn(symbol, now)
-        if t % 64 == 63:
-            model.age()
-        for k in np.flatnonzero(sizes[:n] == t + 1).tolist() if n and sizes[n - 1] == t + 1 else ():
-            out[k, at[k]], out[k, at[k] + 1] = int(coder.low[k]) >> 32, int(coder.low[k]) & 0xFFFFFFFF
-            at[k] += 2
-    return [out[k, : at[k]] for k in range(lanes)]
+def encode_blocks(ids: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The words of each block; ``ids`` are blocks by rows, of which each id has at most ``bits`` bits."""
+    lanes, block = ids.shape
+    steps = np.ascontiguousarray(ids.T, np.int32)
+    zero, contexts, coder = Order0(lanes), Contexts(lanes), Range(lanes)
+    out, at = np.zeros(lanes * (block + 4), np.uint32), np.arange(lanes) * (block + 4)
+    last = np.vstack([np.zeros((2, lanes), np.int32), steps])
+    bits = np.uint64(bits)
+    for a, b in _chunks(block):
+        now = steps[a:b]
+        slot = zero.slot.take(zero.places(now))
+        escape = slot >> _32 != now.astype(np.uint64)
+        slot = np.where(escape, zero.slot[zero.base + ESCAPE], slot)
+        start, size = slot >> _16 & _FIELD, slot & _FIELD
+        at_1, at_2 = contexts.places(last[a + 1 : b + 1], last[a:b])
+        one, two = np.empty_like(now), np.empty_like(now)
+        for t in range(b - a):
+            contexts.one.take(at_1[t], out=one[t], mode="clip")
+            contexts.two.take(at_2[t], out=two[t], mode="clip")
+            contexts.one[at_1[t]] = contexts.two[at_2[t]] = now[t]
+        state = contexts.state(one, two)
+        right_2 = two == now
+        right = (one == now) | right_2
+        escape &= ~right
+        gain = _GAINS.take(right.view(np.uint8) + right_2)
+        for t in range(b - a):
+            place = state[t]
+            weights = contexts.weights.take(place)
+            w_2 = weights >> np.uint32(16)
+            both = ((weights & np.uint32(0xFFFF)) + w_2).astype(np.uint64)
+            step = coder.range >> _MIX
+            begin = step * both
+            part = _ALL - both
+            part *= step
+            part >>= _F0
+            begin += part * start[t]
+            part *= size[t]
+            k = right[t].nonzero()[0]
+            if len(k):
+                some = step.take(k)
+                edge = some * w_2.take(k)
+                is_2 = right_2[t].take(k)
+                part[k] = np.where(is_2, edge, some * both.take(k) - edge)
+                edge[is_2] = 0
+                begin[k] = edge
+            k = escape[t].nonzero()[0]
+            if len(k):
+                fine = part.take(k) >> bits
+                begin[k] += fine * now[t].take(k).astype(np.uint64)
+                part[k] = fine
+            hit = coder.narrow(begin, part)
+            if len(hit):
+                to = at.take(hit)
+                out[to] = coder.word
+                at[hit] = to + 1
+            contexts.weights[place] = weights - (weights >> np.uint32(4) & _LOSS) + gain[t]
+        if b < block:
+            zero.learn(now)
+    out[at], out[at + 1] = coder.low >> _32, coder.low & _LOW
+    return [out[k * (block + 4) : at[k] + 2] for k in range(lanes)]
 
 
-def _shrink(model: Model, coder: Range, n: int) -> None:
-    for x, names in ((model, ("last", "before", "symbol", "lean", "lane")), (coder, ("low", "range"))):
-        for name in names:
-            setattr(x, name, getattr(x, name)[:n])
-
-
-def decode_blocks(words: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+def decode_blocks(words: list[np.ndarray], block: int, bits: int) -> np.ndarray:
     """The ids of blocks (by rows)."""
-    lanes = len(sizes)
-    ids = np.zeros((lanes, int(sizes[0]) if lanes else 0), np.int64)
-    model, coder = Model(lanes), Range(lanes)
-    longest = max(map(len, words), default=0) + 4
-    source = np.zeros((lanes, longest), np.uint64)
+    lanes = len(words)
+    zero, contexts, coder = Order0(lanes), Contexts(lanes), Range(lanes)
+    width = max(map(len, words)) + 2
+    source = np.zeros((lanes, width), np.uint32)
     for k, w in enumerate(words):
         source[k, : len(w)] = w
-    code = source[:, 0] << _32 | source[:, 1] if lanes else np.zeros(0, np.uint64)
-    at = np.full(lanes, 2)
-    live = np.searchsorted(-sizes, -np.arange(ids.shape[1]) - 0.5)
-
-    def moved(hit):
-        if len(hit):
-            code[hit] = code[hit] << _32 | source[hit, np.minimum(at[hit], longest - 1)]
-            at[hit] += 1
-
-    for t in range(ids.shape[1]):
-        n = live[t]
-        if n < len(model.lane):
-            _shrink(model, coder, n)
-        model.predict()
-        lane, total = model.lane, model.sums[:, -1]
-        step = coder.range // total.astype(np.uint64)
-        value = np.minimum(((code[:n] - coder.low) // step).astype(np.int64), total - 1)
-        symbol = np.minimum((model.sums <= value[:, None]).sum(1), SYMBOLS - 1)
-        end = model.sums[lane, symbol]
-        start = np.where(symbol > 0, model.sums[lane, symbol - 1], 0)
-        moved(coder.narrow(step, start.astype(np.uint64), (end - start).astype(np.uint64)))
-        extra = np.where(symbol > 3, symbol - 3, 0)
-        step = coder.range >> extra.astype(np.uint64)
-        rest = np.minimum((code[:n] - coder.low) // step, (np.uint64(1) << extra.astype(np.uint64)) - np.uint64(1))
-        moved(coder.narrow(step, rest, np.ones(n, np.uint64)))
-        now = np.where(symbol == 0, model.id_two, np.where(symbol == 1, model.id_one, np.where(symbol == 2, 0, (np.int64(1) << extra) + rest.astype(np.int64))))
-        ids[:n, t] = now
-        model.learn(symbol, now)
-        if t % 64 == 63:
-            model.age()
-    return ids
+    source = source.reshape(-1)
+    code = source[::width].astype(np.uint64) << _32 | source[1::width]
+    at = np.arange(lanes) * width + 2
+    steps = np.zeros((block, lanes), np.int32)
+    last = before = np.zeros(lanes, np.int32)
+    base = np.arange(lanes) << F0
+    full = np.uint64((1 << F0) - 1)
+    most, bits = np.uint64((1 << bits) - 1), np.uint64(bits)
+    for a, b in _chunks(block):
+        lookup = zero.lookup()
+        for t in range(a, b):
+            at_1, at_2 = contexts.places(last, before)
+            one, two = contexts.one.take(at_1), contexts.two.take(at_2)
+            place = contexts.state(one, two)
+            weights = contexts.weights.take(place)
+            w_2 = weights >> np.uint32(16)
+            both = ((weights & np.uint32(0xFFFF)) + w_2).astype(np.uint64)
+            step = coder.range >> _MIX
+            begin = step * both
+            part = _ALL - both
+            part *= step
+            part >>= _F0
+            value = code - coder.low
+            right = value < begin
+            inner = value - begin  # far too large where it is below, and cut then
+            inner //= part
+            np.minimum(inner, full, out=inner)
+            inner = inner.view(np.int64)
+            inner += base
+            inner = lookup.take(inner)
+            slot = zero.slot.take(zero.base + inner)
+            begin += part * (slot >> _16 & _FIELD)
+            part *= slot & _FIELD
+            slot >>= _32
+            now = slot.astype(np.int32)
+            escape = now < 0
+            gain = _GAINS[:1].repeat(lanes)
+            k = right.nonzero()[0]
+            if len(k):
+                escape[k] = False
+                some = step.take(k)
+                edge = some * w_2.take(k)
+                is_2 = value.take(k) < edge
+                part[k] = np.where(is_2, edge, some * both.take(k) - edge)
+                edge[is_2] = 0
+                begin[k] = edge
+                now[k] = np.where(is_2, two.take(k), one.take(k))
+                gain[k] = np.where(is_2, _GAINS[2], _GAINS[1])
+            k = escape.nonzero()[0]
+            if len(k):
+                fine, first = part.take(k) >> bits, begin.take(k)
+                raw = np.minimum((value.take(k) - first) // fine, most)
+                begin[k] = first + fine * raw
+                part[k] = fine
+                now[k] = raw
+            hit = coder.narrow(begin, part)
+            if len(hit):
+                where = at.take(hit)
+                code[hit] = code.take(hit) << _32 | source.take(where, mode="clip")
+                at[hit] = where + 1
+            contexts.weights[place] = weights - (weights >> np.uint32(4) & _LOSS) + gain
+            contexts.one[at_1] = contexts.two[at_2] = now
+            steps[t] = now
+            before, last = last, now
+        if b < block:
+            zero.learn(steps[a:b])
+    return np.ascontiguousarray(steps.T)
 
 
 def encode(ids: np.ndarray) -> bytes:
-    """A segment: header, each block's tokens, words and checksum, then the words of all blocks."""
-    n = -(-len(ids) // BLOCK)
-    padded = np.zeros(n * BLOCK, np.int64)
-    padded[: len(ids)] = ids
-    rows = padded.reshape(n, BLOCK)
-    sizes = np.full(n, BLOCK, np.int64)
-    if n:
-        sizes[-1] = len(ids) - (n - 1) * BLOCK
-    words = [w for a in range(0, n, LANES) for w in encode_blocks(rows[a : a + LANES], sizes[a : a + LANES])]
-    heads = [struct.pack("<III", int(s), len(w), zlib.crc32(r[:s].astype("<u4").tobytes())) for s, w, r in zip(sizes, words, rows, strict=True)]
-    return MAGIC + struct.pack("<I", n) + b"".join(heads) + b"".join(w.astype("<u4").tobytes() for w in words)
+    """A segment: header, each block's words and checksum, then the words of all blocks. The last block is filled up with 0."""
+    n = len(ids)
+    block = max(LEAST, -(-n // (LANES * max(1, -(-n // (LANES * BLOCK))))))
+    blocks = -(-n // block)
+    bits = max(1, int(ids.max()).bit_length()) if n else 1
+    if n and (int(ids.min()) < 0 or bits > 20):
+        raise ValueError("ids are of 0 to 20 bits")
+    padded = np.zeros(blocks * block, np.int32)
+    padded[:n] = ids
+    rows = padded.reshape(blocks, block)
+    words = [w for a in range(0, blocks, LANES) for w in encode_blocks(rows[a : a + LANES], bits)]
+    heads = [struct.pack("<II", len(w), zlib.crc32(r.astype("<u4").tobytes())) for w, r in zip(words, rows, strict=True)]
+    return MAGIC + struct.pack("<QII", n, block, bits) + b"".join(heads) + b"".join(w.astype("<u4").tobytes() for w in words)
 
 
 def decode(data: bytes) -> np.ndarray:
     """The ids of a segment; ValueError if it is damaged."""
     if data[: len(MAGIC)] != MAGIC:
         raise ValueError("no segment of token ids")
-    n = struct.unpack_from("<I", data, len(MAGIC))[0]
-    at = len(MAGIC) + 4
-    heads = np.frombuffer(data, "<u4", 3 * n, at).reshape(n, 3)
-    at += 12 * n
-    ends = np.cumsum(heads[:, 1].astype(np.int64))
-    words = np.frombuffer(data, "<u4", int(ends[-1]) if n else 0, at)
-    parts = np.split(words, ends[:-1]) if n else []
-    out = []
-    for a in range(0, n, LANES):
-        rows = decode_blocks(parts[a : a + LANES], heads[a : a + LANES, 0].astype(np.int64))
-        for row, (size, _, crc) in zip(rows, heads[a : a + LANES].tolist(), strict=True):
-            out.append(row[:size])
-            if zlib.crc32(out[-1].astype("<u4").tobytes()) != crc:
-                raise ValueError("a block's checksum is wrong")
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
+    n, block, bits = struct.unpack_from("<QII", data, len(MAGIC))
+    at, blocks = len(MAGIC) + 16, -(-n // block) if block else 0
+    heads = np.frombuffer(data, "<u4", 2 * blocks, at).reshape(blocks, 2)
+    ends = np.cumsum(heads[:, 0].astype(np.int64))
+    words = np.frombuffer(data, "<u4", int(ends[-1]) if blocks else 0, at + 8 * blocks)
+    parts = np.split(words, ends[:-1]) if blocks else []
+    out = np.zeros((blocks, block), np.int32)
+    for a in range(0, blocks, LANES):
+        out[a : a + LANES] = decode_blocks(parts[a : a + LANES], block, bits)
+    for row, crc in zip(out, heads[:, 1].tolist(), strict=True):
+        if zlib.crc32(row.astype("<u4").tobytes()) != crc:
+            raise ValueError("a block's checksum is wrong")
+    return out.reshape(-1)[:n]

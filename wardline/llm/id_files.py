@@ -16,7 +16,6 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,14 +23,30 @@ from pyspark.sql import functions as F
 from . import id_coder
 from .common import cut, partitions
 
-SEGMENT = id_coder.BLOCK * id_coder.LANES
+SEGMENT = id_coder.BLOCK * id_coder.LANES - 200_000
 END = 2
-#: Pre-tokens whose ids a worker keeps; then it starts anew.
-CACHE = 300_000
+#: Pre-tokens that a worker keeps with their ids, and ids kept for them; then it starts anew. Longer ones (in code points) are not kept.
+CACHE = 1_200_000
+POOL = 8_000_000
+LONGEST = 32
+#: Code points that are worked on at a time.
+SLICE = 400_000
+#: What follows an apostrophe to make a pre-token with it.
+CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
+LETTER, NUMBER, OTHER, SPACE, EDGE, UNKNOWN = range(6)
+_ODD, _BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+_32, _FIELD = np.uint64(32), np.uint64(0xFFFFFFFF)
 
 
 class ByteEncoder:
-    """The tokenizers library's ids for a byte-level vocabulary, asked once for each distinct pre-token."""
+    """The tokenizers library's ids for a byte-level vocabulary, asked once for each distinct pre-token.
+
+    Many texts are split at once, by array operations over their code points, into runs of letters, of numbers, of others and of white
+    space; a space before a run is part of it. Of which kind a code point is, is asked of the library too. Pre-tokens are known by
+    64-bit hashes. Texts that name a special token go to the library whole, and so do long pre-tokens.
+    """
+
+    BITS = 21
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -41,20 +56,176 @@ class ByteEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-        self.cache: dict[str, tuple[int, ...]] = {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        split = [None if any(s in t for s in self.special) else self.words.findall(t) for t in texts]
-        new = list(set().union(*(w for w in split if w)) - self.cache.keys())
-        self.cache.update((w, tuple(e.ids)) for w, e in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True))
-        known = self.cache.__getitem__
-        return [
-            np.array(self.library.encode(t, add_special_tokens=False).ids, np.int32) if w is None else np.fromiter(chain.from_iterable(map(known, w)), np.int32)
-            for t, w in zip(texts, split, strict=True)
-        ]
+        self.kinds = np.full(0x110000, UNKNOWN, np.uint8)
+        self.mixed = np.arange(1, 0x110001, dtype=np.uint64) * np.uint64(_ODD)
+        self.mixed ^= self.mixed >> np.uint64(29)
+        each = np.ones(SLICE + LONGEST + 1, np.uint64)
+        each[1:] = _BASE
+        self.powers = np.cumprod(each)
+        each[1:] = pow(_BASE, -1, 1 << 64)
+        self.inverse = np.cumprod(each)
+        self._clear()
+
+    def _clear(self) -> None:
+        """The table by hash: a key, and where its ids start in the pool and how many they are, of 32 bits each."""
+        self.keys, self.found = np.zeros((2, 1 << self.BITS), np.uint64)
+        self.pool, self.used, self.known = np.zeros(1 << 16, np.int32), 0, 0
+
+    def _kinds(self, points: np.ndarray) -> np.ndarray:
+        kinds = self.kinds.take(points)
+        if kinds.max() == UNKNOWN:
+            split = self.library.pre_tokenizer.pre_tokenize_str
+            for c in set(points[kinds == UNKNOWN].tolist()):
+                self.kinds[c] = next((kind for kind, x in enumerate("a1!") if len(split(x + chr(c))) == 1), SPACE)
+            kinds = self.kinds.take(points)
+        return kinds
+
+    def _starts(self, points: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """Where pre-tokens start. Texts end with a point of ``edges``, which is a pre-token itself."""
+        kinds = self._kinds(points)
+        kinds[edges] = EDGE
+        starts = np.ones(len(points), bool)
+        np.not_equal(kinds[1:], kinds[:-1], out=starts[1:])
+        starts[edges] = True
+        last_space = (kinds == SPACE)[:-1] & (kinds[1:] < SPACE)
+        starts[:-1] |= last_space
+        starts[1:] &= ~(last_space & (points[:-1] == 32))
+        ticks = ((points == 39) & starts).nonzero()[0]
+        ticks = ticks[kinds[ticks + 1] == LETTER]
+        if len(ticks):
+            first = points[ticks + 1]
+            second = np.where(kinds[ticks + 2] == LETTER, points[ticks + 2], 0)
+            for c in CONTRACTIONS:
+                at = ticks[(first == ord(c[0])) & (second == ord(c[1]) if len(c) > 1 else True)] + 1
+                starts[at] = False
+                at += len(c)
+                starts[at[kinds[at] == LETTER]] = True
+        return starts.nonzero()[0]
+
+    def _hashes(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Of each pre-token, of which long ones have any number."""
+        out = np.empty(len(starts), np.uint64)
+        for a in range(0, len(points), SLICE):
+            lo, hi = np.searchsorted(starts, (a, a + SLICE))
+            part = points[a : a + SLICE + LONGEST]
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(self.mixed.take(part) * self.powers[: len(part)], out=sums[1:])
+            at = starts[lo:hi] - a
+            out[lo:hi] = (sums.take(ends[lo:hi] - a, mode="clip") - sums.take(at)) * self.inverse.take(at)
+        out ^= out >> np.uint64(31)
+        out *= np.uint64(_ODD)
+        out ^= out >> _32
+        out *= np.uint64(_BASE)
+        return out | np.uint64(1)
+
+    def _keep(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Ids put into the pool: where each one's are, and how many."""
+        ends = self.used + np.cumsum(sizes)
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(len(ids) + len(self.pool), np.int32)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        return (ends - sizes << 32 | sizes).astype(np.uint64)
+
+    def _ask_each(self, texts: list[str], after: tuple = ()) -> np.ndarray:
+        got = [[*e.ids, *after] for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        return self._keep(np.fromiter(chain.from_iterable(got), np.int32, int(sizes.sum())), sizes)
+
+    def _ask(self, words: list[str]) -> np.ndarray:
+        """The library's ids of pre-tokens. Those that start with a space and go on are asked for as one text: they don't run together."""
+        spaced = np.fromiter((len(w) > 1 and w[0] == " " and self.kinds[ord(w[1])] != SPACE for w in words), bool, len(words))
+        out = np.empty(len(words), np.uint64)
+        k = spaced.nonzero()[0]
+        if len(k):
+            got = self.library.encode("".join([words[i] for i in k.tolist()]), add_special_tokens=False)
+            out[k] = self._keep(np.array(got.ids, np.int32), np.bincount(np.array(got.word_ids, np.int64), minlength=len(k)))
+        k = (~spaced).nonzero()[0]
+        if len(k):
+            out[k] = self._ask_each([words[i] for i in k.tolist()])
+        return out
+
+    def _look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What is found for each key, and which are not there."""
+        place = (keys >> np.uint64(64 - self.BITS)).view(np.int64)
+        there = self.keys.take(place)
+        found = self.found.take(place)
+        other = (there != keys).nonzero()[0]
+        missing = [other[:0]]
+        while len(other):
+            free = there.take(other) == 0 if len(missing) == 1 else there == 0
+            missing.append(other[free])
+            other = other[~free]
+            place = place[other] + 1 & (1 << self.BITS) - 1 if len(missing) == 2 else place[~free] + 1 & (1 << self.BITS) - 1
+            there = self.keys.take(place)
+            same = there == keys[other]
+            found[other[same]] = self.found.take(place[same])
+            other, place, there = other[~same], place[~same], there[~same]
+        return found, np.concatenate(missing)
+
+    def _insert(self, keys: np.ndarray, found: np.ndarray) -> None:
+        """New and distinct keys: each goes to the first free place from its own on."""
+        place = (keys >> np.uint64(64 - self.BITS)).view(np.int64)
+        self.known += len(keys)
+        while len(keys):
+            free = self.keys.take(place) == 0
+            self.keys[place[free]], self.found[place[free]] = keys[free], found[free]
+            rest = self.keys.take(place) != keys
+            keys, found, place = keys[rest], found[rest], place[rest] + 1 & (1 << self.BITS) - 1
+
+    def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, with ``end`` after each if there is one; and how many are each text's."""
+        if not texts:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        if self.known > CACHE or self.used > POOL:
+            self._clear()
+        whole = [k for k, t in enumerate(texts) if any(s in t for s in self.special)]
+        after = () if end is None else (end,)
+        edge = np.repeat(self._keep(np.array(after, np.int32), np.array([len(after)])), len(texts))
+        if whole:
+            edge[whole] = self._ask_each([texts[k] for k in whole], after)
+            texts = list(texts)
+            for k in whole:
+                texts[k] = ""
+        joined = "\0".join(texts) + "\0"
+        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        edges = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
+        starts = self._starts(points, edges)
+        ends = np.append(starts[1:], len(points))
+        keys = self._hashes(points, starts, ends)
+        last = np.searchsorted(starts, edges)
+        keys[last] = 0
+        short = ends - starts <= LONGEST
+        short[last] = True
+        long = (~short).nonzero()[0]
+        keys[long] = 0
+        found, missing = self._look_up(keys)
+        missing = missing[keys[missing] != 0]
+        if len(missing):
+            new, first, back = np.unique(keys[missing], return_index=True, return_inverse=True)
+            known = self._ask([joined[a:b] for a, b in zip(starts[missing[first]].tolist(), ends[missing[first]].tolist(), strict=True)])
+            self._insert(new, known)
+            found[missing] = known[back]
+        if len(long):
+            found[long] = self._ask([joined[a:b] for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)])
+        found[last] = edge
+        sizes = (found & _FIELD).view(np.int64)
+        sums = np.cumsum(sizes)
+        at = np.repeat((found >> _32).view(np.int64) - (sums - sizes), sizes)
+        at += np.arange(len(at))
+        return self.pool.take(at), np.diff(sums[last], prepend=0)
+
+
+def slices(texts: list[str]):
+    """Runs of texts of about ``SLICE`` code points."""
+    a = size = 0
+    for k, t in enumerate(texts):
+        size += len(t)
+        if size >= SLICE:
+            yield texts[a : k + 1]
+            a, size = k + 1, 0
+    if a < len(texts):
+        yield texts[a:]
 
 
 @functools.lru_cache(maxsize=2)
@@ -70,22 +241,25 @@ def write(docs: DataFrame, path: str, end: int = END) -> DataFrame:
     order = F.xxhash64("text")
 
     def run(batches):
-        shard, n, ids, found, size = TaskContext.get().partitionId(), 0, [], [], 0
+        shard, n, ids, sizes, found, size = TaskContext.get().partitionId(), 0, [], [], [], 0
         bpe = encoder(path)
 
         def row():
-            return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([n]), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(x) for x in found]], pa.list_(pa.int64())), pa.array([id_coder.encode(np.concatenate(found))], pa.binary())], names=["shard", "segment", "doc_ids", "sizes", "data"])
+            data = id_coder.encode(np.concatenate(found))
+            return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([n]), pa.array([ids], pa.list_(pa.int64())), pa.array([np.concatenate(sizes)], pa.list_(pa.int64())), pa.array([data], pa.binary())], names=["shard", "segment", "doc_ids", "sizes", "data"])
 
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
-                for i, x in zip(part.column(0).to_pylist(), bpe.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                    ids.append(i)
-                    found.append(np.append(x, end))
-                    size += len(x) + 1
-                    if size >= SEGMENT:
-                        yield row()
-                        n, ids, found, size = n + 1, [], [], 0
+            at, doc_ids = 0, batch.column(0).to_pylist()
+            for texts in slices([t or "" for t in batch.column(1).to_pylist()]):
+                got, each = bpe.encode(texts, end)
+                ids += doc_ids[at : at + len(texts)]
+                at += len(texts)
+                found.append(got)
+                sizes.append(each)
+                size += len(got)
+                if size >= SEGMENT:
+                    yield row()
+                    n, ids, sizes, found, size = n + 1, [], [], [], 0
         if ids:
             yield row()
 
@@ -94,7 +268,7 @@ def write(docs: DataFrame, path: str, end: int = END) -> DataFrame:
 
 
 def read(segments: DataFrame) -> DataFrame:
-    """doc_id, start, ids of every document in ``segments``."""
+    """doc_id, start, ids of every document in ``segments``. A row for each written row, repeated ones too; none if there are none."""
     totals = segments.select("shard", "segment", F.aggregate("sizes", F.lit(0).cast("long"), lambda s, x: s + x).alias("n"))
     shards = sorted(totals.groupBy("shard").agg(F.sum("n")).collect())
     sums = np.cumsum([0, *(n for _, n in shards)]).tolist()
@@ -117,7 +291,7 @@ def read(segments: DataFrame) -> DataFrame:
 
 
 def digest(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, start, n_tokens and the checksum of each document's ids, as read back."""
+    """doc_id, start, n_tokens and the checksum of each document's ids, as read back. Empty texts have the end alone."""
     found = read(write(docs, path))
 
     def run(batches):
