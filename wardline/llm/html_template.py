@@ -5,21 +5,30 @@ text with the path it stands on. Tokens that occur equally often on each of the
 vector; those are an equivalence class. A class is valid if it occurs on enough pages, has more than one token, and its
 structural tokens nest: each one's parent is of a valid class too. Valid classes, nested, are the template; what it
 leaves open, the slots, is the pages' own content. Blocks of text that recur on many of a host's pages, beside other text each
-time, are part of the template (copies of a page are no evidence of one), and so are, by their names, menus, headers, footers, sidebars, notices, adverts, forms and comments. Of what
-is left, a page's ``article`` or ``main`` is its text, or else the slots that hold much of the host's text and not mostly links.
+time, are part of the template (copies of a page are no evidence of one).
+
+The template's main slot is the deepest of its elements below ``body`` that holds nearly all of the host's text, or, before that, an
+``article`` or ``main`` that holds much of it; without either, the slots are all elements that hold much text of their own. A page's text
+is what stands in the template's slots, without template text. Menus, headers, footers, sidebars, notices, adverts, forms and
+comments are left out by their elements and, for containers, by words in their names; headings, paragraphs, cells and articles only
+where such a word is a whole name, a page's body never. Pages that have none of their template's slots, and those of hosts without a
+template, give their ``article`` or ``main``, or else all blocks that are not mostly links.
 
 At scale: an occurrence vector is kept as a sum of hashes over pages, pre-aggregated where pages are read, so that a host
-with a third of all pages is no single group. A host's template is one row, bounded by the tokens of a page; pages meet it in a
-left join, whose hot hosts adaptive execution splits. Pages are parsed twice and shuffled once. What stands beside a block is a hash,
+with a third of all pages is no single group. A host's template is one row, bounded by the tokens of a page. Pages meet it in a
+join by host; hosts of more than a ``HOT`` th of all pages (at most ``HOT`` of them) are dealt out by a salt too, and their templates
+repeated for each salt. Pages are parsed twice and shuffled once at most. What stands beside a block is a hash,
 counted in two steps, so that a block of all pages is no single group either.
 
-A page whose blocks are all of the template keeps them. Null html gives an empty text. Pages without a host are one host. Repeated pages are extracted each; extra columns are kept,
-those named ``text`` and ``n_chars`` replaced. Unclosed, misnested and cut tags are read as far as they go.
+A page whose blocks are all of the template keeps them. Null html gives an empty text. Pages without a host are one host. Repeated
+pages are extracted each; extra columns are kept, those named ``text`` and ``n_chars`` replaced. Unclosed, misnested and cut tags are
+read as far as they go.
 """
 
 from __future__ import annotations
 
 import bisect
+import functools
 import html
 import itertools
 import re
@@ -38,24 +47,38 @@ ON_PAGES = 0.5
 TEXT_ON_PAGES = 0.2
 #: What stands beside a block: the longest other blocks of the page that have this share of its other text.
 BESIDE = 0.9
-#: A slot is content if it has this share of the text of the host's largest one, and is not mostly links.
+#: The main slot has this share of a host's text; an article or main, this one.
+MAIN_SHARE = 0.8
+ARTICLE_SHARE = 0.2
+#: Without a main slot, a slot is content if it has this share of the text of the host's largest one.
 TEXT_SHARE = 0.2
-LINK_SHARE = 0.5
+#: A host with more than a HOT th of all pages is dealt out by a salt.
+HOT = 1000
 
-#: Elements whose content is no text of the page, that end a block, that have no end tag, that are left out.
-RAW = "script|style|noscript|template|iframe|svg|textarea|select|math|object|audio|video|canvas|title"
+#: Elements whose content is no text of the page (if never closed, the rest of the page is theirs; of the second, nothing),
+#: elements that end a block, that have no end tag, that are left out.
+RAW = frozenset("script style noscript template iframe textarea title".split())
+EMBEDDED = frozenset("svg math select object audio video canvas".split())
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 LEFT_OUT = frozenset("nav header footer aside form head button dialog menu label legend fieldset".split())
 CONTAINERS = frozenset("article body center details div footer form header main nav section aside table tbody tr td ul ol dl figure blockquote".split())
 #: Elements that an opening tag of the same kind closes.
 NO_NESTING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-HINT = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|cookiebar|disqus|disclaimer|footer|gdpr|header|login|masthead|menu|menubar|modal|nav|navbar|navigation|newsletter|notice|notification|outbrain|overlay|pagination|pager|popup|promo|promoted|recommended|related|replies|reply|respond|rss|search|searchbox|share|sharing|sidebar|signup|skip|social|sponsor|sponsored|subscribe|subscription|taboola|tags|toolbar|topbar|widget)(?=$|[\s_-])", re.I)
+#: Words of names of what is left out; first words of names that say that something is, or isn't, elsewhere.
+HINTS = r"ad|ads|adv|advert\w*|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|cookiebar|disqus|disclaimer|footer|gdpr|header|login|masthead|menu|menubar|modal|nav|navbar|navigation|newsletter|notice|notification|outbrain|overlay|pagination|pager|popup|promo|promoted|recommended|related|replies|reply|respond|rss|search|searchbox|share|sharing|sidebar|signup|skip|social|sponsor|sponsored|subscribe|subscription|taboola|tags|toolbar|topbar|widget"
+PART = re.compile(rf"(?:^|[_-])(?:{HINTS})(?=$|[_-])", re.I)
+WHOLE = re.compile(rf"(?:{HINTS})", re.I)
+ELSEWHERE = re.compile(r"(?:no|non|not|has|with|without|is)(?:[_-]|$)", re.I)
+#: Elements that only a whole name leaves out, and that none does.
+BY_WHOLE_NAME = frozenset("article h1 h2 h3 h4 h5 h6 p li dd dt td th tr blockquote pre code figure figcaption".split())
+NEVER = frozenset("html body main".split())
 TAGS = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*+(?:>.*?(?:</\1\b[^>]*+(?:>|\Z)|\Z)|\Z)|<[!?][^>]*+(?:>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)"
     r"|<(/?)([a-z][a-z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<(/?)([a-z][a-z0-9:-]*+)([^>]*+)(?:>|\Z)|[^<]++|<",
     re.S | re.I,
 )
+CLOSE = {name: re.compile(rf"</{name}\b[^>]*+(?:>|\Z)", re.I) for name in RAW | EMBEDDED}
 NAMES = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?", re.I)
 
 
@@ -63,6 +86,17 @@ def _hash(s: str) -> int:
     return xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+@functools.lru_cache(maxsize=100_000)
+def left_out(element: str, names: tuple[str, ...]) -> bool:
+    """Whether an element's names (its class, id and role) leave it out."""
+    if element in NEVER:
+        return False
+    words = [w for n in names for w in n.split()]
+    if element in BY_WHOLE_NAME:
+        return any(map(WHOLE.fullmatch, words))
+    return any(PART.search(w) and not ELSEWHERE.match(w) for w in words)
+
+
 class Element:
     __slots__ = ("name", "out", "path", "link", "main")
 
@@ -71,48 +105,66 @@ class Element:
 
 
 class Block:
-    """A block of text: its words, the hash of the container's path and of those above, what it is part of."""
+    """A block of text: its words, the hashes of its container's path and of those above, what it is part of."""
 
-    __slots__ = ("text", "paths", "out", "main", "linked")
+    __slots__ = ("text", "paths", "main", "linked")
 
-    def __init__(self, text, paths, out, main, linked):
-        self.text, self.paths, self.out, self.main, self.linked = text, paths, out, main, linked
+    def __init__(self, text, paths, main, linked):
+        self.text, self.paths, self.main, self.linked = text, paths, main, linked
 
     def token(self) -> int:
         return _hash(f"{self.paths[-1]} {self.text}")
 
 
 def parse(page: str) -> tuple[list[Block], dict[int, list]]:
-    """The page's blocks in order, and for each structural token its count and parent."""
+    """The page's blocks in order, without what is left out; for each structural token its count, parent, depth and rank: 2 for article
+    and main, 0 for body and html, else 1."""
     root = Element("", False, (_hash(""),), False, False)
     stack, blocks, tokens, buffer = [root], [], {}, []
     linked = size = 0
     seen_main = False
+    never_closed = set()
 
     def flush():
         nonlocal linked, size
         if buffer:
             text = " ".join(html.unescape("".join(buffer)).split())
             if text:
-                top = stack[-1]
-                blocks.append(Block(text, top.path, top.out, top.main, linked * 2 > size))
+                home = next(e for e in reversed(stack) if e.name in BLOCKS or e is root)
+                blocks.append(Block(text, home.path, home.main, linked * 2 > size))
             buffer.clear()
         linked = size = 0
 
-    for m in TAGS.finditer(page):
+    at, end = 0, len(page)
+    while at < end:
+        m = TAGS.match(page, at)
+        at = m.end()
         got = m.group()
         if got[0] != "<" or got == "<":
-            buffer.append(got)
-            size += len(got)
-            linked += len(got) if stack[-1].link else 0
+            if not stack[-1].out:
+                buffer.append(got)
+                size += len(got)
+                linked += len(got) if stack[-1].link else 0
             continue
-        name = m.group(3) or m.group(6)
+        name = m.group(2) or m.group(5)
         if not name:
             continue
         name = name.lower()
+        closing = m.group(1) or m.group(4)
+        attributes = m.group(3) if m.group(3) is not None else m.group(6) or ""
+        if name in CLOSE:
+            if not closing and name not in never_closed and not (name in ("svg", "math") and attributes.endswith("/")):
+                close = CLOSE[name].search(page, at)
+                if close:
+                    at = close.end()
+                elif name in RAW:
+                    at = end
+                else:
+                    never_closed.add(name)
+            continue
         if name in BLOCKS:
             flush()
-        if m.group(2) or m.group(5):
+        if closing:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].name == name:
                     del stack[k:]
@@ -127,16 +179,16 @@ def parse(page: str) -> tuple[list[Block], dict[int, list]]:
                 del stack[k:]
                 break
         top = stack[-1]
-        attributes = m.group(4) if m.group(4) is not None else m.group(7) or ""
         named = {a.lower(): x or y or z for a, x, y, z in NAMES.findall(attributes)} if "=" in attributes or "hidden" in attributes.lower() else {}
-        out = top.out or name in LEFT_OUT or any(HINT.search(named.get(a, "")) for a in ("class", "id", "role")) or "hidden" in named or named.get("aria-hidden", "") == "true"
+        by_name = bool(named) and (left_out(name, (named.get("class", ""), named.get("id", ""), named.get("role", ""))) or "hidden" in named or named.get("aria-hidden", "") == "true")
+        out = top.out or name in LEFT_OUT or by_name
         main = top.main or name in ("article", "main")
         if name in ("article", "main") and not seen_main and not any(e.name in ("aside", "footer") for e in stack):
-            seen_main, out = True, bool(HINT.search(named.get("class", "")))  # a part that was never closed doesn't swallow it
+            seen_main, out = True, by_name  # a part that was never closed doesn't swallow it
         path = top.path
         if name in CONTAINERS or named.get("class") or named.get("id"):
             token = _hash(f"{path[-1]} {name} {named.get('class', '')} {named.get('role', '')}")
-            tokens.setdefault(token, [0, path[-1]])[0] += 1
+            tokens.setdefault(token, [0, path[-1], len(path), 2 if name in ("article", "main") else name not in ("body", "html")])[0] += 1
             path = (*path, token)
         stack.append(Element(name, out, path, top.link or name == "a", main))
     flush()
@@ -162,9 +214,13 @@ def host(url: str = "url"):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
+TOKEN = "host string, token long, tag boolean, parent long, depth int, rank int, vector long, chars long, below long, beside long"
+
+
 def _tokens(pages: DataFrame, column: str) -> DataFrame:
-    """host, token, kind, parent, this page's part of the token's occurrence vector, text and linked characters, and what it stands
-    beside. Token 0 is the page, beside its content."""
+    """host, token, kind, parent, depth and rank, this page's part of the token's occurrence vector, characters of text in it and in
+    all below that are not links, and what it stands beside. Token 0 is the page, beside its content."""
+    types = [pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 4]
 
     def run(batches):
         for batch in batches:
@@ -173,71 +229,100 @@ def _tokens(pages: DataFrame, column: str) -> DataFrame:
                 part = batch.slice(a, 200)
                 for h, key, page in zip(*(part.column(c).to_pylist() for c in range(3)), strict=True):
                     blocks, tokens = parse(page or "")
-                    text, links = {}, {}
+                    text, below, total = {}, {}, 0
                     for b in blocks:
-                        if not b.out:
+                        if not b.linked:
+                            total += len(b.text)
                             text[b.paths[-1]] = text.get(b.paths[-1], 0) + len(b.text)
-                            links[b.paths[-1]] = links.get(b.paths[-1], 0) + len(b.text) * b.linked
-                    for t, (n, parent) in tokens.items():
-                        rows.append((h, t, True, parent, _hash(f"{key} {n}") >> 16, text.get(t, 0), links.get(t, 0), 0))
-                    own = [b for b in blocks if not b.out]
-                    *others, content = beside(own)
-                    rows.append((h, 0, False, 0, _hash(f"{key}") >> 16, 0, 0, content))
+                            for t in b.paths:
+                                below[t] = below.get(t, 0) + len(b.text)
+                    for t, (n, parent, depth, rank) in tokens.items():
+                        rows.append((h, t, True, parent, depth, int(rank), _hash(f"{key} {n}") >> 16, text.get(t, 0), below.get(t, 0), 0))
+                    *others, content = beside(blocks)
+                    rows.append((h, 0, False, 0, 0, 0, _hash(f"{key}") >> 16, 0, total, content))
                     found = {}
-                    for b, other in zip(own, others, strict=True):
+                    for b, other in zip(blocks, others, strict=True):
                         found.setdefault(b.token(), [0, b.paths[-1], other])[0] += 1
                     for t, (n, parent, other) in found.items():
-                        rows.append((h, t, False, parent, _hash(f"{key} {n}") >> 16, 0, 0, other))
-                columns = zip(*rows, strict=True) if rows else [[]] * 8
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["host", "token", "tag", "parent", "vector", "chars", "linked", "beside"])
+                        rows.append((h, t, False, parent, 0, 0, _hash(f"{key} {n}") >> 16, 0, 0, other))
+                columns = zip(*rows, strict=True) if rows else [[]] * len(types)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types, strict=True)], names=[x.split()[0] for x in TOKEN.split(", ")])
 
-    return pages.select(host().alias("host"), F.xxhash64("page_id", "url").alias("key"), F.col(column).alias("html")).mapInArrow(run, "host string, token long, tag boolean, parent long, vector long, chars long, linked long, beside long")
+    return pages.select(host().alias("host"), F.xxhash64("page_id", "url").alias("key"), F.col(column).alias("html")).mapInArrow(run, TOKEN)
 
 
 def templates(pages: DataFrame, column: str = "html") -> DataFrame:
-    """host, slots (containers whose text is content) and fixed (text blocks of the template): one row for each host."""
+    """host, pages, slots (elements whose text is content) and fixed (text blocks of the template): one row for each host."""
     per_token = cut(
         _tokens(pages, column).groupBy("host", "token", "tag")
-        .agg(F.min("parent").alias("parent"), F.count("*").alias("pages"), F.sum("vector").alias("vector"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.count_distinct("beside").alias("contents"))
+        .agg(*[F.min(c).alias(c) for c in ("parent", "depth", "rank")], F.count("*").alias("pages"), *[F.sum(c).alias(c) for c in ("vector", "chars", "below")], F.count_distinct("beside").alias("contents"))
         .where("tag or pages > 1 or token = 0")  # a block of one page is in no class
     )
-    # Every page of a host has token 0, which so counts its pages and distinct contents.
-    of_host = per_token.groupBy("host").agg(F.max("pages").alias("on"), F.max(F.when(F.col("token") == 0, F.col("contents"))).alias("of_contents"), F.max(F.when(F.col("tag"), F.col("chars"))).alias("most"))
+    # Every page of a host has token 0, which so counts its pages, text and distinct contents.
+    page = F.col("token") == 0
+    of_host = per_token.groupBy("host").agg(*[F.max(F.when(page, F.col(c))).alias(to) for c, to in (("pages", "on"), ("below", "total"), ("contents", "of_contents"))], F.max(F.when(F.col("tag"), F.col("chars"))).alias("most"))
     sizes = per_token.groupBy("host", "pages", "vector").agg(F.count("*").alias("alike"))
     classed = per_token.join(sizes, ["host", "pages", "vector"]).join(of_host, "host")
     common = (F.col("pages") >= 2) & (F.col("pages") >= F.col("on") * ON_PAGES)
     valid = classed.withColumn("valid", F.col("tag") & common & (F.col("alike") > 1))
     above = valid.where("valid").select("host", F.col("token").alias("parent"), F.lit(True).alias("nested"))
     nested = valid.join(above, ["host", "parent"], "left").withColumn("template", F.col("valid") & (F.coalesce("nested", F.lit(False)) | (F.col("parent") == F.lit(_hash("")))))
-    slot = F.col("template") & (F.col("chars") >= F.col("most") * TEXT_SHARE) & (F.col("chars") > 0) & (F.col("linked") < F.col("chars") * LINK_SHARE)
-    fixed = ~F.col("tag") & (F.col("token") != 0) & (F.col("contents") >= 3) & (F.col("contents") >= F.col("of_contents") * TEXT_ON_PAGES)
-    return nested.where(slot | fixed).groupBy("host").agg(F.collect_set(F.when(slot, F.col("token"))).alias("slots"), F.collect_set(F.when(fixed, F.col("token"))).alias("fixed"))
+    open_ = F.col("template") & (F.col("below") > 0)
+    article = F.when(open_ & (F.col("rank") == 2) & (F.col("below") >= F.col("total") * ARTICLE_SHARE), F.col("token"))
+    deep = F.when(open_ & (F.col("rank") > 0) & (F.col("below") >= F.col("total") * MAIN_SHARE), F.col("token"))
+    slot = F.when(open_ & (F.col("chars") > 0) & (F.col("chars") >= F.col("most") * TEXT_SHARE), F.col("token"))
+    fixed = F.when(~F.col("tag") & ~page & (F.col("contents") >= 3) & (F.col("contents") >= F.col("of_contents") * TEXT_ON_PAGES), F.col("token"))
+    place = F.struct("depth", "token")
+    chosen = nested.groupBy("host").agg(
+        F.max("on").alias("pages"),
+        F.min(F.when(article.isNotNull(), place))["token"].alias("article"),
+        F.max(F.when(deep.isNotNull(), place))["token"].alias("deep"),
+        F.collect_set(slot).alias("slots"),
+        F.collect_set(fixed).alias("fixed"),
+    )
+    main = F.coalesce("article", "deep")
+    return chosen.select("host", "pages", F.when(main.isNotNull(), F.array(main)).otherwise(F.col("slots")).alias("slots"), "fixed")
 
 
 def main_text(page: str | None, slots, fixed) -> str:
-    """The text of a page's content slots. Pages outside the template give all blocks that are not left out.
+    """The text of a page's content slots.
 
     Of an ``article`` or ``main``, containers that hold template text alone are left out; a line that recurs among text of the
-    page's own is part of it.
+    page's own is part of it. Elsewhere, recurring blocks are left out each.
     """
     slots, fixed = set(slots or ()), set(fixed or ())
-    blocks = [b for b in parse(page or "")[0] if not b.out]
-    free = [b for b in blocks if b.token() not in fixed]
-    own = {b.paths[-1] for b in free}
-    main = [b for b in blocks if b.main]
-    found = [b for b in main if b.paths[-1] in own] or main
+    blocks = parse(page or "")[0]
+    found = [b for b in blocks if slots.intersection(b.paths)] or [b for b in blocks if b.main]
     if not found:
-        blocks = free or blocks
-        found = [b for b in blocks if slots.intersection(b.paths)] or [b for b in blocks if not b.linked] or blocks
+        found = [b for b in blocks if not b.linked] or blocks
+    if all(b.main for b in found):
+        own = {b.paths[-1] for b in found if b.token() not in fixed}
+        found = [b for b in found if b.paths[-1] in own] or found
+    else:
+        found = [b for b in found if b.token() not in fixed] or found
     return " ".join(b.text for b in found)
 
 
+def _free(columns: list[str], name: str) -> str:
+    while name.lower() in map(str.lower, columns):
+        name += "_"
+    return name
+
+
 def extract(pages: DataFrame, column: str = "html") -> DataFrame:
     """``pages`` with ``text``, its main text, and ``n_chars``, the text's code points."""
     kept = pages.drop("text", "n_chars")
-    n = len(kept.columns)
-    met = kept.withColumn("_host", host()).join(templates(pages, column).withColumnRenamed("host", "_host"), "_host", "left").select(*kept.columns, "slots", "fixed")
-    place = kept.columns.index(column)
+    n, place = len(kept.columns), kept.columns.index(column)
+    of_host, salt = _free(kept.columns, "of_host"), _free(kept.columns, "salt")
+    slots, fixed = _free(kept.columns, "slots"), _free(kept.columns, "fixed")
+    found = cut(templates(pages, column))
+    total = found.agg(F.sum("pages")).first()[0] or 0
+    # At most HOT hosts have so many pages.
+    hot = {r.host: -(-r.pages * HOT // total) for r in found.where(F.col("pages") * HOT > total).where(F.col("pages") > HOT).select("host", "pages").collect()}
+    salts = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in hot.items() for x in kv]), F.col(of_host)), F.lit(1)) if hot else F.lit(1)
+    repeated = found.select(F.col("host").alias(of_host), F.col("slots").alias(slots), F.col("fixed").alias(fixed)).withColumn(salt, F.explode(F.sequence(F.lit(0), salts - 1)))
+    salted = kept.withColumn(of_host, host()).withColumn(salt, F.pmod(F.xxhash64("page_id", "url"), salts).cast("int"))
+    met = salted.join(repeated, [of_host, salt], "left").select(*kept.columns, slots, fixed)
 
     def run(batches):
         for batch in batches:
