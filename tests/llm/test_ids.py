@@ -1,6 +1,7 @@
 """Token ids: pre-tokens as the tokenizers library has them, and the coder's round trips."""
 
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -57,3 +58,12 @@ def test_blocks_are_independent(monkeypatch):
     monkeypatch.setattr(id_coder, "LANES", 2)
     ids = rng.integers(0, 99, id_coder.BLOCK * 5 + 1)
     assert (id_coder.decode(id_coder.encode(ids)) == ids).all()
+
+
+def test_files_are_read_as_checked(spark):
+    docs = spark.createDataFrame([(2, "b c"), (1, None), (1, None), (None, "x"), (3, "")], "doc_id long, text string")
+    written = id_files.write(docs, BYTE_BPE)
+    rows = [(r.doc_id, r.start, len(r.ids), zlib.crc32(np.array(r.ids, "<u4").tobytes())) for r in id_files.read(written).collect()]
+    assert sorted(rows, key=str) == sorted(map(tuple, id_files.checked(written).collect()), key=str) and len(rows) == 5
+    assert sorted(r[1] for r in rows) == np.cumsum([0, *(r[2] for r in sorted(rows, key=lambda r: (r[1], r[2])))])[:-1].tolist()
+    assert id_files.read(id_files.write(docs.where("doc_id > 9"), BYTE_BPE)).count() == 0

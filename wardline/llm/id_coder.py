@@ -23,7 +23,7 @@ BLOCK = 4096
 LEAST = 2048
 LANES = 1024
 #: Slots of a block's tables of predictions, by order. The last of order 0 is the escape.
-SLOTS = 1024
+SLOTS = 512
 SLOTS_1 = 256
 SLOTS_2 = 1024
 ESCAPE = SLOTS - 1
@@ -36,17 +36,17 @@ STATES = 4
 #: orders 1 and 2 together never to more than about three quarters.
 LEAST_GAIN, GAIN = 4, 1536
 #: Where chunks end, and the length of those that follow.
-CHUNKS = (24, 96, 320, 768, 1408, 2176, 3072)
-CHUNK = 1024
+CHUNKS = (32, 160, 512, 1280)
+CHUNK = 1408
+#: Steps of a chunk that the encoder prepares at once.
+AHEAD = 64
 MAGIC = b"TIDC\x02"
-_LOW = np.uint64(0xFFFFFFFF)
-_32 = np.uint64(32)
-_MIX, _F0, _16 = np.uint64(MIX), np.uint64(F0), np.uint64(16)
-_ALL = np.uint64(1 << MIX)
-_FIELD = np.uint64(0xFFFF)
-#: Two weights lie in one number, order 2's above.
-_LOSS = np.uint32(0x0FFF0FFF)
-_GAINS = np.array([LEAST_GAIN * 0x10001, LEAST_GAIN * 0x10001 + GAIN, LEAST_GAIN * 0x10001 + (GAIN << 16)], np.uint32)
+_LOW, _FIELD = np.uint64(0xFFFFFFFF), np.uint64(0xFFFF)
+_32, _16 = np.uint64(32), np.uint64(16)
+#: Two weights lie in one number, order 2's in the upper half.
+_BOTH = 1 << 32 | 1
+_LOSS = (1 << 28) - 1 << 32 | (1 << 28) - 1
+_GAINS = np.array([LEAST_GAIN * _BOTH, LEAST_GAIN * _BOTH + GAIN, LEAST_GAIN * _BOTH + (GAIN << 32)], np.uint64)
 
 
 def _chunks(block: int) -> list[tuple[int, int]]:
@@ -93,13 +93,11 @@ class Order0:
         return np.repeat(np.tile(np.arange(SLOTS, dtype=np.uint16), self.lanes), self.sizes)
 
     def places(self, ids: np.ndarray) -> np.ndarray:
-        return ids % ESCAPE + self.base
+        return ids % np.int32(ESCAPE) + self.base
 
-    def learn(self, ids: np.ndarray) -> None:
-        """From a chunk of ids (rows are steps)."""
-        at = self.places(ids)
-        escapes = (self.ids[at] != ids).sum(0)
-        at = at.reshape(-1)
+    def learn(self, ids: np.ndarray, escapes: np.ndarray) -> None:
+        """From a chunk of ids (rows are steps), and how many of each lane's were escapes."""
+        at = self.places(ids).reshape(-1)
         self.ids[at] = ids.reshape(-1)  # of a slot's ids the last one stays
         found = np.bincount(at, minlength=self.lanes * SLOTS).astype(np.int32).reshape(self.lanes, SLOTS)
         found <<= 11
@@ -118,7 +116,7 @@ class Contexts:
         lane = np.arange(lanes)
         self.base_1, self.base_2, self.base_state = lane * SLOTS_1, lane * SLOTS_2, lane * STATES
         self.one, self.two = np.full(lanes * SLOTS_1, -1, np.int32), np.full(lanes * SLOTS_2, -1, np.int32)
-        self.weights = np.full(lanes * STATES, 0x04000400, np.uint32)
+        self.weights = np.full(lanes * STATES, _BOTH << MIX - 5, np.uint64)
 
     def places(self, last: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a = last.astype(np.uint32) * np.uint32(0x9E3779B1)
@@ -133,6 +131,17 @@ class Contexts:
         return self.base_state + ((two >= 0).view(np.uint8) * np.uint8(2) + (one == two))
 
 
+class Constants:
+    """Of each number that steps work with, an array: quicker than a scalar."""
+
+    def __init__(self, lanes: int):
+        def of(n):
+            return np.full(lanes, n, np.uint64)
+
+        self.mix, self.all, self.f0, self.full, self.four, self.sixteen = of(MIX), of(1 << MIX), of(F0), of((1 << F0) - 1), of(4), of(16)
+        self.half, self.low, self.field, self.loss, self.least = of(32), of(_LOW), of(_FIELD), of(_LOSS), of(_GAINS[0])
+
+
 class Range:
     def __init__(self, lanes: int):
         self.low = np.zeros(lanes, np.uint64)
@@ -159,60 +168,70 @@ def encode_blocks(ids: np.ndarray, bits: int) -> list[np.ndarray]:
     """The words of each block; ``ids`` are blocks by rows, of which each id has at most ``bits`` bits."""
     lanes, block = ids.shape
     steps = np.ascontiguousarray(ids.T, np.int32)
-    zero, contexts, coder = Order0(lanes), Contexts(lanes), Range(lanes)
+    zero, contexts, coder, n = Order0(lanes), Contexts(lanes), Range(lanes), Constants(lanes)
     out, at = np.zeros(lanes * (block + 4), np.uint32), np.arange(lanes) * (block + 4)
     last = np.vstack([np.zeros((2, lanes), np.int32), steps])
     bits = np.uint64(bits)
     for a, b in _chunks(block):
-        now = steps[a:b]
-        slot = zero.slot.take(zero.places(now))
-        escape = slot >> _32 != now.astype(np.uint64)
-        slot = np.where(escape, zero.slot[zero.base + ESCAPE], slot)
-        start, size = slot >> _16 & _FIELD, slot & _FIELD
-        at_1, at_2 = contexts.places(last[a + 1 : b + 1], last[a:b])
-        one, two = np.empty_like(now), np.empty_like(now)
-        for t in range(b - a):
-            contexts.one.take(at_1[t], out=one[t], mode="clip")
-            contexts.two.take(at_2[t], out=two[t], mode="clip")
-            contexts.one[at_1[t]] = contexts.two[at_2[t]] = now[t]
-        state = contexts.state(one, two)
-        right_2 = two == now
-        right = (one == now) | right_2
-        escape &= ~right
-        gain = _GAINS.take(right.view(np.uint8) + right_2)
-        for t in range(b - a):
-            place = state[t]
-            weights = contexts.weights.take(place)
-            w_2 = weights >> np.uint32(16)
-            both = ((weights & np.uint32(0xFFFF)) + w_2).astype(np.uint64)
-            step = coder.range >> _MIX
-            begin = step * both
-            part = _ALL - both
-            part *= step
-            part >>= _F0
-            begin += part * start[t]
-            part *= size[t]
-            k = right[t].nonzero()[0]
-            if len(k):
-                some = step.take(k)
-                edge = some * w_2.take(k)
-                is_2 = right_2[t].take(k)
-                part[k] = np.where(is_2, edge, some * both.take(k) - edge)
-                edge[is_2] = 0
-                begin[k] = edge
-            k = escape[t].nonzero()[0]
-            if len(k):
-                fine = part.take(k) >> bits
-                begin[k] += fine * now[t].take(k).astype(np.uint64)
-                part[k] = fine
-            hit = coder.narrow(begin, part)
-            if len(hit):
-                to = at.take(hit)
-                out[to] = coder.word
-                at[hit] = to + 1
-            contexts.weights[place] = weights - (weights >> np.uint32(4) & _LOSS) + gain[t]
+        escapes = np.zeros(lanes, np.int64)
+        edge = zero.slot[zero.base + ESCAPE]
+        for c in range(a, b, AHEAD):
+            d = min(c + AHEAD, b)
+            now = steps[c:d]
+            slot = zero.slot.take(zero.places(now))
+            escape = slot >> _32 != now.astype(np.uint64)
+            slot = np.where(escape, edge, slot)
+            start, size = slot >> _16 & _FIELD, slot & _FIELD
+            at_1, at_2 = contexts.places(last[c + 1 : d + 1], last[c:d])
+            one, two = np.empty_like(now), np.empty_like(now)
+            for t in range(d - c):
+                contexts.one.take(at_1[t], out=one[t], mode="clip")
+                contexts.two.take(at_2[t], out=two[t], mode="clip")
+                contexts.one[at_1[t]] = contexts.two[at_2[t]] = now[t]
+            state = contexts.state(one, two)
+            right_2 = two == now
+            right = (one == now) | right_2
+            escape &= ~right
+            escapes += escape.sum(0)
+            gain = _GAINS.take(right.view(np.uint8) + right_2)
+            for t in range(d - c):
+                place = state[t]
+                weights = contexts.weights.take(place)
+                w_2 = weights >> n.half
+                both = weights & n.low
+                both += w_2
+                step = coder.range >> n.mix
+                begin = step * both
+                part = n.all - both
+                part *= step
+                part >>= n.f0
+                begin += part * start[t]
+                part *= size[t]
+                k = right[t].nonzero()[0]
+                if len(k):
+                    some = step[k]
+                    two_ends = some * w_2[k]
+                    is_2 = right_2[t, k]
+                    part[k] = np.where(is_2, two_ends, some * both[k] - two_ends)
+                    two_ends[is_2] = 0
+                    begin[k] = two_ends
+                k = escape[t].nonzero()[0]
+                if len(k):
+                    fine = part.take(k) >> bits
+                    begin[k] += fine * now[t].take(k).astype(np.uint64)
+                    part[k] = fine
+                hit = coder.narrow(begin, part)
+                if len(hit):
+                    to = at.take(hit)
+                    out[to] = coder.word
+                    at[hit] = to + 1
+                loss = weights >> n.four
+                loss &= n.loss
+                weights -= loss
+                weights += gain[t]
+                contexts.weights[place] = weights
         if b < block:
-            zero.learn(now)
+            zero.learn(steps[a:b], escapes)
     out[at], out[at + 1] = coder.low >> _32, coder.low & _LOW
     return [out[k * (block + 4) : at[k] + 2] for k in range(lanes)]
 
@@ -220,7 +239,7 @@ def encode_blocks(ids: np.ndarray, bits: int) -> list[np.ndarray]:
 def decode_blocks(words: list[np.ndarray], block: int, bits: int) -> np.ndarray:
     """The ids of blocks (by rows)."""
     lanes = len(words)
-    zero, contexts, coder = Order0(lanes), Contexts(lanes), Range(lanes)
+    zero, contexts, coder, n = Order0(lanes), Contexts(lanes), Range(lanes), Constants(lanes)
     width = max(map(len, words)) + 2
     source = np.zeros((lanes, width), np.uint32)
     for k, w in enumerate(words):
@@ -231,48 +250,51 @@ def decode_blocks(words: list[np.ndarray], block: int, bits: int) -> np.ndarray:
     steps = np.zeros((block, lanes), np.int32)
     last = before = np.zeros(lanes, np.int32)
     base = np.arange(lanes) << F0
-    full = np.uint64((1 << F0) - 1)
     most, bits = np.uint64((1 << bits) - 1), np.uint64(bits)
     for a, b in _chunks(block):
-        lookup = zero.lookup()
+        lookup, escapes = zero.lookup(), np.zeros(lanes, np.int64)
         for t in range(a, b):
             at_1, at_2 = contexts.places(last, before)
             one, two = contexts.one.take(at_1), contexts.two.take(at_2)
             place = contexts.state(one, two)
             weights = contexts.weights.take(place)
-            w_2 = weights >> np.uint32(16)
-            both = ((weights & np.uint32(0xFFFF)) + w_2).astype(np.uint64)
-            step = coder.range >> _MIX
+            w_2 = weights >> n.half
+            both = weights & n.low
+            both += w_2
+            step = coder.range >> n.mix
             begin = step * both
-            part = _ALL - both
+            part = n.all - both
             part *= step
-            part >>= _F0
+            part >>= n.f0
             value = code - coder.low
             right = value < begin
             inner = value - begin  # far too large where it is below, and cut then
             inner //= part
-            np.minimum(inner, full, out=inner)
+            np.minimum(inner, n.full, out=inner)
             inner = inner.view(np.int64)
             inner += base
             inner = lookup.take(inner)
             slot = zero.slot.take(zero.base + inner)
-            begin += part * (slot >> _16 & _FIELD)
-            part *= slot & _FIELD
-            slot >>= _32
+            size = slot >> n.sixteen
+            size &= n.field
+            begin += part * size
+            part *= slot & n.field
+            slot >>= n.half
             now = slot.astype(np.int32)
             escape = now < 0
-            gain = _GAINS[:1].repeat(lanes)
+            gain = n.least.copy()
             k = right.nonzero()[0]
             if len(k):
                 escape[k] = False
-                some = step.take(k)
-                edge = some * w_2.take(k)
-                is_2 = value.take(k) < edge
-                part[k] = np.where(is_2, edge, some * both.take(k) - edge)
-                edge[is_2] = 0
-                begin[k] = edge
+                some = step[k]
+                two_ends = some * w_2[k]
+                is_2 = value.take(k) < two_ends
+                part[k] = np.where(is_2, two_ends, some * both[k] - two_ends)
+                two_ends[is_2] = 0
+                begin[k] = two_ends
                 now[k] = np.where(is_2, two.take(k), one.take(k))
                 gain[k] = np.where(is_2, _GAINS[2], _GAINS[1])
+            escapes += escape
             k = escape.nonzero()[0]
             if len(k):
                 fine, first = part.take(k) >> bits, begin.take(k)
@@ -285,12 +307,16 @@ def decode_blocks(words: list[np.ndarray], block: int, bits: int) -> np.ndarray:
                 where = at.take(hit)
                 code[hit] = code.take(hit) << _32 | source.take(where, mode="clip")
                 at[hit] = where + 1
-            contexts.weights[place] = weights - (weights >> np.uint32(4) & _LOSS) + gain
+            loss = weights >> n.four
+            loss &= n.loss
+            weights -= loss
+            weights += gain
+            contexts.weights[place] = weights
             contexts.one[at_1] = contexts.two[at_2] = now
             steps[t] = now
             before, last = last, now
         if b < block:
-            zero.learn(steps[a:b])
+            zero.learn(steps[a:b], escapes)
     return np.ascontiguousarray(steps.T)
 
 

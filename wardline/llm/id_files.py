@@ -9,13 +9,13 @@ the sums by shard, a number for each written partition, come together in one pla
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import zlib
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,8 +26,8 @@ from .common import cut, partitions
 SEGMENT = id_coder.BLOCK * id_coder.LANES - 200_000
 END = 2
 #: Pre-tokens that a worker keeps with their ids, and ids kept for them; then it starts anew. Longer ones (in code points) are not kept.
-CACHE = 1_200_000
-POOL = 8_000_000
+CACHE = 2_400_000
+POOL = 12_000_000
 LONGEST = 32
 #: Code points that are worked on at a time.
 SLICE = 400_000
@@ -46,7 +46,7 @@ class ByteEncoder:
     64-bit hashes. Texts that name a special token go to the library whole, and so do long pre-tokens.
     """
 
-    BITS = 21
+    BITS = 22
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -132,17 +132,20 @@ class ByteEncoder:
         sizes = np.fromiter(map(len, got), np.int64, len(got))
         return self._keep(np.fromiter(chain.from_iterable(got), np.int32, int(sizes.sum())), sizes)
 
-    def _ask(self, words: list[str]) -> np.ndarray:
+    def _ask(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The library's ids of pre-tokens. Those that start with a space and go on are asked for as one text: they don't run together."""
-        spaced = np.fromiter((len(w) > 1 and w[0] == " " and self.kinds[ord(w[1])] != SPACE for w in words), bool, len(words))
-        out = np.empty(len(words), np.uint64)
+        out = np.empty(len(starts), np.uint64)
+        spaced = (points[starts] == 32) & (ends - starts > 1) & (self.kinds[points[np.minimum(starts + 1, len(points) - 1)]] != SPACE)
         k = spaced.nonzero()[0]
         if len(k):
-            got = self.library.encode("".join([words[i] for i in k.tolist()]), add_special_tokens=False)
+            sizes = ends[k] - starts[k]
+            at = np.repeat(starts[k] - (np.cumsum(sizes) - sizes), sizes)
+            at += np.arange(len(at))
+            got = self.library.encode(points[at].tobytes().decode("utf-32-le"), add_special_tokens=False)
             out[k] = self._keep(np.array(got.ids, np.int32), np.bincount(np.array(got.word_ids, np.int64), minlength=len(k)))
         k = (~spaced).nonzero()[0]
         if len(k):
-            out[k] = self._ask_each([words[i] for i in k.tolist()])
+            out[k] = self._ask_each([points[a:b].tobytes().decode("utf-32-le") for a, b in zip(starts[k].tolist(), ends[k].tolist(), strict=True)])
         return out
 
     def _look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -187,8 +190,7 @@ class ByteEncoder:
             texts = list(texts)
             for k in whole:
                 texts[k] = ""
-        joined = "\0".join(texts) + "\0"
-        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        points = np.frombuffer(("\0".join(texts) + "\0").encode("utf-32-le"), np.uint32)
         edges = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
         starts = self._starts(points, edges)
         ends = np.append(starts[1:], len(points))
@@ -203,11 +205,11 @@ class ByteEncoder:
         missing = missing[keys[missing] != 0]
         if len(missing):
             new, first, back = np.unique(keys[missing], return_index=True, return_inverse=True)
-            known = self._ask([joined[a:b] for a, b in zip(starts[missing[first]].tolist(), ends[missing[first]].tolist(), strict=True)])
+            known = self._ask(points, starts[missing[first]], ends[missing[first]])
             self._insert(new, known)
             found[missing] = known[back]
         if len(long):
-            found[long] = self._ask([joined[a:b] for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)])
+            found[long] = self._ask(points, starts[long], ends[long])
         found[last] = edge
         sizes = (found & _FIELD).view(np.int64)
         sums = np.cumsum(sizes)
@@ -267,38 +269,51 @@ def write(docs: DataFrame, path: str, end: int = END) -> DataFrame:
     return cut(rows.select("doc_id", "text").mapInArrow(run, "shard long, segment long, doc_ids array<long>, sizes array<long>, data binary"))
 
 
-def read(segments: DataFrame) -> DataFrame:
-    """doc_id, start, ids of every document in ``segments``. A row for each written row, repeated ones too; none if there are none."""
+def _placed(segments: DataFrame) -> DataFrame:
+    """``segments`` with ``offset``, the ids before them: of each segment in its shard, of each shard a number."""
     totals = segments.select("shard", "segment", F.aggregate("sizes", F.lit(0).cast("long"), lambda s, x: s + x).alias("n"))
     shards = sorted(totals.groupBy("shard").agg(F.sum("n")).collect())
     sums = np.cumsum([0, *(n for _, n in shards)]).tolist()
     bases = segments.sparkSession.createDataFrame([(s, b) for (s, _), b in zip(shards, sums, strict=False)], "shard long, base long")
     w = Window.partitionBy("shard").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).join(bases, "shard").select("shard", "segment", (F.col("base") + F.col("before")).alias("offset"))
+    return segments.join(offsets, ["shard", "segment"]).select("doc_ids", "sizes", "data", "offset")
+
+
+def _documents(batches):
+    """Of some documents at a time: doc_ids, where each one's ids start among all, where they start and the last ends in the ids at hand, and these."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            doc_ids, sizes, offset = batch.column(0)[k].values, batch.column(1)[k].values.to_numpy(), batch.column(3)[k].as_py()
+            ids = id_coder.decode(batch.column(2)[k].as_py())
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            for a in range(0, len(doc_ids), 1000):
+                at = ends[a : a + 1001]
+                yield doc_ids[a : a + 1000], at[:-1] + offset, at - at[0], ids[at[0] : at[-1]]
+
+
+def read(segments: DataFrame) -> DataFrame:
+    """doc_id, start, ids of every document in ``segments``. A row for each written row, repeated ones too; none if there are none."""
 
     def run(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                doc_ids, sizes, data, offset = (batch.column(c)[k].as_py() for c in range(4))
-                ids = id_coder.decode(data).astype(np.int32)
-                ends = np.cumsum(sizes)
-                for a in range(0, len(doc_ids), 1000):
-                    lo, hi = (int(ends[a - 1]) if a else 0), int(ends[min(a + 1000, len(doc_ids)) - 1])
-                    starts = np.concatenate([[lo], ends[a : a + 1000]])
-                    yield pa.RecordBatch.from_arrays([pa.array(doc_ids[a : a + 1000], pa.int64()), pa.array(starts[:-1] + offset), pa.ListArray.from_arrays(pa.array((starts - lo).astype(np.int32)), pa.array(ids[lo:hi]))], names=["doc_id", "start", "ids"])
+        for doc_ids, starts, at, ids in _documents(batches):
+            yield pa.RecordBatch.from_arrays([doc_ids, pa.array(starts), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))], names=["doc_id", "start", "ids"])
 
-    return segments.join(offsets, ["shard", "segment"]).select("doc_ids", "sizes", "data", "offset").mapInArrow(run, "doc_id long, start long, ids array<int>")
+    return _placed(segments).mapInArrow(run, "doc_id long, start long, ids array<int>")
 
 
-def digest(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, start, n_tokens and the checksum of each document's ids, as read back. Empty texts have the end alone."""
-    found = read(write(docs, path))
+def checked(segments: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens and the checksum of the ids of every document in ``segments``: as ``read``, where the ids stay in the task."""
 
     def run(batches):
-        for batch in batches:
-            ids = batch.column(2)
-            flat, ends = ids.flatten().to_numpy().astype("<u4"), np.cumsum([0, *pc.list_value_length(ids).to_pylist()])
-            crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(ends), pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+        for doc_ids, starts, at, ids in _documents(batches):
+            data = memoryview(ids.astype("<u4").tobytes())
+            crc = [zlib.crc32(data[a:b]) for a, b in itertools.pairwise((at * 4).tolist())]
+            yield pa.RecordBatch.from_arrays([doc_ids, pa.array(starts), pa.array(np.diff(at)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return found.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _placed(segments).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def digest(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, start, n_tokens and the checksum of each document's ids, as read back. Empty texts have the end alone."""
+    return checked(write(docs, path))
