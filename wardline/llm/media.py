@@ -56,8 +56,9 @@ def feature(samples: np.ndarray) -> str:
 
 
 def read(df: DataFrame, media: str = "media", payload: str = "payload", features: str = "feature") -> DataFrame:
-    """``df`` with the bytes that ``media`` holds and their feature. Null media give nulls; damaged ones raise ``Bad``."""
-    kept = df.drop(payload, features)
+    """``df`` with the bytes that ``media`` holds, their feature, and how many pictures it has (``n_pictures``), and of them with
+    transforms or back-references (``n_special``). Columns of these names are replaced. Null media give nulls; damaged ones raise ``Bad``."""
+    kept = df.drop(payload, features, "n_pictures", "n_special")
     place = kept.columns.index(media)
 
     def run(batches):
@@ -67,9 +68,16 @@ def read(df: DataFrame, media: str = "media", payload: str = "payload", features
                 series = [None if x is None else webp.pictures(x) for x in part.column(place).to_pylist()]
                 found = iter(webp.read_gray([x for s in series if s for x in s]))
                 rows = [None if s is None else np.concatenate([next(found) for _ in s]) for s in series]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([None if r is None else r.tobytes() for r in rows], pa.binary()), pa.array([None if r is None else feature(r) for r in rows], pa.string())], names=[*part.schema.names, payload, features])
+                made = [
+                    pa.array([None if r is None else r.tobytes() for r in rows], pa.binary()),
+                    pa.array([None if r is None else feature(r) for r in rows], pa.string()),
+                    pa.array([None if s is None else len(s) for s in series], pa.int64()),
+                    pa.array([None if s is None else sum(map(webp.special, s)) for s in series], pa.int64()),
+                ]
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, payload, features, "n_pictures", "n_special"])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(payload, T.BinaryType()), T.StructField(features, T.StringType())]))
+    types = ((payload, T.BinaryType()), (features, T.StringType()), ("n_pictures", T.LongType()), ("n_special", T.LongType()))
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *[T.StructField(*t) for t in types]]))
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -86,4 +94,6 @@ def digest(docs: DataFrame) -> DataFrame:
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
+        "n_pictures",
+        "n_special",
     )

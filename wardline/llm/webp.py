@@ -3,14 +3,17 @@
 The reader follows the public bitstream description: prefix codes (simple and normal, with groups chosen by an entropy
 image), back-references with the two-dimensional distance codes, the colour cache, and the predictor, cross-colour,
 subtract-green and palette transforms. The writer stores samples in the green channel with one optimal prefix code a
-picture; the tests' writer in ``tests/llm`` uses the rest of the format.
+picture, and with back-references, a palette or the predictor of the row above where those make the picture shorter. Other channels
+are constant, so that cross-colour and subtract-green could change nothing, and a cached colour would cost what its sample costs;
+the tests' writer in ``tests/llm`` uses these.
 
-Literal-only pictures, such as those of the writer, are read many at a time: one numpy step takes the next symbol of
-every picture. Others go through the general reader one by one.
+Pictures of prefix codes alone are read many at a time: one numpy step takes the next symbol of every picture. Others go through
+the general reader one by one.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
 import struct
 
@@ -20,6 +23,14 @@ WIDTH = 64
 #: Rows of a picture at most; a longer payload is a series of pictures. It bounds the steps of reading many at a time.
 ROWS = 128
 LONGEST = 11
+#: Repeats are found where they have SAME bytes from a place that is one of 2 ** ANCHORS by hash; pictures are tried with them if they
+#: cover a REPEATED th, and with the predictor if this share of the samples equals those above.
+SAME = 16
+ANCHORS = 3
+REPEATED = 24
+EQUAL = 0.3
+#: The longest back-reference.
+COPY = 4096
 #: Fixed values of the format: the order in which the lengths of the code for code lengths are stored.
 LENGTH_ORDER = [17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15]
 #: Fixed values of the format: the columns and rows that the 120 short distance codes go back.
@@ -131,29 +142,158 @@ def riff(data: bytes) -> bytes:
     return b"RIFF" + struct.pack("<I", len(data) + 12) + b"WEBPVP8L" + struct.pack("<I", len(data)) + data
 
 
-def write_gray(samples: np.ndarray) -> bytes:
-    """A picture whose green channel holds ``samples`` (rows of bytes); red and blue are 0, alpha is 255."""
-    rows, width = samples.shape
-    flat = samples.ravel()
-    bits = Bits()
-    for value, n in ((0x2F, 8), (width - 1, 14), (rows - 1, 14), (0, 4), (0, 3)):  # no alpha, version 0; no transform, cache or groups
-        bits.put(value, n)
-    lengths = code_lengths(np.bincount(flat, minlength=280))
+def repeats(flat: np.ndarray) -> list[tuple[int, int, int]]:
+    """Places of ``flat`` that repeat what is ``back`` before them: place, back, length, in order and apart from each other."""
+    n = len(flat) - SAME + 1
+    if n < 2:
+        return []
+    eight = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(flat, 8)).view(np.uint64).ravel()
+    hashes = (eight[:n] * np.uint64(0x9E3779B97F4A7C15) ^ eight[SAME - 8 : SAME - 8 + n]) * np.uint64(0xD6E8FEB86659FD93)
+    anchors = np.flatnonzero(hashes >> np.uint64(64 - ANCHORS) == 0)
+    order = np.argsort(hashes[anchors], kind="stable")
+    same = np.flatnonzero(np.diff(hashes[anchors[order]]) == 0)
+    here, earlier = anchors[order[same + 1]], anchors[order[same]]
+    by_place, out, end, data = np.argsort(here), [], 0, flat.tobytes()
+    for at, back in zip(here[by_place].tolist(), (here - earlier)[by_place].tolist(), strict=True):
+        if at < end:
+            continue
+        other = np.flatnonzero(flat[at:] != flat[at - back : len(flat) - back])
+        stop = at + (int(other[0]) if len(other) else len(flat) - at)
+        while at > end and at > back and data[at - 1] == data[at - 1 - back]:
+            at -= 1
+        if stop - at >= SAME // 2:
+            out += [(a, back, min(COPY, stop - a)) for a in range(at, stop, COPY)]
+            end = stop
+    return out
+
+
+def prefixed(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers from 1 as a prefix symbol, the bits after it, and how many these are."""
+    x = x - 1
+    high = np.frexp(np.maximum(x, 1).astype(np.float64))[1] - 1
+    n = np.where(x < 4, 0, high - 1)
+    return np.where(x < 4, x, 2 * high + (x >> np.maximum(n, 0) & 1)), x & (1 << n) - 1, n
+
+
+def near_codes(width: int) -> dict[int, int]:
+    """The short distance code of each distance that has one."""
+    out: dict[int, int] = {}
+    for k, (dx, dy) in enumerate(NEAR):
+        out.setdefault(max(1, dx + dy * width), k + 1)
+    return out
+
+
+def put_image(bits: Bits, flat: np.ndarray, width: int, alpha: int, found: list[tuple[int, int, int]]) -> bytes:
+    """The picture's data: ``bits``, then the main image's codes and pixels, with back-references where ``found`` says so."""
+    bits.put(0, 2)  # no cache, no groups
+    at, back, size = np.array(found, np.int64).reshape(-1, 3).T
+    copied = np.zeros(len(flat) + 1, np.int64)
+    np.add.at(copied, at, 1)
+    np.add.at(copied, at + size, -1)
+    start = np.zeros(len(flat), bool)
+    start[at] = True
+    token = np.flatnonzero((np.cumsum(copied)[:-1] == 0) | start)
+    copy = np.flatnonzero(start[token])
+    symbol = flat[token].astype(np.int64)
+    length, more, n_more = prefixed(size)
+    symbol[copy] = 256 + length
+    codes = near_codes(width) if found else {}
+    far, rest, n_rest = prefixed(np.array([codes.get(d, d + 120) for d in back.tolist()], np.int64))
+    lengths, of_far = code_lengths(np.bincount(symbol, minlength=280)), code_lengths(np.bincount(far, minlength=40)) if found else np.eye(40, dtype=np.int64)[0]
     put_code(bits, lengths)
-    for single in (0, 0, 255, 0):
+    for single in (0, 0, alpha):
         put_code(bits, np.eye(256, dtype=np.int64)[single])
-    n = lengths[flat] if np.count_nonzero(lengths) > 1 else np.zeros(len(flat), np.int64)
+    put_code(bits, of_far)
+    fields = 4 if found else 1
+    n, value = np.zeros((2, len(token), fields), np.int64)
+    if np.count_nonzero(lengths) > 1:
+        n[:, 0], value[:, 0] = lengths[symbol], reversed_codes(lengths)[symbol]
+    if found:
+        n[copy, 1], value[copy, 1], n[copy, 3], value[copy, 3] = n_more, more, n_rest, rest
+        if np.count_nonzero(of_far) > 1:
+            n[copy, 2], value[copy, 2] = of_far[far], reversed_codes(of_far)[far]
+    n, value = n.ravel(), value.ravel()
     ends = bits.size + np.cumsum(n)
     total = int(ends[-1])
     head = np.frombuffer(bits.value.to_bytes((total + 95) // 32 * 4, "little"), np.uint32).astype(np.uint64)
     if total > bits.size:
         at = ends - n
-        value = reversed_codes(lengths).astype(np.uint64)[flat] << (at & 31).astype(np.uint64)
+        value = value.astype(np.uint64) << (at & 31).astype(np.uint64)
         word = at >> 5
         first = np.flatnonzero(np.diff(word, prepend=-1))
         head[word[first]] += np.add.reduceat(value & 0xFFFFFFFF, first)
         head[word[first] + 1] += np.add.reduceat(value >> np.uint64(32), first)
-    return riff(head.astype("<u4").tobytes()[: (total + 7) // 8])
+    return head.astype("<u4").tobytes()[: (total + 7) // 8]
+
+
+def begun(width: int, rows: int) -> Bits:
+    bits = Bits()
+    for value, n in ((0x2F, 8), (width - 1, 14), (rows - 1, 14), (0, 4)):  # no alpha, version 0
+        bits.put(value, n)
+    return bits
+
+
+def with_palette(samples: np.ndarray) -> bytes:
+    """The picture by a palette of at most 16 entries, which share pixels."""
+    rows, width = samples.shape
+    colours = np.unique(samples)
+    bits = begun(width, rows)
+    bits.put(1 | 3 << 1, 3)
+    bits.put(len(colours) - 1, 8)
+    bits.put(0, 1)  # no cache; the palette's own image: differences from entry to entry, in green
+    steps = np.diff(colours.astype(np.int64), prepend=0) & 255
+    lengths = code_lengths(np.bincount(steps, minlength=280))
+    put_code(bits, lengths)
+    for used in ([0], [0], [0, 255] if len(colours) > 1 else [255], [0]):
+        put_code(bits, np.isin(np.arange(256), used).astype(np.int64))
+    codes = reversed_codes(lengths)
+    for k, step in enumerate(steps.tolist()):
+        bits.put(int(codes[step]), int(lengths[step]) if np.count_nonzero(lengths) > 1 else 0)
+        bits.put(int(k == 0), len(colours) > 1)  # alpha: 255, then no difference
+    bits.put(0, 1)
+    per = packed(len(colours))
+    index = np.searchsorted(colours, samples).astype(np.int64)
+    narrow = -(-width >> per)
+    index = np.pad(index, ((0, 0), (0, (narrow << per) - width))).reshape(rows, narrow, 1 << per)
+    flat = (index << np.arange(1 << per) * (8 >> per)).sum(2).astype(np.uint8).ravel()
+    return put_image(bits, flat, narrow, 255, repeats(flat))
+
+
+def with_predictor(samples: np.ndarray) -> bytes:
+    """The picture as differences from the row above."""
+    rows, width = samples.shape
+    bits = begun(width, rows)
+    bits.put(1, 3)
+    bits.put(7, 3)
+    bits.put(0, 1)  # no cache; the modes' image: all are the row above, which takes no bits
+    for single in (2, 0, 0, 255, 0):
+        put_code(bits, np.eye(280 if single == 2 else 256, dtype=np.int64)[single])
+    bits.put(0, 1)
+    rest = samples.copy()
+    rest[1:] -= samples[:-1]
+    rest[0, 1:] -= samples[0, :-1]
+    return put_image(bits, rest.ravel(), width, 0, repeats(rest.ravel()))
+
+
+def write_gray(samples: np.ndarray) -> bytes:
+    """A picture whose green channel holds ``samples`` (rows of bytes); red and blue are 0, alpha is 255. The shortest of what is tried."""
+    rows, width = samples.shape
+    flat = samples.ravel()
+
+    def plain(found):
+        bits = begun(width, rows)
+        bits.put(0, 1)
+        return put_image(bits, flat, width, 255, found)
+
+    tried = [plain([])]
+    found = repeats(flat)
+    if sum(n for _, _, n in found) * REPEATED >= len(flat):
+        tried.append(plain(found))
+    if np.count_nonzero(np.bincount(flat, minlength=256)) <= 16:
+        tried.append(with_palette(samples))
+    if rows > 1 and np.count_nonzero(samples[1:] == samples[:-1]) > EQUAL * len(flat):
+        tried.append(with_predictor(samples))
+    return riff(min(tried, key=len))
 
 
 def write_payload(payload: bytes) -> bytes:
@@ -184,12 +324,14 @@ class Code:
 
     def __init__(self, lengths: list[int]):
         used = [s for s, n in enumerate(lengths) if n]
-        self.lengths, self.one, self.found = lengths, used[0] if len(used) == 1 else 0 if not used else None, {}
-        if self.one is None:
-            if sum(1 << (15 - lengths[s]) for s in used) != 1 << 15:
-                raise Bad("a prefix code is not complete")
-            codes = reversed_codes(np.array(lengths))
-            self.found = {(lengths[s], int(codes[s])): s for s in used}
+        self.lengths, self.used, self.one = lengths, used, used[0] if len(used) == 1 else 0 if not used else None
+        if self.one is None and sum(1 << (15 - lengths[s]) for s in used) != 1 << 15:
+            raise Bad("a prefix code is not complete")
+
+    @functools.cached_property
+    def found(self) -> dict[tuple[int, int], int]:
+        codes = reversed_codes(np.array(self.lengths))
+        return {(self.lengths[s], int(codes[s])): s for s in self.used}
 
     def take(self, bits: Reader) -> int:
         if self.one is not None:
@@ -248,6 +390,51 @@ def take_number(bits: Reader, prefix: int) -> int:
     return ((2 + (prefix & 1)) << extra) + bits.take(extra) + 1
 
 
+def distance(code: int, width: int) -> int:
+    if code > 120:
+        return code - 120
+    dx, dy = NEAR[code - 1]
+    return max(1, dx + dy * width)
+
+
+def one_channel(bits: Reader, codes: list[Code], width: int, total: int) -> np.ndarray | None:
+    """The words of an image of which only green varies, or None if others do or codes are too long."""
+    green, far = codes[0].table(), codes[4].table()
+    if green is None or far is None or any(c.one is None for c in codes[1:4]):
+        return None
+    green, far, out, at, most = green.tolist(), far.tolist(), bytearray(), bits.at, (1 << LONGEST) - 1
+    data = bits.data + b"\0" * 8
+
+    def number(prefix):
+        nonlocal at
+        if prefix < 4:
+            return prefix + 1
+        n = prefix - 2 >> 1
+        value = int.from_bytes(data[at >> 3 : (at >> 3) + 4], "little") >> (at & 7) & (1 << n) - 1
+        at += n
+        return (2 + (prefix & 1) << n) + value + 1
+
+    while len(out) < total:
+        found = green[int.from_bytes(data[at >> 3 : (at >> 3) + 3], "little") >> (at & 7) & most]
+        at += found & 15
+        if found < 4096:
+            out.append(found >> 4)
+            continue
+        n = number((found >> 4) - 256)
+        found = far[int.from_bytes(data[at >> 3 : (at >> 3) + 3], "little") >> (at & 7) & most]
+        at += found & 15
+        back = distance(number(found >> 4), width)
+        if back > len(out) or len(out) + n > total:
+            raise Bad("a back-reference leaves the picture")
+        out += (out[-back:] * (n // back + 1))[:n] if back < n else out[len(out) - back : len(out) - back + n]
+        if at > bits.left:
+            break
+    if at > bits.left:
+        raise Bad("it ends too early")
+    bits.at = at
+    return np.frombuffer(out, np.uint8).astype(np.uint32) << 8 | np.uint32(codes[1].one << 16 | codes[2].one | codes[3].one << 24)
+
+
 def take_image(bits: Reader, width: int, height: int, main: bool = False) -> np.ndarray:
     """An entropy-coded image as ARGB words."""
     cache_bits = bits.take(4) if bits.take(1) else 0
@@ -258,8 +445,10 @@ def take_image(bits: Reader, width: int, height: int, main: bool = False) -> np.
         block = bits.take(3) + 2
         groups = take_image(bits, -(-width >> block), -(-height >> block)).astype(np.int64) >> 8 & 0xFFFF
     codes = [[take_code(bits, n) for n in (280 + (cache_bits and 1 << cache_bits), 256, 256, 256, 40)] for _ in range(int(groups.max()) + 1)]
-    out, cache = [], [0] * (1 << cache_bits)
     total, rows = width * height, groups.tolist()
+    if not cache_bits and not block and (quick := one_channel(bits, codes[0], width, total)) is not None:
+        return quick.reshape(height, width)
+    out, cache = [], [0] * (1 << cache_bits)
     while len(out) < total:
         y, x = divmod(len(out), width)
         green, red, blue, alpha, far = codes[rows[y >> block][x >> block] if block else 0]
@@ -268,12 +457,7 @@ def take_image(bits: Reader, width: int, height: int, main: bool = False) -> np.
             new = [red.take(bits) << 16 | s << 8 | blue.take(bits) | alpha.take(bits) << 24]
         elif s < 280:
             n = take_number(bits, s - 256)
-            back = take_number(bits, far.take(bits))
-            if back > 120:
-                back -= 120
-            else:
-                dx, dy = NEAR[back - 1]
-                back = max(1, dx + dy * width)
+            back = distance(take_number(bits, far.take(bits)), width)
             if back > len(out) or len(out) + n > total:
                 raise Bad("a back-reference leaves the picture")
             new = (out[-back:] * (n // back + 1))[:n] if back < n else out[len(out) - back : len(out) - back + n]
@@ -331,6 +515,10 @@ def mode_at(modes: np.ndarray, block: int, y: int, x: int) -> int:
 
 
 def undo_predictor(image: np.ndarray, modes: np.ndarray, block: int) -> np.ndarray:
+    if (modes == 2).all():  # the row above, everywhere: sums
+        image[0, 0, 0] += 255
+        image[0] = np.cumsum(image[0], 0)
+        return np.cumsum(image, 0) & 255
     for y in range(image.shape[0]):
         for x in range(image.shape[1]):
             mode = mode_at(modes, block, y, x)
@@ -418,11 +606,11 @@ def read_pixels(data: bytes) -> np.ndarray:
 
 
 def plain_code(bits: Reader) -> np.ndarray | None:
-    """The green code's table if the picture has no transform, cache or groups and only green varies; else None."""
+    """The green code's table if the picture has no transform, cache, groups or back-references and only green varies; else None."""
     if bits.take(3):
         return None
     codes = [take_code(bits, n) for n in (280, 256, 256, 256, 40)]
-    if [c.one for c in codes[1:4]] != [0, 0, 255]:
+    if [c.one for c in codes[1:4]] != [0, 0, 255] or any(codes[0].lengths[256:]):
         return None
     return codes[0].table()
 
@@ -465,10 +653,17 @@ def read_gray(datas: list[bytes]) -> list[np.ndarray]:
         got = columns[i, :n]
         if at[i] > (base[i] + len(datas[k])) * 8:
             raise Bad("it ends too early")
-        out[k] = got.astype(np.uint8).reshape(-1, width) if got.max() < 256 else read_pixels(datas[k])[..., 2].astype(np.uint8)
+        out[k] = got.astype(np.uint8).reshape(-1, width)
     return out
 
 
+def special(data: bytes) -> bool:
+    """Whether a picture has transforms, a cache, groups or back-references."""
+    bits = Reader(data)
+    head(bits)
+    return bits.take(3) != 0 or any(take_code(bits, 280).lengths[256:])
+
+
 def pictures(media: bytes) -> list[bytes]:
     out, at = [], 0
     while at < len(media):
