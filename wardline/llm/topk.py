@@ -4,10 +4,14 @@ Every vector is extended by one component so that all have the same norm: then t
 vectors. A vector's key is its nearest pivot and its distance from it; the index deals vectors out by pivot and annulus of
 distance, and large annuli by a hash into blocks of about ``BLOCK``. A query first visits the annuli whose bounds are
 nearest until they hold k candidates; by the triangle inequality, it then visits only those annuli that can still hold a score
-as high as its k-th. A visit is a matrix product of a block of vectors and a block of queries.
+as high as its k-th. A visit is a matrix product of a block of vectors and a block of queries: a block goes, once for each group
+of about ``BLOCK`` queries, to those groups only that visit it.
 
-The pivots are fitted to the ``SAMPLE`` vectors of the lowest hash; all vectors are indexed. The driver holds the pivots and,
-of each of ``PIVOTS * RINGS`` annuli, count and bounds: the size of neither depends on the number of rows.
+How much is visited depends on the vectors (``visited_share``): of clustered ones little, of independent directions in many dimensions,
+whose distances are nearly equal, all; the search is then the exhaustive one that exact results need.
+
+The pivots, a quarter of the root of the number of vectors, are means fitted to the ``SAMPLE`` vectors of the lowest hash; all vectors are
+indexed. The driver holds the pivots and, of each annulus, count and bounds: at most ``PIVOTS[1] * RINGS`` numbers each.
 """
 
 from __future__ import annotations
@@ -19,10 +23,13 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-PIVOTS = 16
+#: Pivots at least and at most.
+PIVOTS = (16, 256)
 RINGS = 8
 SAMPLE = 4096
-BLOCK = 2048
+#: Rounds in which pivots move to the means of their vectors.
+MOVES = 5
+BLOCK = 8192
 SEED = 3
 
 
@@ -39,14 +46,21 @@ def _extended(x: np.ndarray, most: float) -> np.ndarray:
     return np.hstack([x, np.sqrt(np.maximum(most - (x * x).sum(1), 0))[:, None]])
 
 
-def _pivots(sample: np.ndarray) -> np.ndarray:
-    """Vectors of the sample that are far from each other."""
+def _pivots(sample: np.ndarray, n: int) -> np.ndarray:
+    """Means of ``n`` parts of the sample, at first of vectors that are far from each other."""
     chosen = [0]
     far = _distances(sample, sample[:1])[:, 0]
-    while len(chosen) < min(PIVOTS, len(sample)) and far.max() > 0:
+    while len(chosen) < min(n, len(sample)) and far.max() > 0:
         chosen.append(int(far.argmax()))
         far = np.minimum(far, _distances(sample, sample[chosen[-1:]])[:, 0])
-    return sample[chosen]
+    pivots = sample[chosen]
+    for _ in range(MOVES):
+        part = _distances(sample, pivots).argmin(1)
+        size = np.bincount(part, minlength=len(pivots))
+        sums = np.zeros_like(pivots)
+        np.add.at(sums, part, sample)
+        pivots = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], pivots)
+    return pivots
 
 
 def whole_numbers(vectors: DataFrame, scale: int = 256, ids: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -66,13 +80,14 @@ class Index:
 
     def __init__(self, vectors: DataFrame):
         self.vectors = vectors
-        self.most = float(vectors.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c))).first()[0] or 0)
+        most, count = vectors.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c)), F.count("*")).first()
+        self.most = float(most or 0)
         rows = vectors.orderBy(F.xxhash64(F.lit(SEED), F.col("vec_id")), "vec_id").limit(SAMPLE).select("v").collect()
         self.empty = not rows
         if self.empty:
             return
         sample = _extended(np.array([r.v for r in rows]), self.most)
-        self.pivots = _pivots(sample)
+        self.pivots = _pivots(sample, int(min(max(PIVOTS[0], count**0.5 / 4), PIVOTS[1])))
         near = _distances(sample, self.pivots).min(1)
         self.edges = np.unique(np.quantile(near, np.arange(1, RINGS) / RINGS))
         pivots, edges, most = self.pivots, self.edges, self.most
@@ -126,9 +141,10 @@ class Index:
 
     def search(self, queries: DataFrame, k: int, second: bool, groups: int) -> DataFrame:
         """query_id, vec_id and score of the k best of each block that a query visits, if not below its floor."""
-        parts = F.element_at(F.create_map(*[F.lit(int(x)) for pair in zip(self.rings, self.parts, strict=True) for x in pair]), F.col("ring").cast("int"))
-        rows = self.rows.withColumn("part", F.pmod(F.xxhash64("vec_id"), parts)).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select("ring", "part", "group", "vec_id", "v")
         asked = self.visits(queries, k, second).withColumn("group", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int"))
+        met = asked.select("ring", "part", "group").distinct().toDF("ring", "part", "group")
+        parts = F.element_at(F.create_map(*[F.lit(int(x)) for pair in zip(self.rings, self.parts, strict=True) for x in pair]), F.col("ring").cast("int"))
+        rows = self.rows.withColumn("part", F.pmod(F.xxhash64("vec_id"), parts)).join(met, ["ring", "part"]).select("ring", "part", "group", "vec_id", "v")
         key = ("ring", "part", "group")
         return asked.groupBy(*key).cogroup(rows.groupBy(*key)).applyInArrow(_best(k), "query_id long, vec_id long, score long")
 
@@ -173,24 +189,47 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _floors(asked: DataFrame, first: DataFrame, k: int) -> DataFrame:
+    """The queries with the score of their k-th candidate; those that have fewer look everywhere."""
+    floors = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(float("-inf")).cast("double").alias("floor"))
+    return asked.drop("floor").join(floors, "query_id", "left").select("query_id", "v", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    return queries.dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), "v", F.lit(float("-inf")).alias("floor"))
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id and score of the k highest inner products of each of ``queries`` among ``vectors`` (both vec_id, v).
 
     All, if there are fewer; ties go to the smaller vec_id. A query is never its own result: rows of its vec_id are left out.
     Repeated rows of another id are results each; repeated queries are answered once. Empty tables give no rows.
-    Scores are exact below 2 ** 53. All v have the same length (``whole_numbers`` sees to it).
+    Scores are exact below 2 ** 53. All v have the same length (``whole_numbers`` sees to it). Extra columns are left out.
     """
+    vectors = vectors.select("vec_id", "v")
     index = Index(vectors)
-    asked = queries.dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), "v", F.lit(float("-inf")).alias("floor"))
+    asked = _asked(queries)
     if index.empty:
         return asked.select("query_id", F.lit(1).alias("rank"), F.col("query_id").alias("vec_id"), F.lit(0).cast("long").alias("score")).limit(0)
     asked = cut(asked)
     groups = max(1, -(-asked.count() // BLOCK))
     first = cut(_ranked(index.search(asked, k, False, groups), k))
-    # A floor only for queries that have k candidates; the others look everywhere.
-    floors = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(float("-inf")).cast("double").alias("floor"))
-    again = asked.drop("floor").join(floors, "query_id", "left").select("query_id", "v", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
-    return _ranked(first.select("query_id", "vec_id", "score").unionByName(index.search(again, k, True, groups)), k)
+    again = index.search(_floors(asked, first, k), k, True, groups)
+    return _ranked(first.select("query_id", "vec_id", "score").unionByName(again), k)
+
+
+def visited_share(vectors: DataFrame, queries: DataFrame, k: int = 5) -> float:
+    """Of all pairs of a query and a vector, the share of those in annuli that ``top_k`` visits."""
+    index = Index(vectors.select("vec_id", "v"))
+    if index.empty or queries.isEmpty():
+        return 0.0
+    asked = cut(_asked(queries))
+    n = asked.count()
+    first = cut(_ranked(index.search(asked, k, False, max(1, -(-n // BLOCK))), k))
+    visits = index.visits(asked, k, False).select("query_id", "ring").unionByName(index.visits(_floors(asked, first, k), k, True).select("query_id", "ring")).distinct()
+    each = visits.groupBy("ring").count().collect()
+    size = dict(zip(index.rings.tolist(), index.counts.tolist(), strict=True))
+    return sum(r["count"] * size[r.ring] for r in each) / (n * int(index.counts.sum()))
 
 
 def digest(embeddings: DataFrame) -> DataFrame:
