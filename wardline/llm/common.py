@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import os
+import re
 import tempfile
 import uuid
 
@@ -20,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or (unset, as in tests) one of our own."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or (unset, on one machine, as in tests) one of our own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
         path = os.path.join(tempfile.gettempdir(), f"wardline-{spark.sparkContext.applicationId}")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
