@@ -2,30 +2,78 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+_PARTS = re.compile(r'"(?:[^"\\]|\\.)*+"(?:\s*+:)?+|[{}\[\],]|[^\s{}\[\],:"]++')
+
+
+def _walk(text: str):
+    """path, type and value as text of each leaf of a JSON text, in its order, at any depth: without recursion."""
+    stack, path = [], ["$"]
+    for m in _PARTS.finditer(text):
+        token = m.group()
+        if token in "{[":
+            stack.append(None if token == "{" else 0)
+            path.append("" if token == "{" else "[0]")
+        elif token in "}]":
+            stack.pop()
+            path.pop()
+        elif token == ",":
+            if stack and stack[-1] is not None:
+                stack[-1] += 1
+                path[-1] = f"[{stack[-1]}]"
+        elif token[-1] == ":":
+            path[-1] = "." + json.loads(token[:-1], strict=False)
+        else:
+            value = json.loads(token, strict=False)
+            kind = "STRING" if isinstance(value, str) else "VOID" if value is None else "BOOLEAN" if isinstance(value, bool) else "BIGINT" if isinstance(value, int) else "DOUBLE"
+            yield "".join(path), kind, "" if value is None else value if kind == "STRING" else str(value)
 
 
-def leaves(df: DataFrame, json: str, depth: int = 8) -> DataFrame:
-    """``df`` without ``json``, with a row for each leaf: path, type (STRING, BIGINT, ...) and value as text (null: empty).
+def _valid(text: str) -> bool:
+    try:
+        json.loads(text)
+    except RecursionError:  # deeper than Python's parser goes: its brackets decide
+        depth = 0
+        for m in _PARTS.finditer(text):
+            depth += (m.group() in "{[") - (m.group() in "}]")
+            if depth < 0:
+                return False
+        return depth == 0
+    except ValueError:
+        return False
+    return True
 
-    Texts that are no JSON have no leaves. Values nested deeper than ``depth`` raise an error instead of being passed over.
-    Each level is an explode over what still has members; none shuffles.
+
+def leaves(df: DataFrame, column: str) -> DataFrame:
+    """``df`` without the text ``column``, with a row for each leaf of its JSON, at any depth: path, type (STRING, BIGINT, DOUBLE, BOOLEAN
+    or VOID) and value as text (null: empty; booleans as True and False).
+
+    Texts that are no JSON have no leaves. One walk over each text, without a shuffle. Columns named as results are replaced.
     """
-    spark, kept = df.sparkSession, [c for c in df.columns if c != json]
-    here = df.select(*kept, F.lit("$").alias("path"), F.try_parse_json(json).alias("v")).where("v is not null")
-    out = None
-    for level in range(depth + 1):
-        kind = F.schema_of_variant("v")
-        nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-        if level == depth:
-            nested = F.when(nested, F.raise_error(F.lit("JSON is nested too deeply"))).otherwise(F.lit(False))
-        found = here.where(~nested).select(*kept, "path", kind.alias("type"), F.coalesce(F.try_variant_get("v", "$", "string"), F.lit("")).alias("value"))
-        out = found if out is None else out.unionByName(found)
-        if level < depth:
-            inner = here.where(nested).lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).select("pos", "key", F.col("value").alias("w")))
-            here = inner.select(*kept, F.when(F.col("key").isNotNull(), F.concat("path", F.lit("."), "key")).otherwise(F.concat("path", F.lit("["), "pos", F.lit("]"))).alias("path"), F.col("w").alias("v"))
-    return out
+    kept = df.drop(column, "path", "type", "value")
+    n = len(kept.columns)
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1000):
+                part, row, found = batch.slice(a, 1000), [], []
+                for k, text in enumerate(part.column(n).to_pylist()):
+                    if text is not None and _valid(text):
+                        mine = list(_walk(text))
+                        row += [k] * len(mine)
+                        found += mine
+                columns = list(zip(*found, strict=True)) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(row, pa.int32())) for c in part.columns[:n]), *(pa.array(c, pa.string()) for c in columns)], names=[*part.schema.names[:n], "path", "type", "value"])
+
+    schema = T.StructType([*kept.schema.fields, *[T.StructField(c, T.StringType()) for c in ("path", "type", "value")]])
+    return df.select(*[df[c] for c in kept.columns], F.col(column).alias("_text")).mapInArrow(run, schema)
 
 
 #: Of a JSON text: its strings, keys with their colon, and marks of structure.

@@ -16,11 +16,35 @@ def first_responses(responses: DataFrame) -> DataFrame:
     return responses.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def _timeline(requests: DataFrame, responses: DataFrame) -> DataFrame:
+    """Requests and responses of each (session, id) in one order, with the seq of the last of either kind before each.
+
+    Without ``seq``, requests come before responses. One shuffle, by (session, id), for both.
+    """
+    def part(df, asks):
+        seq = F.col("seq").cast("long") if "seq" in df.columns else F.lit(0 if asks else 1).cast("long")
+        text, error = (F.lit(None).cast("string") if asks or c not in df.columns else F.col(c).cast("string") for c in ("text", "error"))
+        return df.select(*KEY, seq.alias("seq"), F.lit(asks).alias("asks"), (F.col("tool") if asks else F.lit(None).cast("string")).alias("tool"), text.alias("text"), error.alias("error"))
+
+    w = Window.partitionBy(*KEY).orderBy("seq", F.col("asks").desc())
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    last = F.max_by(F.struct("tool", "seq"), F.when(F.col("asks"), F.struct("seq", "tool"))).over(before)
+    answered = F.max(F.when(~F.col("asks"), F.col("seq"))).over(before)
+    return part(requests, True).unionByName(part(responses, False)).withColumns({"_asked": last, "_answered": answered, "_next": F.lead("asks").over(w)})
+
+
 def correlated(requests: DataFrame, responses: DataFrame) -> DataFrame:
-    """``responses`` (text) with their request's tool; answers to a tool call are redacted, others pass as they are."""
-    return responses.join(requests.select(*KEY, "tool"), list(KEY), "left").withColumn("text", F.when(F.col("tool").isNotNull(), redacted(F.col("text"))).otherwise(F.col("text")))
+    """session_id, id, seq, tool and text of ``responses``, with the tool of the request that each answers: the last one of its
+    (session, id) before it (by seq), unless another response has taken that already.
+
+    Answers to a tool call are redacted; those that say an ``error`` (a column; null: none) and those to nothing pass as they are.
+    """
+    t = _timeline(requests, responses).where(~F.col("asks"))
+    waiting = F.col("_asked").isNotNull() & (F.col("_answered").isNull() | (F.col("_answered") <= F.col("_asked.seq")))
+    t = t.withColumn("tool", F.when(waiting, F.col("_asked.tool")))
+    return t.select(*KEY, "seq", "tool", F.when(F.col("tool").isNotNull() & F.col("error").isNull(), redacted(F.col("text"))).otherwise(F.col("text")).alias("text"))
 
 
 def orphans(requests: DataFrame, responses: DataFrame) -> DataFrame:
-    """Requests without an answer, with the error that stands for it."""
-    return requests.join(responses.select(*KEY), list(KEY), "left_anti").withColumn("code", F.lit(-32000))
+    """session_id, id, tool and an error code of requests that still wait at the end. A later request of the same id takes an earlier one's place."""
+    return _timeline(requests, responses).where(F.col("asks") & F.col("_next").isNull()).select(*KEY, "tool", F.lit(-32000).alias("code"))

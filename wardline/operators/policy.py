@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..catalogue import ACTIONS, GENERATED, RULES
+from ..catalogue import ACTIONS, GENERATED, MESSAGES, RULES
 from ..functions.text import DIALECT, domain, matches
 
 RULE = "ord int, name string, tool string, action string, message string, conditions array<struct<type:string,field:string,patterns:array<string>,domains:array<string>>>"
@@ -28,20 +28,20 @@ def condition(type: str, field: str, patterns: list[str], domains: list[str], ar
 
 
 def rule_rows(rules=RULES) -> list[tuple]:
-    return [(k, n, t, a, "", [(kind, f, x if kind != "domain_allowlist" else [], x if kind == "domain_allowlist" else [])]) for k, (n, t, a, kind, f, x) in enumerate(rules)]
+    return [(k, n, t, a, MESSAGES.get(n, ""), [(kind, f, x if kind != "domain_allowlist" else [], x if kind == "domain_allowlist" else [])]) for k, (n, t, a, kind, f, x) in enumerate(rules)]
 
 
 def compiled(rules: list[tuple], tool: str = "tool", args: str = "args") -> Column:
-    """struct(action, rule_name) of the rule that decides, for calls with a ``tool`` and a map ``args``.
+    """struct(action, rule_name, message) of the rule that decides, for calls with a ``tool`` and a map ``args``.
 
     Rules are literals of the plan: no join, cheap tests first, and a row tests only the rules of its tool.
     """
     def when(rule):
-        _, name, on, action, _, conditions = rule
+        _, name, on, action, message, conditions = rule
         holds = reduce(Column.__and__, [condition(*c, args=args) for c in conditions], F.lit(True))
-        return F.when(holds if on == "*" else (F.col(tool) == on) & holds, F.struct(F.lit(action).alias("action"), F.lit(name).alias("rule_name")))
+        return F.when(holds if on == "*" else (F.col(tool) == on) & holds, F.struct(F.lit(action).alias("action"), F.lit(name).alias("rule_name"), F.lit(message).alias("message")))
 
-    allowed = F.struct(F.lit("ALLOW").alias("action"), F.lit(None).cast("string").alias("rule_name"))
+    allowed = F.struct(F.lit("ALLOW").alias("action"), F.lit(None).cast("string").alias("rule_name"), F.lit("").alias("message"))
     return F.coalesce(*[when(r) for r in sorted(rules)], allowed)
 
 
@@ -122,3 +122,11 @@ def upserted(generated: DataFrame, rules: DataFrame) -> DataFrame:
 
     both = generated.select("name", "tool", "action", F.lit(0).alias("part"), "ord").unionByName(without_generated(rules).select("name", "tool", "action", F.lit(1).alias("part"), "ord"))
     return both.select((F.row_number().over(Window.orderBy("part", "ord")) - 1).alias("ord"), "name", "tool", "action")
+
+
+def added(rules: DataFrame, rule: DataFrame) -> DataFrame:
+    """``rules`` and, behind them, those of ``rule`` (the same columns; its own ``ord`` is their order)."""
+    from pyspark.sql import Window
+
+    both = rules.withColumn("_part", F.lit(0)).unionByName(rule.withColumn("_part", F.lit(1)))
+    return both.withColumn("ord", F.row_number().over(Window.orderBy("_part", "ord")) - 1).drop("_part")

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..catalogue import BASE64, FILES, KEYWORDS, PROBES, TOOLS, BODY_NAMES, COMMAND_NAMES, GENERATED, HINTS, PATH_NAMES, payload_rows
+from ..catalogue import BASE64, BODY_NAMES, COMMAND_NAMES, FILES, GENERATED, HINTS, KEYWORDS, PATH_NAMES, PROBES, REDACTED, TOOLS, payload_rows
 from ..functions.text import escaped, matches, redacted
 
 PAYLOAD = "ord int, id string, name string, category string, tool string, arguments string, severity string"
 
 
 def payloads(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(payload_rows(), PAYLOAD).withColumn("args", F.from_json("arguments", "map<string,string>"))
+    expected = F.when(F.col("id").isin(*REDACTED), "redact").otherwise("block")
+    return spark.createDataFrame(payload_rows(), PAYLOAD).withColumns({"args": F.from_json("arguments", "map<string,string>"), "expected_behavior": expected})
 
 
 def tool_result(tool: Column, args: Column) -> Column:
@@ -36,6 +37,19 @@ def status(error: Column, safe: Column, text: Column) -> Column:
     return F.when(error.isNotNull(), "blocked").when(safe, "safe").when(text.contains("[REDACTED"), "redacted").otherwise("passed")
 
 
+def classified(body: Column) -> Column:
+    """An attack's outcome from the JSON of its response. An error that is not null is a block; a member of the result whose name starts
+    with _ may say that it was only evaluated; a redaction counts in a result that is text, or in its members that are."""
+    v = F.try_parse_json(body)
+    error, result = F.try_variant_get(v, "$.error", "variant"), F.try_variant_get(v, "$.result", "variant")
+    members = F.coalesce(F.from_json(F.when(F.schema_of_variant(result).startswith("OBJECT"), F.to_json(result)), "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    safe = F.exists(F.map_entries(members), lambda e: e["key"].startswith("_") & ~F.lower(F.coalesce(F.try_variant_get(e["value"], "$.safe_scan", "string"), F.lit(""))).isin("", "false", "0", "0.0", "[]", "{}"))
+    marked = F.exists(F.map_values(members), lambda x: (F.schema_of_variant(x) == "STRING") & F.try_variant_get(x, "$", "string").contains("[REDACTED"))
+    text = F.when(F.schema_of_variant(result) == "STRING", F.try_variant_get(result, "$", "string").contains("[REDACTED"))
+    failed = F.when(error.isNotNull() & ~F.is_variant_null(error), F.lit(-1))
+    return F.when(failed.isNotNull(), "blocked").when(safe, "safe").when(F.coalesce(text, F.lit(False)) | marked, "redacted").otherwise("passed")
+
+
 def outcome(decided: DataFrame, safe: bool = False) -> DataFrame:
     """``decided`` (tool, args, critical, action) with ``status`` of the response that each call gets."""
     blocked = F.col("critical") | (F.col("action") == "BLOCK")
@@ -60,28 +74,31 @@ def label(status: Column) -> Column:
 
 
 def generated_rules(failed: DataFrame) -> DataFrame:
-    """A rule for each failed attack (id, category, tool, args): name, tool, action, field, patterns; unknown categories have none."""
+    """A rule for each failed attack (id, category, tool, args): name, tool, action, message, field, patterns; unknown categories have none."""
     args, category = F.col("args"), F.col("category")
     body, command, path = (F.coalesce(args[f], F.lit("")) for f in ("body", "command", "path"))
 
-    def first(text, kind, lower=False):
-        return F.coalesce(*[F.when((F.lower(text).contains(k.lower()) if lower else text.contains(k)), p) for k, p, _ in KEYWORDS[kind]], F.lit(None))
+    def first(text, kind, lower=False, take=1):
+        return F.coalesce(*[F.when((F.lower(text).contains(row[0].lower()) if lower else text.contains(row[0])), row[take]) for row in KEYWORDS[kind]], F.lit(None))
 
     words = escaped(F.array_join(F.slice(F.split(F.trim(body), r"\s+"), 1, 4), " "))
     injection = F.when(matches(body, [BASE64]), BASE64).otherwise(F.coalesce(first(body, "prompt_injection", True), words))
     leak = F.when(F.col("tool") == "file_read", F.array(escaped(F.element_at(F.split(path, "/"), -1)))).otherwise(F.array(F.lit(r"\d{3}-\d{2}-\d{4}"), F.lit(r"4\d{3}[-\s]?\d{4}")))
 
-    def rule(tool, field, patterns):
-        return F.struct(tool.alias("tool"), field.alias("field"), patterns.alias("patterns"))
+    says = F.when(matches(body, [BASE64]), "base64-encoded prompt injection").otherwise(F.coalesce(first(body, "prompt_injection", True, 2), F.lit("prompt injection")))
+    leaks = F.when(F.col("tool") == "file_read", F.concat(F.lit("reads of "), F.element_at(F.split(path, "/"), -1))).otherwise("emails containing SSN or credit card numbers")
+
+    def rule(tool, field, patterns, blocks):
+        return F.struct(tool.alias("tool"), field.alias("field"), patterns.alias("patterns"), F.concat(F.lit("blocks "), blocks).alias("message"))
 
     shell, of_file = (F.lit("shell_exec"), F.lit("command")), F.col("tool") == "file_read"
     row = (
-        F.when(category == "prompt_injection", rule(F.lit("email_send"), F.lit("body"), F.array(injection)))
-        .when(category == "data_exfiltration", rule(*shell, F.array(first(command, "data_exfiltration"))))
-        .when(category == "privilege_escalation", rule(*shell, F.array(first(command, "privilege_escalation"))))
-        .when(category == "pii_leak", rule(F.when(of_file, "file_read").otherwise("email_send"), F.when(of_file, "path").otherwise("body"), leak))
+        F.when(category == "prompt_injection", rule(F.lit("email_send"), F.lit("body"), F.array(injection), F.concat(says, F.lit(" in email body"))))
+        .when(category == "data_exfiltration", rule(*shell, F.array(first(command, "data_exfiltration")), first(command, "data_exfiltration", take=2)))
+        .when(category == "privilege_escalation", rule(*shell, F.array(first(command, "privilege_escalation")), first(command, "privilege_escalation", take=2)))
+        .when(category == "pii_leak", rule(F.when(of_file, "file_read").otherwise("email_send"), F.when(of_file, "path").otherwise("body"), leak, leaks))
     )
-    return failed.withColumn("r", row).where("r is not null").select("ord", F.concat(F.lit(GENERATED), "id").alias("name"), "r.tool", F.lit("BLOCK").alias("action"), "r.field", "r.patterns")
+    return failed.withColumn("r", row).where("r is not null").select("ord", F.concat(F.lit(GENERATED), "id").alias("name"), "r.tool", F.lit("BLOCK").alias("action"), "r.message", "r.field", "r.patterns")
 
 
 def tools(spark: SparkSession) -> DataFrame:
@@ -89,21 +106,57 @@ def tools(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(TOOLS, "name string, properties array<string>")
 
 
+def discovered(responses: DataFrame, body: str = "body") -> DataFrame:
+    """name and schema (JSON) of the tools with a name that responses list, in order; an answer with an error or without a list fails the job."""
+    v = F.try_parse_json(body)
+    error, listed = F.try_variant_get(v, "$.error", "string"), F.try_variant_get(v, "$.result.tools", "variant")
+    fine = ~F.coalesce(error, F.lit("")).isin("", "false", "0", "{}", "[]") | ~F.coalesce(F.schema_of_variant(listed).startswith("ARRAY"), F.lit(False))
+    text = F.when(fine, F.raise_error(F.lit("no list of tools"))).otherwise(F.get_json_object(body, "$.result.tools"))
+    one = F.explode(F.from_json(text, "array<struct<name variant, inputSchema string>>")).alias("t")
+    named = responses.select(one).where(F.schema_of_variant("t.name") == "STRING")
+    return named.select(F.try_variant_get("t.name", "$", "string").alias("name"), F.col("t.inputSchema").alias("schema"))
+
+
+def string_properties(schema: Column) -> Column:
+    """Names of a schema's (JSON) properties that are strings or of no stated type, in order; what is no object has none."""
+    each = F.from_json(F.get_json_object(schema, "$.properties"), "map<string,variant>")
+    kind = lambda e: F.try_variant_get(e["value"], "$.type", "string")
+    object_ = lambda e: F.coalesce(F.schema_of_variant(e["value"]).startswith("OBJECT"), F.lit(False))
+    found = F.filter(F.map_entries(each), lambda e: object_(e) & F.coalesce(kind(e) == "string", F.lit(True)))
+    return F.coalesce(F.transform(found, lambda e: e["key"]), F.array().cast("array<string>"))
+
+
+def required(schema: Column) -> Column:
+    """Names of a schema's required properties."""
+    return F.coalesce(F.from_json(F.get_json_object(schema, "$.required"), "array<string>"), F.array().cast("array<string>"))
+
+
+def with_defaults(args: Column, properties: Column, needed: Column) -> Column:
+    """``args`` and, for each property that is needed and not there, the value test."""
+    lacking = F.filter(properties, lambda p: F.array_contains(needed, p) & ~F.map_contains_key(args, p))
+    return F.map_concat(args, F.map_from_arrays(lacking, F.transform(lacking, lambda _: F.lit("test"))))
+
+
 def dynamic_payloads(catalogue: DataFrame) -> DataFrame:
-    """Probes from tools' string properties: by the property's name, and one injection for each tool; ids are unique."""
+    """Probes from tools' string properties (name, properties): by the property's name, and one injection for each tool; ids are unique.
+
+    Needed properties (the column ``needed``; by default all) get a value.
+    """
+    if "needed" not in catalogue.columns:
+        catalogue = catalogue.withColumn("needed", F.col("properties"))
     def as_probe(kind, value, category, severity):
         return F.struct(F.lit(kind).alias("kind"), F.lit(value).alias("value"), F.lit(category).alias("category"), F.lit(severity).alias("severity"))
 
-    each = catalogue.select("name", "properties", F.explode("properties").alias("p")).withColumn("l", F.lower("p"))
+    each = catalogue.select("name", "properties", "needed", F.explode("properties").alias("p")).withColumn("l", F.lower("p"))
     probe = (
         F.when(F.col("l").isin(*COMMAND_NAMES), as_probe("cmd", PROBES["cmd"], "data_exfiltration", "critical"))
         .when(F.col("l").isin(*PATH_NAMES), as_probe("path", PROBES["path"], "privilege_escalation", "high"))
         .when(F.col("l") == "url", as_probe("path", PROBES["url"], "privilege_escalation", "high"))
     )
-    named = each.withColumn("x", probe).where("x is not null").select("name", "properties", "p", "x")
+    named = each.withColumn("x", probe).where("x is not null").select("name", "properties", "needed", "p", "x")
     target = F.coalesce(F.get(F.filter("properties", lambda p: F.lower(p).isin(*BODY_NAMES)), F.lit(0)), F.get("properties", F.lit(0)))
-    injected = catalogue.where(F.size("properties") > 0).select("name", "properties", target.alias("p"), as_probe("pi", PROBES["pi"], "prompt_injection", "critical").alias("x"))
-    args = F.map_from_arrays("properties", F.transform("properties", lambda q: F.when(q == F.col("p"), F.col("x.value")).otherwise("test")))
+    injected = catalogue.where(F.size("properties") > 0).select("name", "properties", "needed", target.alias("p"), as_probe("pi", PROBES["pi"], "prompt_injection", "critical").alias("x"))
+    args = with_defaults(F.create_map("p", "x.value"), F.col("properties"), F.col("needed"))
     return named.unionByName(injected).select(F.concat_ws("-", F.lit("dyn"), "x.kind", "name", "p").alias("id"), "x.category", F.col("name").alias("tool"), "x.severity", args.alias("args")).dropDuplicates(["id"])
 
 

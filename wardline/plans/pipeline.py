@@ -27,9 +27,9 @@ def inspected(calls: DataFrame) -> DataFrame:
 
 
 def decided(calls: DataFrame, rules: list[tuple] | None = None) -> DataFrame:
-    """``calls`` with findings, critical, action and rule_name; a critical finding blocks before any rule is asked."""
+    """``calls`` with findings, critical, action, rule_name and the rule's message; a critical finding blocks before any rule is asked."""
     d = inspected(calls).withColumn("d", compiled(rule_rows() if rules is None else rules))
-    return d.withColumns({"action": F.when(F.col("critical"), "BLOCK").otherwise(F.col("d.action")), "rule_name": F.when(~F.col("critical"), F.col("d.rule_name"))}).drop("d")
+    return d.withColumns({"action": F.when(F.col("critical"), "BLOCK").otherwise(F.col("d.action")), "rule_name": F.when(~F.col("critical"), F.col("d.rule_name")), "message": F.when(~F.col("critical"), F.col("d.message"))}).drop("d")
 
 
 def stats(decisions: DataFrame, *by) -> DataFrame:
