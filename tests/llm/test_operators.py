@@ -503,3 +503,13 @@ def test_pipeline(spark):
     kept = {r.doc_id for r in rows["near_duplicates"]}
     assert kept == {i for i, (_, c) in brute_classes([(r.doc_id, r.text) for r in rows["quality"]], 5, 80).items() if i == c}
     assert Counter(r.doc_id for r in p.run(spark, SF).collect()) == Counter(r.doc_id for r in rows["mixture"])
+
+
+def test_discounts():
+    even = katz.discounts([1000, 400, 220, 140, 100, 75])  # regular: Good-Turing by its formula
+    a = 6 * 75 / 1000
+    assert even[1] == pytest.approx((2 * 400 / 1000 - a) / (1 - a)) and (0 < even[1:]).all() and (even[1:] < 1).all() and (np.diff(even[1:]) > 0).all()
+    rough = katz.discounts([1000, 400, 220, 100, 140, 75])  # more fives than fours: from the line
+    assert (0 < rough[1:]).all() and (rough[1:] < 1).all() and rough[4] != 3.5 / 4
+    assert katz.discounts([5, 50, 80, 90, 95, 99]).tolist()[1:] == [0.5, 0.75, 2.5 / 3, 3.5 / 4, 0.9]
+    assert katz.discounts([0] * 6).tolist()[1:] == katz.discounts([3, 0, 0, 0, 0, 0]).tolist()[1:] == [0.5, 0.75, 2.5 / 3, 3.5 / 4, 0.9]

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, partitions
 
 #: Counts up to this are discounted.
 K = 5
@@ -68,24 +68,25 @@ def unsmall(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(unpack(data, np.uint8).reshape(4, -1).T).view("<u4")[:, 0].astype(np.int64)
 
 
-def pack_words(words: np.ndarray, starts: np.ndarray, width: int) -> bytes:
-    """The first ``width`` bytes of hashes that rise from each of ``starts``: as differences, byte by byte."""
-    top = words >> np.uint64(64 - 8 * width)
-    steps = np.diff(top, prepend=np.uint64(0))
-    steps[starts] = top[starts]
-    return pack(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+def pack_words(words: np.ndarray, starts: np.ndarray) -> bytes:
+    """Hashes that rise from each of ``starts``: as differences, byte by byte."""
+    steps = np.diff(words, prepend=np.uint64(0))
+    steps[starts] = words[starts]
+    return pack(steps.astype("<u8").view(np.uint8).reshape(-1, 8).T)
 
 
-def unpack_words(data: bytes, starts: np.ndarray, width: int) -> np.ndarray:
-    planes = unpack(data, np.uint8).reshape(width, -1)
-    steps = np.zeros((planes.shape[1], 8), np.uint8)
-    steps[:, :width] = planes.T
-    steps = steps.view("<u8")[:, 0]
+def unpack_words(data: bytes, starts: np.ndarray) -> np.ndarray:
+    steps = np.ascontiguousarray(unpack(data, np.uint8).reshape(8, -1).T).view("<u8")[:, 0]
     sums = np.cumsum(steps, dtype=np.uint64)
     before = sums[starts] - steps[starts]
     return sums - np.repeat(before, np.diff(np.append(starts, len(steps))))
 
 
+def dealt(df: DataFrame, key: str, n: int) -> DataFrame:
+    """``df`` dealt out by ``key``, which has ``n`` values: the more there are, the more partitions."""
+    return df.repartition(max(n, partitions(df.sparkSession)), key)
+
+
 def held_out(doc_id) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 10 == 0
 
@@ -204,17 +205,31 @@ def word_counts(made: DataFrame, buckets: int) -> DataFrame:
         rows += [(None, b, None, None, int(known[k].astype(np.int64)), [int(total[k])], None) for k in most]
         return _answers(rows)
 
-    return made.mapInArrow(ask, "chunk long, bucket int, words binary, counts binary").groupBy("bucket").applyInArrow(add, ANSWER)
+    return dealt(made.mapInArrow(ask, "chunk long, bucket int, words binary, counts binary"), "bucket", buckets).groupBy("bucket").applyInArrow(add, ANSWER)
 
 
 def discounts(n: list[int]) -> np.ndarray:
-    """Factors for counts 0 to K: Good-Turing's, so far as the counts of counts allow; else half a count off."""
+    """Factors for counts 0 to K: Good-Turing's, from the counts of counts ``n`` (of 1 to K + 1).
+
+    Where a count of counts is too irregular for a factor between 0 and 1, from those on the line through their logarithms; where the line
+    falls too little for that, half a count off.
+    """
     out = np.ones(K + 1)
-    n = [0, *n]
-    a = (K + 1) * n[K + 1] / n[1] if n[1] else 1
-    for r in range(1, K + 1):
-        d = ((r + 1) * n[r + 1] / (r * n[r]) - a) / (1 - a) if n[r] and a < 1 else 0
-        out[r] = d if 0 < d < 1 else (r - 0.5) / r
+    r = np.arange(1, K + 2)
+    n = np.array(n[: K + 1], np.float64)
+    line = n
+    if (n > 0).sum() > 1:
+        slope, start = np.polyfit(np.log(r[n > 0]), np.log(n[n > 0]), 1)
+        line = np.exp(start + slope * np.log(r))
+    for k in range(1, K + 1):
+        for m in (n, line):
+            a = (K + 1) * m[K] / m[0] if m[0] else 1
+            d = ((k + 1) * m[k] / (k * m[k - 1]) - a) / (1 - a) if m[k - 1] and a < 1 else 0
+            if 0 < d < 1:
+                out[k] = d
+                break
+        else:
+            out[k] = (k - 0.5) / k
     return out
 
 
@@ -241,10 +256,9 @@ def _met(buckets: int, parts: list[dict], c: Chunk) -> np.ndarray:
     return counts
 
 
-def pair_counts(made: DataFrame, words: DataFrame, word_buckets: int, buckets: int, hot: np.ndarray, model: Unigrams, width: int, turn: int) -> DataFrame:
+def pair_counts(made: DataFrame, words: DataFrame, word_buckets: int, buckets: int, hot: np.ndarray, model: Unigrams, n_chunks: int, turn: int) -> DataFrame:
     """An ``ANSWER`` for each chunk and bucket of contexts: the counts of its pairs; for each context how many words were seen
-    1 to K times after it, and what share of the unigrams all words seen after it have. Words after a context are told apart by
-    ``width`` bytes of their hash. Buckets of pass ``turn`` only.
+    1 to K times after it, and what share of the unigrams all words seen after it have. Buckets of pass ``turn`` only.
     """
 
     def ask(rows: pa.Table, answers: pa.Table) -> pa.Table:
@@ -257,7 +271,7 @@ def pair_counts(made: DataFrame, words: DataFrame, word_buckets: int, buckets: i
                 if len(here) and b % PASSES == turn:
                     ctx, first, each = np.unique(c.context[here], return_index=True, return_counts=True)
                     order = np.argsort(first)
-                    for k, x in enumerate((row["chunk"], b, pack(c.contexts[ctx[order]]), pack(small(each[order])), pack_words(c.vocab[c.word[here]], np.sort(first), width), pack(small(c.count[here])), pack(small(counts[c.word[here]])))):
+                    for k, x in enumerate((row["chunk"], b, pack(c.contexts[ctx[order]]), pack(small(each[order])), pack_words(c.vocab[c.word[here]], np.sort(first)), pack(small(c.count[here])), pack(small(counts[c.word[here]])))):
                         out[k].append(x)
         kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 5)
         return pa.table({name: pa.array(x, k) for name, x, k in zip(("chunk", "bucket", "contexts", "each", "words", "counts", "of_word"), out, kinds, strict=True)})
@@ -268,7 +282,7 @@ def pair_counts(made: DataFrame, words: DataFrame, word_buckets: int, buckets: i
         each = [unsmall(x["each"]) for x in asked_rows]
         known, at = np.unique(np.concatenate(ctxs), return_inverse=True)
         at_pair = np.repeat(at, np.concatenate(each))
-        after = np.concatenate([unpack_words(x["words"], np.cumsum(e) - e, width) for x, e in zip(asked_rows, each, strict=True)])
+        after = np.concatenate([unpack_words(x["words"], np.cumsum(e) - e) for x, e in zip(asked_rows, each, strict=True)])
         key = known[at_pair] * np.uint64(0x9E3779B97F4A7C15) + after * np.uint64(0xC2B2AE3D27D4EB4F)
         _, first, pair = np.unique(key, return_index=True, return_inverse=True)
         total = np.bincount(pair, np.concatenate([unsmall(x["counts"]) for x in asked_rows])).astype(np.int64)
@@ -287,8 +301,8 @@ def pair_counts(made: DataFrame, words: DataFrame, word_buckets: int, buckets: i
             rows.append((None, b, None, None, int(known[k].astype(np.int64)), n[k].tolist(), float(share[k])))
         return _answers(rows)
 
-    asked = made.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(ask, "chunk long, bucket int, contexts binary, each binary, words binary, counts binary, of_word binary")
-    return asked.groupBy("bucket").applyInArrow(add, ANSWER)
+    asked = dealt(made, "chunk", n_chunks).groupBy("chunk").cogroup(dealt(words, "chunk", n_chunks).groupBy("chunk")).applyInArrow(ask, "chunk long, bucket int, contexts binary, each binary, words binary, counts binary, of_word binary")
+    return dealt(asked, "bucket", buckets).groupBy("bucket").applyInArrow(add, ANSWER)
 
 
 def backoff(n: np.ndarray, share: np.ndarray, total: np.ndarray, discount: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -309,7 +323,7 @@ def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, bucket: int = BUCKET)
     it is held out. Without training tokens, every token is unknown and has probability 1. Other columns are not read.
     """
     made = cut(chunks(docs, chunk_bytes))
-    size = made.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda s, x: s + x)), F.lit(0))).first()
+    size = made.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda s, x: s + x)), F.lit(0)), F.count("*")).first()
     word_buckets, buckets = max(1, -(-size[0] // bucket)), max(1, -(-size[1] * 2 // (3 * bucket)))
     counted = cut(word_counts(made, word_buckets))
     sums = counted.where("chunk is null and hot is null").select(F.posexplode("n")).groupBy("pos").agg(F.sum("col").alias("n")).collect()
@@ -319,9 +333,7 @@ def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, bucket: int = BUCKET)
     # Sentences begin with a context of their own.
     hot = np.array([*[r.hot for r in rows], int(BEGIN)], np.int64).astype(np.uint64)
     asked = counted.where("chunk is not null").drop("hot", "n", "seen")
-    # Of a context's words, that are no more than there are tokens, less than one in 4096 is taken for another.
-    width = min(8, -(-(tokens.bit_length() + 12) // 8))
-    found = functools.reduce(DataFrame.unionByName, [cut(pair_counts(made, asked, word_buckets, buckets, hot, model, width, turn)) for turn in range(PASSES)])
+    found = functools.reduce(DataFrame.unionByName, [cut(pair_counts(made, asked, word_buckets, buckets, hot, model, size[2], turn)) for turn in range(PASSES)])
     pair_n = found.where("chunk is null and hot is null").select(F.posexplode("n")).groupBy("pos").agg(F.sum("col").alias("n")).collect()
     discount = discounts([r.n for r in sorted(pair_n)] if pair_n else [0] * (K + 1))
     spread = found.where("hot is not null").groupBy("hot").agg(*[F.sum(F.col("n")[r]).alias(f"n{r}") for r in range(K)], F.sum("seen").alias("seen")).collect()
@@ -363,4 +375,4 @@ def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, bucket: int = BUCKET)
         return pa.table({name: pa.array(x, k) for name, x, k in zip(names, out, kinds, strict=True)})
 
     answers = asked.unionByName(found.where("chunk is not null").drop("hot", "n", "seen"))
-    return made.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(evaluate, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return dealt(made, "chunk", size[2]).groupBy("chunk").cogroup(dealt(answers, "chunk", size[2]).groupBy("chunk")).applyInArrow(evaluate, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
