@@ -95,8 +95,8 @@ intervals AS (
   WHERE event = 'add' AND (valid_to IS NULL OR valid_to > valid_from)),
 looked AS (
   SELECT page_id, fetched_at, host AS k FROM captures WHERE host <> ''
-  UNION SELECT page_id, fetched_at, array_to_string(list_slice(string_split(host, '.'), i, -1), '.')
-        FROM captures, unnest(range(2, 12)) AS t(i) WHERE host <> '' AND i <= len(string_split(host, '.'))
+  UNION SELECT page_id, fetched_at, array_to_string(list_slice(labels, i, -1), '.')
+        FROM (SELECT *, string_split(host, '.') AS labels FROM captures WHERE host <> ''), unnest(range(2, len(labels) + 1)) AS t(i)
   UNION SELECT page_id, fetched_at, host || '/' || part FROM captures WHERE host <> '' AND part <> ''),
 hits AS (
   SELECT page_id, verdict, l.k, list, valid_from,
