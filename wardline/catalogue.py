@@ -37,6 +37,16 @@ INJECTION = [
     ("medium", "base64", r"[A-Za-z0-9+/=]{100,}"),
     ("medium", "script", r"(?:<script|javascript:|onerror=)"),
 ]
+# What is said of each of them.
+DESCRIPTIONS = {
+    "ignore": "Attempt to ignore instructions",
+    "role": "Role manipulation attempt",
+    "system": "System-level instruction injection at value start",
+    "disregard": "Instruction override/disregard attempt",
+    "forget": "Attempt to force instruction forgetting",
+    "base64": "Suspicious long base64-like payload",
+    "script": "Potential HTML/script injection payload",
+}
 # Personal data and secrets, in the order of redaction (label, pattern).
 PII = [
     ("SSN", r"\b\d{3}-\d{2}-\d{4}\b"),
@@ -45,6 +55,8 @@ PII = [
     ("AWS_KEY", r"\bAKIA[0-9A-Z]{16}\b"),
     ("PASSWORD", r"://[^:]+:[^@]+@"),
 ]
+# What findings call each of them.
+PII_KINDS = {"SSN": "ssn", "CC": "credit_card", "API_KEY": "api_key", "AWS_KEY": "aws_key", "PASSWORD": "password_in_url"}
 # What a failed attack's rule looks for (keyword, pattern, label), in order; the last is the default.
 BASE64 = r"[A-Za-z0-9+/=]{40,}"
 KEYWORDS = {

@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..catalogue import INJECTION, PII
+from ..catalogue import DESCRIPTIONS, INJECTION, PII, PII_KINDS
 
 #: Case-insensitive, Unicode classes, line feed as the only line end: what the rules' authors expect of their patterns.
 DIALECT = "(?iUd)"
@@ -22,12 +22,27 @@ def matches(x: Column, patterns: list[str]) -> Column:
     return reduce(Column.__or__, [F.coalesce(x, F.lit("")).rlike(DIALECT + p) for p in patterns], F.lit(False))
 
 
-def findings(x: Column, field: str) -> Column:
-    """The injection patterns that are found in ``x``: array of severity, name and field."""
-    each = [F.when(matches(x, [p]), F.struct(F.lit(s).alias("severity"), F.lit(n).alias("pattern"), F.lit(field).alias("field"))) for s, n, p in INJECTION]
+def _finding(severity: str, name: str, field, said: Column, pattern: str) -> Column:
+    return F.struct(F.lit(severity).alias("severity"), F.lit(name).alias("pattern"), F.lit(field).alias("field"), said.alias("description"), F.lit(pattern).alias("matched_pattern"))
+
+
+def findings(x: Column, field, tool: Column | None = None) -> Column:
+    """The injection patterns that are found in ``x``: array of severity, name, field (where it is), description and pattern."""
+    tool = F.lit("text") if tool is None else tool
+    each = [F.when(matches(x, [p]), _finding(s, n, field, F.concat(F.lit(f"{DESCRIPTIONS[n]} in "), F.coalesce(tool, F.lit(""))), p)) for s, n, p in INJECTION]
     return F.filter(F.array(*each), lambda f: f.isNotNull())
 
 
+def redaction_findings(x: Column, field, tool: Column | None = None, kinds=PII) -> Column:
+    """A finding, as ``findings`` has them, for each match that the redaction of ``x`` replaces."""
+    tool = F.lit("text") if tool is None else tool
+    each = [
+        F.array_repeat(_finding("medium", PII_KINDS.get(label, label.lower()), field, F.concat(F.lit("PII detected in "), F.coalesce(tool, F.lit("")), F.lit(f": {PII_KINDS.get(label, label.lower())}")), p), F.coalesce(n, F.lit(0)))
+        for (label, p), n in zip(kinds, redaction_counts(x, kinds), strict=True)
+    ]
+    return F.flatten(F.array(*each))
+
+
 def redacted(x: Column, kinds=PII) -> Column:
     """``x`` with each kind of personal data replaced, in order, each over what the last one left."""
     return reduce(lambda t, k: F.regexp_replace(t, DIALECT + k[1], f"[REDACTED-{k[0]}]"), kinds, x)

@@ -17,8 +17,8 @@ def inspected(calls: DataFrame) -> DataFrame:
     string leaves at any depth, and ``critical``. A pattern that a leaf has is not told of its whole argument again."""
 
     def of(entry):
-        whole = findings(entry["value"], entry["key"])
-        inner = F.flatten(F.transform(string_leaves(entry["value"], entry["key"]), lambda x: findings(x["value"], x["path"])))
+        whole = findings(entry["value"], entry["key"], F.col("tool"))
+        inner = F.flatten(F.transform(string_leaves(entry["value"], entry["key"]), lambda x: findings(x["value"], x["path"], F.col("tool"))))
         return F.concat(F.filter(whole, lambda f: ~F.exists(inner, lambda g: g["pattern"] == f["pattern"])), inner)
 
     none = F.filter(findings(F.lit(""), ""), lambda f: F.lit(False))

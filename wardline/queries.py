@@ -357,10 +357,16 @@ def relay_log_lines(spark, d):
 
 
 # --- findings and redaction ----------------------------------------------------------------------------------------------
-@query(f"WITH t AS (SELECT conv_id, turn, {CHAT} AS text FROM conversations) " + " UNION ALL ".join(f"SELECT conv_id, turn, {q(s)} AS severity, {q(n)} AS pattern FROM t WHERE {any_of('text', [p])}" for s, n, p in c.INJECTION))
+@query(f"WITH t AS (SELECT conv_id, turn, role, {CHAT} AS text FROM conversations) " + " UNION ALL ".join(f"SELECT conv_id, turn, {q(s)} AS severity, {q(n)} AS pattern, {q(c.DESCRIPTIONS[n] + ' in ')} || role AS description, {q(p)} AS matched_pattern FROM t WHERE {any_of('text', [p])}" for s, n, p in c.INJECTION))
 def injection_findings(spark, d):
-    t = table(spark, d, "conversations").select("conv_id", "turn", F.expr(CHAT).alias("text"))
-    return t.select("conv_id", "turn", F.explode(tx.findings(F.col("text"), "body")).alias("f")).select("conv_id", "turn", "f.severity", "f.pattern")
+    t = table(spark, d, "conversations").select("conv_id", "turn", "role", F.expr(CHAT).alias("text"))
+    return t.select("conv_id", "turn", F.explode(tx.findings(F.col("text"), "body", F.col("role"))).alias("f")).select("conv_id", "turn", "f.severity", "f.pattern", "f.description", "f.matched_pattern")
+
+
+@query(f"WITH t AS (SELECT doc_id, {PLANTED} AS text FROM documents) " + " UNION ALL ".join(f"SELECT doc_id, {q('PII detected in file_read: ' + c.PII_KINDS[n])} AS description, {q(p)} AS matched_pattern FROM t, unnest(range(len(regexp_extract_all({redact_sql('text', c.PII[:k])}, {q(p)}, 0, 'i')))) u(i)" for k, (n, p) in enumerate(c.PII)))
+def output_findings(spark, d):
+    """A finding for each match, not for each text."""
+    return planted(spark, d).select("doc_id", F.explode(tx.redaction_findings(F.col("text"), "result.content", F.lit("file_read"))).alias("f")).select("doc_id", "f.description", "f.matched_pattern")
 
 
 @query(f"{CALLS} SELECT call_id, CAST({' + '.join(f'{any_of(f, [p])}::INT' for f in ('a_' + x for x in pipeline.FIELDS) for _, _, p in c.INJECTION)} AS INT) AS n_findings, {CRITICAL} AS critical FROM calls")
