@@ -46,14 +46,14 @@ def test_correlation_as_replay(spark):
 
 def test_leaves_of_any_depth_and_kind(spark):
     deep = '{"a":[' * 6000 + '"x"' + "]}" * 6000
-    rows = [(1, '{"z":1,"a":[true,false,null,-1.5e3,""],"q\\"uote, :{":"v,]"}'), (2, deep), (3, '"top"'), (4, "{bad"), (5, None), (6, "{}"), (7, '{"a":1} x'), (8, " [ 1 , [ 2 ] ] ")]
+    rows = [(1, '{"z":1,"a":[true,false,null,-1.5e3,""],"q\\"uote, :{":"v,]"}'), (2, deep), (3, '"top"'), (4, "{bad"), (5, None), (6, "{}"), (7, '{"a":1} x'), (8, " [ 1 , [ 2 ] ] "), (9, "[" * 60_000 + "bad" + "]" * 60_000), (10, "[" * 60_000), (11, "[" * 60_000 + "7" + "]" * 60_000)]
     df = spark.createDataFrame([(k, t, "kept") for k, t in rows], "k int, j string, path string")
     got = {}
     for r in leaves.leaves(df, "j").collect():
         got.setdefault(r.k, []).append((r.path, r.type, r.value))
     assert got[1] == [("$.z", "BIGINT", "1"), ("$.a[0]", "BOOLEAN", "True"), ("$.a[1]", "BOOLEAN", "False"), ("$.a[2]", "VOID", ""), ("$.a[3]", "DOUBLE", "-1500.0"), ("$.a[4]", "STRING", ""), ('$.q"uote, :{', "STRING", "v,]")]
     assert [x[1:] for x in got[2]] == [("STRING", "x")] and got[2][0][0] == "$" + ".a[0]" * 6000
-    assert got[3] == [("$", "STRING", "top")] and got[8] == [("$[0]", "BIGINT", "1"), ("$[1][0]", "BIGINT", "2")] and set(got) == {1, 2, 3, 8}
+    assert got[3] == [("$", "STRING", "top")] and got[8] == [("$[0]", "BIGINT", "1"), ("$[1][0]", "BIGINT", "2")] and got[11] == [("$" + "[0]" * 60_000, "BIGINT", "7")] and set(got) == {1, 2, 3, 8, 11}
 
 
 def test_leaves_as_a_recursive_walk(spark):

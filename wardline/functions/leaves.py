@@ -13,15 +13,22 @@ from pyspark.sql import types as T
 _PARTS = re.compile(r'"(?:[^"\\]|\\.)*+"(?:\s*+:)?+|[{}\[\],]|[^\s{}\[\],:"]++')
 
 
-def _walk(text: str):
-    """path, type and value as text of each leaf of a JSON text, in its order, at any depth: without recursion."""
-    stack, path = [], ["$"]
+def _leaf(path: str, value) -> tuple[str, str, str]:
+    kind = "STRING" if isinstance(value, str) else "VOID" if value is None else "BOOLEAN" if isinstance(value, bool) else "BIGINT" if isinstance(value, int) else "DOUBLE"
+    return path, kind, "" if value is None else str(value)
+
+
+def _parts(text: str):
+    """The leaves of a JSON text that is nested deeper than Python's parser goes; none if its brackets don't match."""
+    stack, path, out = [], ["$"], []
     for m in _PARTS.finditer(text):
         token = m.group()
         if token in "{[":
             stack.append(None if token == "{" else 0)
             path.append("" if token == "{" else "[0]")
         elif token in "}]":
+            if not stack:
+                return []
             stack.pop()
             path.pop()
         elif token == ",":
@@ -29,26 +36,33 @@ def _walk(text: str):
                 stack[-1] += 1
                 path[-1] = f"[{stack[-1]}]"
         elif token[-1] == ":":
-            path[-1] = "." + json.loads(token[:-1], strict=False)
+            path[-1] = "." + json.loads(token[:-1])
         else:
-            value = json.loads(token, strict=False)
-            kind = "STRING" if isinstance(value, str) else "VOID" if value is None else "BOOLEAN" if isinstance(value, bool) else "BIGINT" if isinstance(value, int) else "DOUBLE"
-            yield "".join(path), kind, "" if value is None else value if kind == "STRING" else str(value)
+            out.append(_leaf("".join(path), json.loads(token)))
+    return [] if stack else out
 
 
-def _valid(text: str) -> bool:
+def _walk(text: str) -> list[tuple[str, str, str]]:
+    """path, type and value as text of each leaf of a JSON text, in its order, at any depth; of equal keys the last one's."""
     try:
-        json.loads(text)
-    except RecursionError:  # deeper than Python's parser goes: its brackets decide
-        depth = 0
-        for m in _PARTS.finditer(text):
-            depth += (m.group() in "{[") - (m.group() in "}]")
-            if depth < 0:
-                return False
-        return depth == 0
+        below = [("$", json.loads(text))]
+    except RecursionError:
+        try:
+            return _parts(text)
+        except ValueError:
+            return []
     except ValueError:
-        return False
-    return True
+        return []
+    out = []
+    while below:
+        path, value = below.pop()
+        if isinstance(value, dict):
+            below += [(f"{path}.{k}", x) for k, x in reversed(value.items())]
+        elif isinstance(value, list):
+            below += [(f"{path}[{k}]", value[k]) for k in range(len(value) - 1, -1, -1)]
+        else:
+            out.append(_leaf(path, value))
+    return out
 
 
 def leaves(df: DataFrame, column: str) -> DataFrame:
@@ -65,8 +79,8 @@ def leaves(df: DataFrame, column: str) -> DataFrame:
             for a in range(0, batch.num_rows, 1000):
                 part, row, found = batch.slice(a, 1000), [], []
                 for k, text in enumerate(part.column(n).to_pylist()):
-                    if text is not None and _valid(text):
-                        mine = list(_walk(text))
+                    if text is not None:
+                        mine = _walk(text)
                         row += [k] * len(mine)
                         found += mine
                 columns = list(zip(*found, strict=True)) or [(), (), ()]
