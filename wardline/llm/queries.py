@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_template, id_files, katz, media, mixing, near_dup, resample, topk, url_lists
+from . import align, bpe, codebooks, content_sort, html_template, id_files, katz, media, mixing, near_dup, resample, topk, url_lists
 from .common import table
 
 
@@ -56,6 +56,18 @@ def op10_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_lists.judge(url_lists.fetched(pages), url_lists.derived_events(pages))
 
 
+def op11_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
+def op12_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return content_sort.groups(table(spark, sf_dir, "documents"))
+
+
+def op13_filtering_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.digest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_html_template": op1_html_template,
     "op2_near_dup": op2_near_dup,
@@ -67,6 +79,9 @@ QUERIES = {
     "op8_id_files": op8_id_files,
     "op9_resampling": op9_resampling,
     "op10_url_lists": op10_url_lists,
+    "op11_token_align": op11_token_align,
+    "op12_content_sort": op12_content_sort,
+    "op13_filtering_lloyd": op13_filtering_lloyd,
 }
 
 OP10_SQL = r"""
@@ -107,4 +122,11 @@ SELECT c.page_id, c.url, c.fetched_at, coalesce(h.verdict, 'none') AS verdict, c
 FROM captures c LEFT JOIN hits h ON c.page_id = h.page_id AND h.rn = 1
 """
 
-ORACLE_SQL = {"op10_url_lists": OP10_SQL}
+OP12_SQL = r"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS norm FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY length(text) DESC, doc_id NULLS LAST) AS place FROM texts)
+SELECT doc_id, first(doc_id ORDER BY place) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size, place = 1 AS kept, sha256(norm) AS text_sha256
+FROM placed
+"""
+
+ORACLE_SQL = {"op10_url_lists": OP10_SQL, "op12_content_sort": OP12_SQL}
