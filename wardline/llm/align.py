@@ -13,7 +13,8 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
-from itertools import chain
+from array import array
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,8 @@ from .common import cut, setting
 from .id_files import ByteEncoder, slices
 
 CHUNK = 2_000_000
-#: Segments that a worker keeps with their ids, and code points of them; then it starts anew.
-KEPT, KEPT_CHARS = 1_000_000, 20_000_000
+#: Segments that a worker keeps with their ids, and code points of them; then it starts anew. Longer segments are not kept.
+KEPT, KEPT_CHARS, LONGEST = 500_000, 10_000_000, 64
 #: Rows that go to a worker at a time.
 ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 #: A pair of ids as one number.
@@ -51,32 +52,50 @@ class PieceEncoder:
         self.bytes = [bytes([int(p[3:5], 16)]) if self.library.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(pieces)]
         self.cut = re.compile(" *[^ ]+| +")
         self.blank = self.library.piece_to_id(BLANK)
-        self.known, self.found, self.chars = {}, [], 0
-
-    def segment(self, text: str) -> list[int]:
-        """The ids of ``text`` behind the space that the library adds; a single space is that space alone."""
-        return self.library.encode(text[1:]) if len(text) > 1 else [self.blank]
+        self._clear()
+
+    def _clear(self) -> None:
+        """Segments by number, and for each number where its ids start in the pool, and how many they are."""
+        self.known, self.chars, self.pool, self.ends = {}, 0, array("i"), array("i", [0])
+
+    def _learn(self, segments: list[str]) -> None:
+        """The library's ids of new segments, each asked for without the space that the library adds; a single space is that space alone."""
+        got = self.library.encode([s[1:] for s in segments], num_threads=1)
+        for k, s in enumerate(segments):
+            if s == " ":
+                got[k] = [self.blank]
+        n = len(self.ends) - 1
+        self.known.update(zip(segments, range(n, n + len(segments)), strict=True))
+        self.ends.extend((np.cumsum(np.fromiter(map(len, got), np.int64, len(got))) + len(self.pool)).tolist())
+        self.pool.extend(chain.from_iterable(got))
+        self.chars += sum(map(len, segments))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (none is empty) one after the other, and how many are each text's."""
-        if len(self.known) > KEPT or self.chars > KEPT_CHARS:
-            self.known, self.found, self.chars = {}, [], 0
-        known, parts, sizes = self.known, [], []
-        for t in texts:
-            if self.whole or BLANK in t:
-                parts.append(self.library.encode(t))
-            else:
-                got = self.cut.findall(" " + t)
-                try:
-                    ids = list(chain.from_iterable(map(known.__getitem__, got)))
-                except KeyError:
-                    for s in set(got).difference(known):
-                        known[s] = self.segment(s)
-                        self.chars += len(s)
-                    ids = list(chain.from_iterable(map(known.__getitem__, got)))
-                parts.append(ids)
-            sizes.append(len(parts[-1]))
-        return np.fromiter(chain.from_iterable(parts), np.int64, sum(sizes)), np.array(sizes, np.int64)
+        if len(self.ends) > KEPT or self.chars > KEPT_CHARS:
+            self._clear()
+        odd = {k for k, t in enumerate(texts) if self.whole or BLANK in t}
+        parts = [[] if k in odd else self.cut.findall(" " + t) for k, t in enumerate(texts)]
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        flat = list(chain.from_iterable(parts))
+        new = list(set(flat).difference(self.known))
+        self._learn(new)
+        at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        for s in new:
+            if len(s) > LONGEST:
+                del self.known[s]
+        ends = np.array(self.ends, np.int64)
+        each = (ends[1:] - ends[:-1])[at]
+        sums = np.cumsum(each)
+        ids = np.array(self.pool, np.int64)[np.repeat(ends[at] - (sums - each), each) + np.arange(sums[-1] if len(sums) else 0)]
+        sizes = np.diff(np.concatenate([[0], sums])[np.concatenate([[0], np.cumsum(sizes)])])
+        if odd:
+            each = np.split(ids, np.cumsum(sizes)[:-1])
+            for k in odd:
+                each[k] = np.array(self.library.encode(texts[k]), np.int64)
+                sizes[k] = len(each[k])
+            ids = np.concatenate(each)
+        return ids, sizes
 
 
 class Aligner:
@@ -105,10 +124,9 @@ class Aligner:
         raw = [t.encode("utf-8", "surrogatepass") for t in spaced]
 
         def same(ids, n, table):
-            ends, out = np.cumsum(n), []
-            got = list(map(table.__getitem__, ids.tolist()))
-            for text, a, b in zip(raw, (ends - n).tolist(), ends.tolist(), strict=True):
-                out.append(b"".join(got[a:b]) == text)
+            got, out = map(table.__getitem__, ids.tolist()), []
+            for text, size in zip(raw, n.tolist(), strict=True):
+                out.append(b"".join(islice(got, size)) == text)
             return np.array(out, bool)
 
         fine = same(ids_a, n_a, self.bytes_a) & same(ids_b, n_b, self.b.bytes)
