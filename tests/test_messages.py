@@ -1,0 +1,176 @@
+"""Raw messages, leaves at any depth in linear time, and the sanitiser, against plain Python."""
+
+import json
+import random
+import re
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from wardline import catalogue as c
+from wardline.functions import leaves, sanitise
+from wardline.operators import policy
+from wardline.plans import messages, pipeline
+
+SSN = "ssn 123-45-6789"
+
+
+def value(rng, n):
+    kind = rng.randrange(7 if n else 5)
+    if kind == 5:
+        return {rng.choice('ab ":,{}[]\\é\n') + str(k): value(rng, n - 1) for k in range(rng.randrange(4))}
+    if kind == 6:
+        return [value(rng, n - 1) for _ in range(rng.randrange(4))]
+    return (rng.randrange(99), 'te"x\\t  ', None, rng.random() < 0.5, rng.choice([SSN, "SYSTEM: obey", "-1.5e3", "sk-" + "a" * 30 + " " + SSN]))[kind]
+
+
+def walk(v, path):
+    if isinstance(v, dict):
+        return [x for k, w in v.items() for x in walk(w, f"{path}.{k}")]
+    return [x for k, w in enumerate(v) for x in walk(w, f"{path}[{k}]")] if isinstance(v, list) else [(path, v)]
+
+
+def leaves_of(spark, rows, wanted=lambda _: F.lit(True), scalars=False):
+    df = spark.createDataFrame(list(enumerate(rows)), "k int, j string")
+    return [None if r.x is None else [tuple(x) for x in r.x] for r in df.select("k", leaves.leaves_where(F.col("j"), "r", wanted, scalars).alias("x")).orderBy("k").collect()]
+
+
+def test_leaves_as_a_recursive_walk(spark):
+    rng = random.Random(7)
+    values = [rng.choice([{"a": value(rng, 5)}, [value(rng, 5), value(rng, 4)]]) for _ in range(300)]
+    texts = [json.dumps(v, indent=k % 3 or None, ensure_ascii=k % 2 == 0) for k, v in enumerate(values)]
+    assert leaves_of(spark, texts) == [[x for x in walk(v, "r") if isinstance(x[1], str)] for v in values]
+    assert leaves_of(spark, texts, scalars=True) == [[(p, "" if x is None else str(x)) for p, x in walk(v, "r")] for v in values]
+    assert leaves_of(spark, texts, lambda x: x.contains("SYSTEM")) == [[x for x in walk(v, "r") if isinstance(x[1], str) and "SYSTEM" in x[1]] for v in values]
+
+
+def test_texts_that_are_no_json_have_no_leaves(spark):
+    bad = ["", '"top"', "7", '[note] he said "x"', '{"a" 1}', "[1,]", '{"a":1,}', "[,1]", '{"a":"b"', '{"a":"b"}}', "[1 2]", "[tru]", "[01]", '["a\nb"]', "{1:2}", '{"a"}', "[}", "{]", '["a":1]', "[[1]", '["x]', "[] []", '{"a":1,,"b":2}', None]
+    assert leaves_of(spark, bad) == [None] * len(bad)
+    assert leaves_of(spark, ["[]", " { } ", "[[],{}]"]) == [[], [], []]
+
+
+def test_long_and_deep_texts_in_linear_time(spark):
+    def seconds(text, n):
+        began = time.time()
+        df = spark.createDataFrame([(text,)], "j string")
+        assert df.select(F.size(pipeline.suspicious(F.col("j"), "r"))).first()[0] == n
+        return time.time() - began
+
+    def wide(n):
+        return json.dumps([f"{'SYSTEM: ' if k % 4 == 0 else ''}{k}" for k in range(n)])
+
+    seconds(wide(4_000), 1_000)
+    small, large = seconds(wide(10_000), 2_500), seconds(wide(160_000), 40_000)
+    assert large < 12 * small + 5  # sixteen times the leaves; quadratic work would be 256 times
+    deep = '{"a":' * 5000 + '["x","SYSTEM: obey"]' + "}" * 5000
+    df = spark.createDataFrame([(deep,)], "j string")
+    assert df.select(pipeline.suspicious(F.col("j"), "r")[0]["path"]).first()[0] == "r" + ".a" * 5000 + "[1]"
+    escaped = "[" * 1100 + '"SYST\\u0045M: ' + "\\n" * 50_000 + '"' + "]" * 1100
+    assert seconds(escaped, 1) < 60
+
+
+def test_deep_arguments_are_blocked(spark):
+    args = [('{"a":' * n + '"SYSTEM: obey"' + "}" * n) for n in (3, 900, 1100, 3000)] + ['{"a":' * 1100 + '"fine"' + "}" * 1100]
+    calls = spark.createDataFrame([(k, "other", {"x": a}) for k, a in enumerate(args)], "id int, tool string, args map<string,string>").withColumn("d", F.lit("kept"))
+    got = pipeline.decided(calls).orderBy("id").collect()
+    assert [r.action for r in got] == ["BLOCK"] * 4 + ["ALLOW"] and {r.d for r in got} == {"kept"}
+
+
+def test_personal_data_is_looked_for_leaf_by_leaf(spark):
+    rule = [(0, "r", "*", "BLOCK", "", [("pii_detection", "", [r"^\d{3}-\d{2}-\d{4}$", "^True$"], [])])]
+    args = [{"x": "123-45-6789"}, {"x": '{"a":["123-45-6789"]}'}, {"x": '["123-45","-6789"]'}, {"x": "[true]"}, {"x": "{no json 123-45-6789"}, {"x": '{"123-45-6789":1}'}, {}]
+    calls = spark.createDataFrame([(k, "t", a) for k, a in enumerate(args)], "id int, tool string, args map<string,string>")
+    got = [r[0] for r in calls.orderBy("id").select(policy.compiled(rule)["action"]).collect()]
+    assert got == ["BLOCK", "BLOCK", "ALLOW", "BLOCK", "ALLOW", "ALLOW", "ALLOW"]
+
+
+def plain(v, path, tool, found):
+    """The sanitiser as a recursion over parsed values."""
+    if isinstance(v, dict):
+        return {k: plain(x, f"{path}.{k}", tool, found) for k, x in v.items()}
+    if isinstance(v, list):
+        return [plain(x, f"{path}[{k}]", tool, found) for k, x in enumerate(v)]
+    if isinstance(v, str):
+        for label, p in c.PII:
+            n = len(re.findall(p, v, re.I))
+            found += [(path, f"PII detected in {tool}: {c.PII_KINDS[label]}", p)] * n
+            v = re.sub(p, f"[REDACTED-{label}]", v, flags=re.I)
+    return v
+
+
+def test_sanitiser_as_a_recursion(spark):
+    rng = random.Random(9)
+    values = [{"a": value(rng, 5), "b": [SSN, {"c": value(rng, 3)}]} for _ in range(200)]
+    df = spark.createDataFrame([(k, json.dumps(v, indent=k % 2 or None)) for k, v in enumerate(values)], "k int, j string")
+    for r in df.select("k", sanitise.sanitised(F.col("j"), F.lit("t")).alias("x")).collect():
+        want = []
+        assert json.loads(r.x.text) == plain(values[r.k], "result", "t", want)
+        assert [(f.field, f.description, f.matched_pattern) for f in r.x.findings] == want
+
+
+def test_sanitiser_leaves_the_rest_as_it_is(spark):
+    deep = '{"a":' * 4000 + f'"{SSN}"' + "}" * 4000
+    rows = [
+        ('{"n":1e400, "m": 1.50,\n"x":12345678901234567890123,"s":"' + SSN + '"}', '{"n":1e400, "m": 1.50,\n"x":12345678901234567890123,"s":"ssn [REDACTED-SSN]"}', ["result.s"]),
+        (f'["{SSN}"]', '{"result":["ssn [REDACTED-SSN]"]}', ["result[0]"]), (f'"{SSN}"', '{"result":"ssn [REDACTED-SSN]"}', ["result"]), (f"{{bad {SSN}", "{bad ssn [REDACTED-SSN]", ["result"]),
+        ('{"s":"ssn 123\\u002d45-6789","k":"\\ud800"}', '{"s":"ssn [REDACTED-SSN]","k":"\\ud800"}', ["result.s"]), (None, None, []), ("", "", []), ('{"v":NaN}', '{"v":NaN}', []),
+        (deep, deep.replace(SSN, "ssn [REDACTED-SSN]"), ["result" + ".a" * 4000]), (f'{{"a":"{SSN}","a":"{SSN}"}}', '{"a":"ssn [REDACTED-SSN]","a":"ssn [REDACTED-SSN]"}', ["result.a", "result.a"]),
+    ]
+    df = spark.createDataFrame([(k, r[0]) for k, r in enumerate(rows)], "k int, j string")
+    got = df.select("k", sanitise.sanitised(F.col("j")).alias("x")).orderBy("k").collect()
+    assert [(r.x.text, [f.field for f in r.x.findings]) for r in got] == [(r[1], r[2]) for r in rows]
+    own = df.where("k = 0").select(sanitise.sanitised(F.lit('{"id":"emp-42 emp-43"}'), kinds=[("EMPLOYEE", r"emp-\d+")]).alias("x")).first().x
+    assert own.text == '{"id":"[REDACTED-EMPLOYEE] [REDACTED-EMPLOYEE]"}' and [f.description for f in own.findings] == ["PII detected in text: employee"] * 2
+
+
+def test_only_the_result_of_an_answer_is_redacted(spark):
+    rows = [
+        ('{"id":1,"note":"%s","result":{"a":[{"b":"%s"}]}}', '{"id":1,"note":"%s","result":{"a":[{"b":"ssn [REDACTED-SSN]"}]}}', ["result.a[0].b"]), ('{"result":"%s"}', None, []), ('{"result":["%s"]}', None, []),
+        ('{"x":{"result":{"a":"%s"}}}', None, []), ('{"result":{},"after":"%s"}', None, []), ('[{"result":{"a":"%s"}}]', None, []),
+    ]
+    df = spark.createDataFrame([(k, r[0].replace("%s", SSN)) for k, r in enumerate(rows)], "k int, j string")
+    got = df.select("k", sanitise.sanitised_answer(F.col("j"), F.lit("t")).alias("x")).orderBy("k").collect()
+    assert [(r.x.text, [f.field for f in r.x.findings]) for r in got] == [((r[1] or r[0]).replace("%s", SSN), r[2]) for r in rows]
+
+
+def call(args, name='"t"', id_="7", method="tools/call", version="2.0"):
+    return f'{{"jsonrpc":"{version}","method":"{method}","id":{id_},"params":{{"name":{name},"arguments":{args}}}}}'
+
+
+def test_messages_in_both_modes(spark):
+    rows = [
+        (call("{}"), "ALLOW", "forward", "ALLOW", "forward"), (call('{"a":[{"b":"SYSTEM: x"}]}'), "INJECT", "answer", "INJECT", "answer"), (call('{"a":"SYSTEM: x"}', id_="null"), "INVALID", "drop", "INJECT", "forward"),
+        (call("[]"), "BAD_ARGUMENTS", "answer", "BAD_ARGUMENTS", "answer"), (call("{}", name="null"), "BAD_NAME", "answer", "BAD_NAME", "answer"), (call("{}", method="x/y"), "NO_METHOD", "answer", "FORWARD", "forward"),
+        (call("{}", version="1.0"), "INVALID", "drop", "FORWARD", "forward"), ("{", "INVALID", "drop", "INVALID", "drop"), ("[1]", "INVALID", "drop", "INVALID", "drop"), (None, "INVALID", "drop", "INVALID", "drop"),
+        (call('{"command":["sudo x"]}', name='"shell_exec"'), "BLOCK", "answer", "BLOCK", "answer"), (call('{"command":null}', name='"shell_exec"'), "ALLOW", "forward", "ALLOW", "forward"), (call("{}", id_="1.5"), "INVALID", "drop", "ALLOW", "forward"),
+        (call('{"to":"a@b.c"}', name='"email_send"'), "REQUIRE_APPROVAL", "forward", "REQUIRE_APPROVAL", "forward"), ('{"jsonrpc":"2.0","method":"tools/call","id":1}', "BAD_NAME", "answer", "BAD_NAME", "answer"),
+    ]
+    df = spark.createDataFrame([(k, r[0], "kept") for k, r in enumerate(rows)], "k int, line string, d string")
+    for at, mode in ((1, "http"), (3, "stdio")):
+        got = messages.requests(df, mode).orderBy("k").collect()
+        assert [(r.decision, r.handled) for r in got] == [r[at : at + 2] for r in rows]
+        assert all((r.answer is not None) == (r.handled == "answer") and r.d == "kept" for r in got)
+    one = messages.requests(df, "http").where("k = 1").first()
+    assert json.loads(one.answer)["error"] == {"code": -32001, "message": messages.INJECTED, "data": None} and one.findings[0].field == "arguments.a[0].b" and one.id == "7"
+    plan = messages.requests(df, "http")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
+def test_bypass_and_evaluation(spark):
+    line = call('{"command":"sudo x"}', name='"shell_exec"')
+    df = spark.createDataFrame([(1, line, True, None), (2, line, True, True), (3, call("{}"), None, True), (4, line, False, False)], "k int, line string, bypassed boolean, safe boolean")
+    got = messages.requests(df).orderBy("k").collect()
+    assert [(r.decision, r.handled, r.counted) for r in got] == [("BYPASS", "forward", False), ("BLOCK", "answer", True), ("ALLOW", "answer", True), ("BLOCK", "answer", True)]
+    assert json.loads(got[2].answer)["result"]["_proxy"]["would_forward"] is True
+    told = messages.answered(messages.requests(df), spark.createDataFrame([(1, f'{{"id":7,"result":{{"a":"{SSN}"}}}}'), (4, "never")], "k int, response string"), "k")
+    assert {r.k: (r.answer or "")[:30] for r in told.collect()}[1].startswith('{"id":7,"result":{"a":"ssn 123') and told.where("k = 4").first().answer.startswith('{"jsonrpc"')
+    assert tuple(messages.counters(told).first()) == (3, 2, 0, 0, 0)
+
+
+@pytest.mark.parametrize("text", ['{"a":1}', "[]", "{", "", "null"])
+def test_relayed_lines_pass_as_they_are(spark, text):
+    none = messages.requests(spark.createDataFrame([], "session_id string, seq long, line string"), "stdio")
+    got = messages.relayed(none, spark.createDataFrame([("s", 1, text)], "session_id string, seq long, response string")).first()
+    assert (got.answer, got.tool, got.redactions) == (text, None, [])

@@ -90,34 +90,116 @@ def leaves(df: DataFrame, column: str) -> DataFrame:
     return df.select(*[df[c] for c in kept.columns], F.col(column).alias("_text")).mapInArrow(run, schema)
 
 
-#: Of a JSON text: its strings, keys with their colon, and marks of structure.
-_TOKENS = r'"(?:[^"\\]++|\\.)*+"(?:\s*+:)?+|[{}\[\],]'
-_STATE = "struct<stack: array<struct<key: string, pos: int>>, out: array<struct<path: string, value: string>>>"
+#: Of a JSON text: its strings, keys with their colon, marks of structure, numbers and words.
+_STRING = r'"[^"\\\x00-\x1f]*+(?:\\.[^"\\\x00-\x1f]*+)*+"'
+_TOKENS = rf'{_STRING}(?:\s*+:)?+|[{{}}\[\],]|[^\s{{}}\[\],:"]++'
+_SCALAR = r"^(?:true|false|null|-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?)$"
+#: Tokens are walked in runs of runs: a fold copies its state at every step, so that only the runs' starts are listed, and leaves in short runs alone.
+RUNS = (1024, 32)
+#: Between the steps that lead to a place; in keys it is written as a replacement character.
+_BETWEEN = "\x01"
+#: What may come next, by first characters: a value (v: a leaf), what is behind a value in an array or an object, nothing.
+_VALUES, _IN_ARRAY, _IN_OBJECT, _NOTHING = "v{[", ",]", ",}", "!"
+_FOUND = "array<struct<path:string,value:string>>"
 
 
-def string_leaves(json: Column, root: Column) -> Column:
+def _unquoted(token: Column) -> Column:
+    plain = F.substring(token, F.lit(2), F.length(token) - 2)
+    return F.when(token.contains("\\"), F.coalesce(F.from_json(F.concat(F.lit("["), token, F.lit("]")), "array<string>")[0], plain)).otherwise(plain)
+
+
+def as_text(token: Column) -> Column:
+    """A leaf's token as text: a string without quotes and escapes, True and False, nothing for null, numbers as they are."""
+    return F.when(token.startswith('"'), _unquoted(token)).when(token == "true", "True").when(token == "false", "False").when(token == "null", "").otherwise(token)
+
+
+def _state(around, step, pos, may) -> Column:
+    """around: the steps to what the token is in; step: the one behind them; pos: the place in an array, -1 in an object, -2 outside, -3 after a token that is out of place; may: what may come next."""
+    may = F.lit(may) if isinstance(may, str) else may
+    return F.struct(around.alias("around"), step.alias("step"), pos.cast("int").alias("pos"), may.alias("may"))
+
+
+def _walked(s: Column, x: Column) -> Column:
+    """The state behind a token ``x`` (mark: itself for marks of structure, v for a leaf, a dot and the key for a key)."""
+    around, step, pos, first = s["around"], s["step"], s["pos"], F.substring(x["mark"], 1, 1)
+    outside = F.substring_index(around, _BETWEEN, -1)
+    rest = F.substring(around, F.lit(1), F.length(around) - F.length(outside) - 1)
+    back = F.when(rest == "", F.struct(F.lit(-2).alias("pos"), F.lit(_NOTHING).alias("may"))).when(outside.startswith("["), F.struct(F.substring(outside, F.lit(2), F.length(outside) - 2).cast("int").alias("pos"), F.lit(_IN_ARRAY).alias("may")))
+    inner = F.concat(around, F.lit(_BETWEEN), step)
+    return (
+        F.when(~s["may"].contains(first), _state(around, step, F.lit(-3), _NOTHING))
+        .when(first == "v", _state(around, step, pos, F.when(pos >= 0, _IN_ARRAY).otherwise(_IN_OBJECT)))
+        .when((first == ",") & (pos >= 0), _state(around, F.concat(F.lit("["), (pos + 1).cast("string"), F.lit("]")), pos + 1, _VALUES))
+        .when(first == ",", _state(around, step, pos, "."))
+        .when(first == ".", _state(around, x["mark"], pos, _VALUES))
+        .when(first == "{", _state(inner, F.lit(""), F.lit(-1), ".}"))
+        .when(first == "[", _state(inner, F.lit("[0]"), F.lit(0), _VALUES + "]"))
+        .otherwise(_bound(back.otherwise(F.struct(F.lit(-1).alias("pos"), F.lit(_IN_OBJECT).alias("may"))), lambda b: _state(rest, outside, b["pos"], b["may"])))
+    )
+
+
+def _bound(x: Column, f) -> Column:
+    """``f(x)``, where ``x`` is worked out once."""
+    return F.transform(F.array(x), f)[0]
+
+
+def _runs(tokens: Column, size: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), ((F.size(tokens) - 1) / size).cast("int")), lambda k: F.slice(tokens, k * size + 1, F.lit(size)))
+
+
+def _starts(runs: Column, start: Column) -> Column:
+    """The state before each run, and behind the last one."""
+    def onward(a, run):
+        return F.struct(F.aggregate(run, a["s"], _walked).alias("s"), F.concat(a["starts"], F.array(a["s"])).alias("starts"))
+
+    none = F.array().cast("array<struct<around:string,step:string,pos:int,may:string>>")
+    return F.aggregate(runs, F.struct(start.alias("s"), none.alias("starts")), onward)
+
+
+def leaves_where(json: Column, root: Column | str, wanted, scalars: bool = False) -> Column:
+    """Those string leaves of a JSON object or array (with ``scalars`` the other leaves too) whose text is ``wanted`` (a function of a Column):
+    array of path (from ``root``) and value, in order. Null where the text is no object or array.
+
+    There is no limit of depth, and time is in proportion to the text and, for each leaf that is wanted, to its path. Of equal keys all are
+    walked. Built-in functions only: no Python, no shuffle.
+    """
+    root = F.lit(root) if isinstance(root, str) else root
+    none = F.array().cast(_FOUND)
+
+    def read(token):
+        string = token.endswith('"')
+        leaf = string | token.rlike(_SCALAR)
+        key = F.translate(_unquoted(F.regexp_replace(token, r"\s*:$", "")), _BETWEEN, "�")
+        mark = F.when(string, "v").when(token.isin("{", "}", "[", "]", ","), token).when(token.endswith(":"), F.concat(F.lit("."), key)).when(leaf, "v").otherwise("?")
+        return _bound(F.when(leaf if scalars else string, as_text(token)), lambda said: F.struct(mark.alias("mark"), F.when(wanted(said), said).alias("said")))
+
+    def any_in(run):
+        return F.exists(run, lambda x: x["said"].isNotNull())
+
+    def leaves(run, start):
+        """Of a short run: its wanted leaves."""
+        def step(a, x):
+            path = F.concat(root, F.translate(a["s"]["around"], _BETWEEN, ""), a["s"]["step"])
+            found = F.when(x["said"].isNotNull(), F.concat(a["out"], F.array(F.struct(path.alias("path"), x["said"].alias("value"))))).otherwise(a["out"])
+            return F.struct(_walked(a["s"], x).alias("s"), found.alias("out"))
+
+        return F.when(any_in(run), F.aggregate(run, F.struct(start.alias("s"), none.alias("out")), step, lambda a: a["out"])).otherwise(none)
+
+    def split(run, start):
+        short = lambda runs: F.flatten(F.zip_with(runs, _starts(runs, start)["starts"], leaves))
+        return F.when(any_in(run), _bound(_runs(run, RUNS[1]), short)).otherwise(none)
+
+    def of(runs):
+        done = lambda a: F.when((a["s"]["pos"] == -2) & (a["s"]["may"] == _NOTHING), F.flatten(F.zip_with(runs, a["starts"], split)))
+        return _bound(_starts(runs, _state(F.lit(""), F.lit(""), F.lit(-2), _VALUES)), done)
+
+    opened = F.coalesce(json.rlike(r"^\s*[{\[]"), F.lit(False))
+    text = F.when(opened, json)
+    whole = F.regexp_replace(text, rf"(?:{_TOKENS}|\s)", "") == ""
+    tokens = F.transform(F.regexp_extract_all(text, F.lit(_TOKENS), F.lit(0)), read)
+    return F.when(opened & whole, _bound(tokens, lambda x: _bound(_runs(x, RUNS[0]), of)))
+
+
+def string_leaves(json: Column, root: Column | str) -> Column:
     """The string leaves of a JSON object or array at any depth: array of path (from ``root``) and value. Other texts have none."""
-    valid = json.rlike(r"^\s*[{\[]") & F.get_json_object(json, "$").isNotNull()
-    tokens = F.regexp_extract_all(F.when(valid, json).otherwise(F.lit("")), F.lit(_TOKENS), F.lit(0))
-
-    def text(token):
-        return F.from_json(F.concat(F.lit("["), F.regexp_replace(token, r"\s*:$", ""), F.lit("]")), "array<string>")[0]
-
-    def step(state, token):
-        stack, out = state["stack"], state["out"]
-        top, above = F.element_at(stack, -1), F.slice(stack, 1, F.size(stack) - 1)
-        path = F.concat(root, F.array_join(F.transform(stack, lambda x: F.when(x["pos"] >= 0, F.concat(F.lit("["), x["pos"].cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("."), x["key"]))), ""))
-
-        def level(key, pos):
-            return F.array(F.struct(key.alias("key"), pos.alias("pos")))
-
-        moved = (
-            F.when(token == "{", F.concat(stack, level(F.lit(""), F.lit(-1)))).when(token == "[", F.concat(stack, level(F.lit(""), F.lit(0))))
-            .when(token.isin("}", "]"), above).when((token == ",") & (top["pos"] >= 0), F.concat(above, level(F.lit(""), top["pos"] + 1)))
-            .when(token.endswith(":"), F.concat(above, level(text(token), F.lit(-1)))).otherwise(stack)
-        )
-        found = F.when(token.endswith('"'), F.concat(out, F.array(F.struct(path.alias("path"), F.coalesce(text(token), token).alias("value"))))).otherwise(out)
-        return F.struct(moved.alias("stack"), found.alias("out")).cast(_STATE)
-
-    empty = F.struct(F.array().alias("stack"), F.array().alias("out")).cast(_STATE)
-    return F.aggregate(tokens, empty, step)["out"]
+    return F.coalesce(leaves_where(json, root, lambda _: F.lit(True)), F.array().cast(_FOUND))

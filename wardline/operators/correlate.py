@@ -33,16 +33,18 @@ def _timeline(requests: DataFrame, responses: DataFrame) -> DataFrame:
     return part(requests, True).unionByName(part(responses, False)).withColumns({"_asked": last, "_answered": answered, "_next": F.lead("asks").over(w)})
 
 
-def correlated(requests: DataFrame, responses: DataFrame) -> DataFrame:
-    """session_id, id, seq, tool and text of ``responses``, with the tool of the request that each answers: the last one of its
-    (session, id) before it (by seq), unless another response has taken that already.
-
-    Answers to a tool call are redacted; those that say an ``error`` (a column; null: none) and those to nothing pass as they are.
-    """
+def met(requests: DataFrame, responses: DataFrame) -> DataFrame:
+    """session_id, id, seq, tool, text and error of ``responses``, with the tool of the request that each answers: the last one of its
+    (session, id) before it (by seq), unless another response has taken that already."""
     t = _timeline(requests, responses).where(~F.col("asks"))
     waiting = F.col("_asked").isNotNull() & (F.col("_answered").isNull() | (F.col("_answered") <= F.col("_asked.seq")))
-    t = t.withColumn("tool", F.when(waiting, F.col("_asked.tool")))
-    return t.select(*KEY, "seq", "tool", F.when(F.col("tool").isNotNull() & F.col("error").isNull(), redacted(F.col("text"))).otherwise(F.col("text")).alias("text"))
+    return t.select(*KEY, "seq", F.when(waiting, F.col("_asked.tool")).alias("tool"), "text", "error")
+
+
+def correlated(requests: DataFrame, responses: DataFrame) -> DataFrame:
+    """``met`` without errors, where answers to a tool call are redacted; those that say an ``error`` (a column; null: none) and those to
+    nothing pass as they are."""
+    return met(requests, responses).select(*KEY, "seq", "tool", F.when(F.col("tool").isNotNull() & F.col("error").isNull(), redacted(F.col("text"))).otherwise(F.col("text")).alias("text"))
 
 
 def orphans(requests: DataFrame, responses: DataFrame) -> DataFrame:

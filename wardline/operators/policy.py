@@ -8,20 +8,28 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalogue import ACTIONS, GENERATED, MESSAGES, RULES
+from ..functions.leaves import leaves_where
 from ..functions.text import DIALECT, domain, matches
 
 RULE = "ord int, name string, tool string, action string, message string, conditions array<struct<type:string,field:string,patterns:array<string>,domains:array<string>>>"
 
 
-def condition(type: str, field: str, patterns: list[str], domains: list[str], args: str = "args") -> Column:
-    """One condition as a Column over the map of arguments ``args``."""
+def in_leaves(x: Column, test) -> Column:
+    """Whether ``test`` (a function of a Column) holds of any leaf of ``x``, if that is a JSON object or array, else of ``x`` itself."""
+    return F.coalesce(F.array_size(leaves_where(x, "", test, scalars=True)) > 0, test(x))
+
+
+def condition(type: str, field: str, patterns: list[str], domains: list[str], args: str = "args", whole: str | None = None) -> Column:
+    """One condition as a Column over the map of arguments ``args``. ``whole``: a column with all arguments as one JSON object, if there is one;
+    without it, arguments that are a JSON object or array are walked one by one."""
     value = F.col(args)[field] if field else F.lit(None)
     if type == "always":
         return F.lit(True)
     if type == "pattern_match":
         return matches(value, patterns)
     if type == "pii_detection":
-        return F.exists(F.map_values(args), lambda x: matches(x, patterns))
+        test = lambda x: matches(x, patterns)
+        return in_leaves(F.col(whole), test) if whole else F.exists(F.map_values(args), lambda x: in_leaves(x, test))
     if type == "domain_allowlist":  # holds for what is not on the list
         return ~F.coalesce(domain(value).isin([d.strip().lower() for d in domains]), F.lit(False)) if domains else F.lit(True)
     raise ValueError(f"unknown condition {type}")
@@ -31,14 +39,14 @@ def rule_rows(rules=RULES) -> list[tuple]:
     return [(k, n, t, a, MESSAGES.get(n, ""), [(kind, f, x if kind != "domain_allowlist" else [], x if kind == "domain_allowlist" else [])]) for k, (n, t, a, kind, f, x) in enumerate(rules)]
 
 
-def compiled(rules: list[tuple], tool: str = "tool", args: str = "args") -> Column:
+def compiled(rules: list[tuple], tool: str = "tool", args: str = "args", whole: str | None = None) -> Column:
     """struct(action, rule_name, message) of the rule that decides, for calls with a ``tool`` and a map ``args``.
 
     Rules are literals of the plan: no join, cheap tests first, and a row tests only the rules of its tool.
     """
     def when(rule):
         _, name, on, action, message, conditions = rule
-        holds = reduce(Column.__and__, [condition(*c, args=args) for c in conditions], F.lit(True))
+        holds = reduce(Column.__and__, [condition(*c, args=args, whole=whole) for c in conditions], F.lit(True))
         return F.when(holds if on == "*" else (F.col(tool) == on) & holds, F.struct(F.lit(action).alias("action"), F.lit(name).alias("rule_name"), F.lit(message).alias("message")))
 
     allowed = F.struct(F.lit("ALLOW").alias("action"), F.lit(None).cast("string").alias("rule_name"), F.lit("").alias("message"))

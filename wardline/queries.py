@@ -18,6 +18,7 @@ from . import catalogue as c
 from .functions import leaves as lv
 from .functions import text as tx
 from .operators import correlate, policy, proxy, scan
+from .plans import messages as handling
 from .plans import pipeline, rescan
 from .sources import messages, reports
 
@@ -738,3 +739,112 @@ def truncate_display(spark, d):
 @query("SELECT c_custkey, upper(trim(c_mktsegment)) AS up, starts_with(c_name, 'Customer') AS named, string_split(c_name, '#')[-1] AS tail FROM customer")
 def string_fns(spark, d):
     return table(spark, d, "customer").select("c_custkey", F.upper(F.trim("c_mktsegment")).alias("up"), F.col("c_name").startswith("Customer").alias("named"), F.substring_index("c_name", "#", -1).alias("tail"))
+
+
+# --- raw messages --------------------------------------------------------------------------------------------------------
+#: Messages by shape, (event_id / 15) % 11: plain, nested arguments, arguments that are no texts, none, a name that is no text, no id, an unknown method, initialize,
+#: no JSON, a text as id, another version. Every 13th is let pass unless it is among those, every 17th, that are evaluated only.
+SHAPE, TEXT = "(call_id DIV 15) % 11", "coalesce(args['command'], args['body'], args['path'])"
+IDS = {"http": "CASE WHEN {shape} = 9 THEN '\"e' || call_id || '\"' ELSE call_id || '' END", "stdio": "CASE WHEN (call_id {div} 3) % 2 = 1 THEN '\"' || (call_id % 3) || '\"' ELSE (call_id % 3) || '' END"}
+LINE = """CASE {shape} WHEN 8 THEN '{{"jsonrpc":"2.0",' ELSE '{{"jsonrpc":"' || CASE WHEN {shape} = 10 THEN '1.0' ELSE '2.0' END || '","method":"' || CASE {shape} WHEN 6 THEN 'resources/list' WHEN 7 THEN 'initialize' ELSE 'tools/call' END
+ || CASE WHEN {shape} = 5 THEN '"' ELSE '","id":' || {id} END || ',"params":{{' || CASE {shape} WHEN 3 THEN '"name":"' || tool || '"' WHEN 4 THEN '"name":7,"arguments":{{}}'
+ WHEN 1 THEN '"name":"' || tool || '","arguments":{{"deep":{{"list":[true,' || given || ']}}}}' WHEN 2 THEN '"name":"' || tool || '","arguments":{{"command":["' || {text} || '",true],"n":7,"to":null}}'
+ ELSE '"name":"' || tool || '","arguments":' || given END || '}}}}' END"""
+
+
+def lines(spark, d, mode: str):
+    given = chosen([r[5] for r in c.payload_rows()], "call_id")
+    id_ = IDS[mode].format(shape=SHAPE, div="DIV")
+    x = calls(spark, d).withColumn("given", given).withColumn("line", F.expr(LINE.format(shape=SHAPE, id=id_, text=TEXT)))
+    return x.select("call_id", "session_id", (2 * F.col("call_id")).alias("seq"), "line", (F.col("call_id") % 13 == 0).alias("bypassed"), (F.col("call_id") % 17 == 0).alias("safe"))
+
+
+def responses(spark, d, mode: str):
+    """Answers of the server: errors, results that are no objects, requests of its own; the text is nested in the result, beside a number that stays."""
+    id_, n = F.expr(IDS[mode].format(shape=SHAPE, div="DIV")), F.col("call_id")
+    text = F.replace(scan.tool_result(F.col("tool"), F.col("args")), F.lit("\n"), F.lit("\\n"))
+    rest = (
+        F.when(n % 7 == 0, '"error":{"code":-5,"message":"ssn 123-45-6789"}}').when(n % 5 == 0, '"result":"ssn 123-45-6789"}')
+        .when((n % 5 == 1) & F.lit(mode == "stdio"), '"method":"sampling","params":{"x":"ssn 123-45-6789"}}').otherwise(F.concat(F.lit('"result":{"content":[{"type":"text","text":"'), text, F.lit('"}],"n":1.50}}')))
+    )
+    x = calls(spark, d).where(n % 11 != 0)
+    return x.select("call_id", "session_id", (2 * n + 2 * (n % 4) * 300 + 1).alias("seq"), F.concat(F.lit('{"jsonrpc":"2.0","id":'), id_, F.lit(","), rest).alias("response"))
+
+
+_CRIT = [p for s, _, p in c.INJECTION if s == "critical"]
+_FOUND = " + ".join(f"{any_of(f, [p])}::INT" for f in ("a_" + x for x in pipeline.FIELDS) for _, _, p in c.INJECTION)
+_FOUND_X = " + ".join(f"{any_of('x', [p])}::INT" for _, _, p in c.INJECTION)
+
+
+def handled_sql(mode: str) -> str:
+    """CTEs up to told(call_id, session_id, shape, i, decision, handled, rule, n_findings, counted, said)."""
+    shape = "(call_id // 15) % 11"
+    first = {
+        "http": "WHEN shape IN (5, 8, 10) THEN 'INVALID' WHEN shape = 6 THEN 'NO_METHOD' WHEN shape = 7 THEN 'FORWARD' WHEN call_id % 13 = 0 AND call_id % 17 <> 0 THEN 'BYPASS'",
+        "stdio": "WHEN shape = 8 THEN 'INVALID' WHEN shape IN (6, 7, 10) THEN 'FORWARD'",
+    }[mode]
+    blank = ", ".join(f"CASE WHEN shape IN (0, 5, 9) THEN a_{f} {'WHEN shape = 2 THEN ' + repr('[' + chr(34)) + ' || x || ' + repr(chr(34) + ',true]') if f == 'command' else ''} END AS a_{f}" for f in pipeline.FIELDS)
+    data = ',"data":null' if mode == "http" else ""
+    safe = "call_id % 17 = 0 AND action IN ('ALLOW', 'REQUIRE_APPROVAL')" if mode == "http" else "false"
+    return f"""{CALLS}, shaped AS (SELECT *, {shape} AS shape, {IDS[mode].format(shape=shape, div='//')} AS i, coalesce(a_command, a_body, a_path) AS x FROM calls),
+ found AS (SELECT *, CASE WHEN shape = 2 THEN {any_of('x', _CRIT)} ELSE {CRITICAL} END AS critical, CASE WHEN shape = 2 THEN {_FOUND_X} ELSE {_FOUND} END AS n, {RESULT_SQL} AS result FROM shaped),
+ seen AS (SELECT * EXCLUDE ({', '.join('a_' + f for f in pipeline.FIELDS)}), {blank} FROM found),
+ ruled AS (SELECT *, {rule_sql()} AS rule FROM seen), acted AS (SELECT *, CASE WHEN rule IS NULL THEN 'ALLOW' WHEN rule = 'flag_external_email' THEN 'REQUIRE_APPROVAL' ELSE 'BLOCK' END AS action FROM ruled),
+ decided AS (SELECT * REPLACE (CASE {first} WHEN shape = 4 THEN 'BAD_NAME' WHEN shape = 3 THEN 'BAD_ARGUMENTS' WHEN critical THEN 'INJECT' ELSE action END AS action) FROM acted),
+ told AS (SELECT *, action AS decision, action NOT IN ('INVALID', 'NO_METHOD', 'FORWARD', 'BYPASS') AS counted,
+  CASE WHEN action = 'INVALID' THEN 'drop' WHEN shape = 5 THEN 'forward' WHEN action IN ('NO_METHOD', 'BAD_NAME', 'BAD_ARGUMENTS', 'INJECT', 'BLOCK') OR {safe} THEN 'answer' ELSE 'forward' END AS handled,
+  CASE WHEN action IN ('ALLOW', 'REQUIRE_APPROVAL', 'BLOCK') THEN rule END AS rule_name, (CASE WHEN action IN ('INVALID', 'NO_METHOD', 'FORWARD', 'BYPASS', 'BAD_NAME', 'BAD_ARGUMENTS') THEN 0 ELSE n END)::INT AS n_findings,
+  CASE WHEN shape = 5 THEN NULL WHEN action IN ('NO_METHOD', 'BAD_NAME', 'BAD_ARGUMENTS', 'INJECT', 'BLOCK') THEN '{{"jsonrpc":"2.0","id":' || i || ',"error":{{"code":' || CASE action WHEN 'NO_METHOD' THEN '-32601' WHEN 'BAD_NAME' THEN '-32602' WHEN 'BAD_ARGUMENTS' THEN '-32602' ELSE '-32001' END || ',"message":"'
+   || CASE action WHEN 'NO_METHOD' THEN 'Method not found: resources/list' WHEN 'BAD_NAME' THEN {q(handling.BAD_NAME)} WHEN 'BAD_ARGUMENTS' THEN {q(handling.BAD_ARGUMENTS)} WHEN 'INJECT' THEN {q(handling.INJECTED)} ELSE {MESSAGE_SQL} END || '"{data}}}}}'
+   WHEN {safe} THEN '{{"jsonrpc":"2.0","id":' || i || {q(',"result":' + handling.EVALUATED + '}')} END AS said FROM decided)"""
+
+
+def response_sql(text: str, mode: str) -> str:
+    asks = """ WHEN call_id % 5 = 1 THEN '"method":"sampling","params":{"x":"ssn 123-45-6789"}}'""" if mode == "stdio" else ""
+    return f"""'{{"jsonrpc":"2.0","id":' || i || ',' || CASE WHEN call_id % 7 = 0 THEN '"error":{{"code":-5,"message":"ssn 123-45-6789"}}}}' WHEN call_id % 5 = 0 THEN '"result":"ssn 123-45-6789"}}'{asks}
+ ELSE '"result":{{"content":[{{"type":"text","text":"' || replace({text}, chr(10), '\\n') || '"}}],"n":1.50}}}}' END"""
+
+
+def redactions_sql(x: str) -> str:
+    return "(" + " + ".join(f"len(regexp_extract_all({redact_sql(x, c.PII[:k])}, {q(p)}, 0, 'i'))" for k, (_, p) in enumerate(c.PII)) + ")"
+
+
+TOLD_HTTP = f"""{handled_sql('http')}, looked AS (SELECT *, handled = 'forward' AND decision IN ('ALLOW', 'REQUIRE_APPROVAL') AS inspected, call_id % 11 <> 0 AND call_id % 7 <> 0 AND call_id % 5 <> 0 AS is_object FROM told),
+ final AS (SELECT *, CASE WHEN inspected AND is_object THEN {redactions_sql('result')} ELSE 0 END::INT AS n_redactions,
+  CASE WHEN handled = 'forward' AND call_id % 11 <> 0 THEN CASE WHEN inspected THEN {response_sql(redact_sql('result'), 'http')} ELSE {response_sql('result', 'http')} END ELSE said END AS answer FROM looked)"""
+
+
+def told_http(spark, d):
+    return handling.answered(handling.requests(lines(spark, d, "http")), responses(spark, d, "http"), "call_id")
+
+
+@query(f"{TOLD_HTTP} SELECT call_id, decision, handled, rule_name, n_findings, counted, n_redactions, answer FROM final")
+def messages_http(spark, d):
+    """Raw requests to decisions and redacted answers, over HTTP."""
+    return told_http(spark, d).select("call_id", "decision", "handled", "rule_name", F.size("findings").alias("n_findings"), "counted", F.size("redactions").alias("n_redactions"), "answer")
+
+
+@query(f"""{TOLD_HTTP} SELECT tool, count(*) FILTER (counted) AS total_requests, count(*) FILTER (decision IN ('BLOCK', 'INJECT')) AS blocked, count(*) FILTER (decision = 'REQUIRE_APPROVAL') AS flagged,
+ count(*) FILTER (decision = 'REQUIRE_APPROVAL') AS approved, count(*) FILTER (n_redactions > 0) AS redacted FROM (SELECT * REPLACE (CASE WHEN counted AND decision <> 'BAD_NAME' THEN tool END AS tool) FROM final) GROUP BY tool""")
+def message_counters(spark, d):
+    """Calls with wrong parameters are counted, those that bypass the policy are not."""
+    return handling.counters(told_http(spark, d), "tool")
+
+
+@query(f"{handled_sql('stdio')} SELECT call_id, decision, handled, rule_name, n_findings, counted, said AS answer FROM told")
+def messages_stdio(spark, d):
+    """Raw requests to decisions over pipes: other versions and methods pass, and so do notifications, whatever is found."""
+    x = handling.requests(lines(spark, d, "stdio").drop("bypassed", "safe"), "stdio")
+    return x.select("call_id", "decision", "handled", "rule_name", F.size("findings").alias("n_findings"), "counted", "answer")
+
+
+@query(f"""{handled_sql('stdio')}, asked AS (SELECT session_id, i, 2 * call_id AS seq, tool FROM told WHERE handled = 'forward' AND shape IN (0, 1, 2, 9)),
+ answers AS (SELECT session_id, CASE WHEN call_id % 7 <> 0 AND call_id % 5 = 1 THEN NULL ELSE i END AS id, 2 * call_id + 2 * (call_id % 4) * 300 + 1 AS seq, call_id % 7 = 0 AS failed, call_id % 7 <> 0 AND call_id % 5 > 1 AS is_object,
+  result, {response_sql('result', 'stdio')} AS raw, {response_sql(redact_sql('result'), 'stdio')} AS clean FROM told WHERE call_id % 11 <> 0),
+ last AS (SELECT r.*, (SELECT max(o.seq) FROM asked o WHERE o.session_id = r.session_id AND o.i = r.id AND o.seq < r.seq) AS at, (SELECT max(o.seq) FROM answers o WHERE o.session_id = r.session_id AND o.id = r.id AND o.seq < r.seq) AS before FROM answers r),
+ met AS (SELECT l.*, o.tool FROM last l LEFT JOIN asked o ON o.session_id = l.session_id AND o.i = l.id AND o.seq = l.at AND coalesce(l.before, -1) < l.at)
+ SELECT session_id, seq, id, tool, CASE WHEN tool IS NOT NULL AND is_object THEN clean ELSE raw END AS answer, CASE WHEN tool IS NOT NULL AND is_object THEN {redactions_sql('result')} ELSE 0 END::INT AS n_redactions FROM met""")
+def messages_relayed(spark, d):
+    """Raw answers over pipes, redacted if they answer an inspected call of their session: 1 and "1" are two ids."""
+    x = handling.relayed(handling.requests(lines(spark, d, "stdio").drop("bypassed", "safe"), "stdio"), responses(spark, d, "stdio"))
+    return x.select("session_id", "seq", "id", "tool", "answer", F.size("redactions").alias("n_redactions"))
