@@ -17,3 +17,15 @@ def test_long_urls_as_sql(spark, tmp_path):
     got = queries.op10_url_lists(spark, str(tmp_path)).select(names).collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, found.fetchall()))
     assert len(got) == len(rows) and any(r.entry and r.entry.count(".") == 1 for r in got)
+
+
+def test_columns_of_any_name_are_kept(spark):
+    """Columns that are called as the steps call theirs come back as they were."""
+    from wardline.llm import near_dup, url_lists
+
+    pages = spark.createDataFrame([(1, "http://a.example/x", "k", "r", "t"), (2, None, "l", "s", None)], "page_id long, url string, keys string, _ROW string, _time string")
+    got = url_lists.judge(url_lists.fetched(pages), url_lists.derived_events(pages))
+    assert sorted((r["page_id"], r["keys"], r["_ROW"], r["_time"]) for r in got.collect()) == [(1, "k", "r", "t"), (2, "l", "s", None)]
+    docs = spark.createDataFrame([(1, "a b c d e f", 5, "x"), (1, "other", 6, "y"), (2, "a b c d e f", 7, "z"), (None, None, 8, "n")], "doc_id long, text string, _own int, _Kept string")
+    kept = near_dup.keep_texts(docs)
+    assert kept.columns == docs.columns and sorted((r["_own"], r["_Kept"]) for r in kept.collect()) in ([(5, "x"), (6, "y"), (8, "n")], [(6, "y"), (7, "z"), (8, "n")])

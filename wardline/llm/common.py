@@ -52,3 +52,17 @@ def cut(df: DataFrame) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def shielded(df: DataFrame, names: set[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with other names for columns that are called as one of ``names``, whatever the case, and their own names by these."""
+    taken, own = {c.lower() for c in df.columns} | names, {}
+    for c in df.columns:
+        if c.lower() in names:
+            new = f"{c}_"
+            while new.lower() in taken:
+                new += "_"
+            taken.add(new.lower())
+            own[new] = c
+            df = df.withColumnRenamed(c, new)
+    return df, own

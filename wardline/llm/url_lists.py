@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import shielded
+
 PERIOD = 128
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)"
@@ -56,7 +58,7 @@ def judge(captures: DataFrame, events: DataFrame, ids: str = "page_id", url: str
     """``captures`` with verdict (``allow`` before ``block`` before ``none``), n_entries (active ones that match), entry and
     listed_since (key and start of the longest matching key of that verdict; ties to the smaller list, then the earlier start).
     """
-    captures = captures.drop(*RESULTS)
+    captures, names = shielded(captures.drop(*RESULTS), {"keys", "_host", "_parts", "_row", "_time", "_period", "_best"} - {ids, url, time})
     held = intervals(events)
     lo, hi, depth = (captures.agg(F.min(time).alias("lo"), F.max(time).alias("hi")).crossJoin(held.agg(F.coalesce(F.max(F.length("key") - F.length(F.replace("key", F.lit("/"), F.lit("")))), F.lit(0)).alias("depth")))).first()
     row = F.struct(F.col(ids), F.xxhash64(*[F.col(c) for c in captures.columns if captures.schema[c].dataType.typeName() in ("string", "long", "integer", "timestamp")]))
@@ -74,7 +76,7 @@ def judge(captures: DataFrame, events: DataFrame, ids: str = "page_id", url: str
         F.coalesce("n_entries", F.lit(0)).cast("long").alias("n_entries"),
         F.col("_best.key").alias("entry"),
         F.col("_best.valid_from").alias("listed_since"),
-    )
+    ).withColumnsRenamed(names)
 
 
 def _number(x):
