@@ -24,7 +24,7 @@ def test_columns_of_any_name_are_kept(spark):
     from wardline.llm import near_dup, url_lists
 
     pages = spark.createDataFrame([(1, "http://a.example/x", "k", "r", "t"), (2, None, "l", "s", None)], "page_id long, url string, keys string, _ROW string, _time string")
-    got = url_lists.judge(url_lists.fetched(pages), url_lists.derived_events(pages))
+    got = url_lists.judge(pages.join(url_lists.fetched(pages).drop("url"), "page_id"), url_lists.derived_events(pages))
     assert sorted((r["page_id"], r["keys"], r["_ROW"], r["_time"]) for r in got.collect()) == [(1, "k", "r", "t"), (2, "l", "s", None)]
     docs = spark.createDataFrame([(1, "a b c d e f", 5, "x"), (1, "other", 6, "y"), (2, "a b c d e f", 7, "z"), (None, None, 8, "n")], "doc_id long, text string, _own int, _Kept string")
     kept = near_dup.keep_texts(docs)
