@@ -50,7 +50,7 @@ def test_golden_scan(spark):
     assert [i for i, s in before.items() if s == "redacted"] == ["pl-001", "pl-002"]
     one = scan.counts(q.scanned(spark)).first()
     assert (one.total, one.blocked, one.score) == (15, 9, 26.7)
-    assert scan.counts(q.scanned(spark, c.RULES)).first().passed == 0
+    assert scan.counts(q.scanned(spark, rules=c.RULES)).first().passed == 0
     safe = scan.counts(q.scanned(spark, safe=True)).first()
     assert (safe.blocked, safe.safe) == (9, 6)
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalogue import ACTIONS, GENERATED, MESSAGES, RULES
 from ..functions.leaves import leaves_where
+from ..functions.names import free
 from ..functions.text import DIALECT, domain, matches
 
 RULE = "ord int, name string, tool string, action string, message string, conditions array<struct<type:string,field:string,patterns:array<string>,domains:array<string>>>"
@@ -124,17 +126,24 @@ def without_generated(rules: DataFrame) -> DataFrame:
     return rules.where(~F.col("name").startswith(GENERATED))
 
 
-def upserted(generated: DataFrame, rules: DataFrame) -> DataFrame:
-    """``generated`` before the other rules of ``rules``, whose generated ones go; ``ord`` anew. A policy is a control-plane table."""
-    from pyspark.sql import Window
+def upserted(generated: DataFrame, rules: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``generated`` (of ``scan.generated_rules``) before the other rules of ``rules``, whose generated ones go; ``ord`` anew. The result is a policy:
+    messages and conditions come with it. ``by``: columns of both that say whose policy it is, so that many are made at once; without them,
+    a policy is a control-plane table."""
+    conditions = F.array(F.struct(F.lit("pattern_match").alias("type"), F.col("field"), F.col("patterns"), F.array().cast("array<string>").alias("domains")))
+    new = generated.select(*by, "ord", "name", "tool", "action", "message", conditions.alias("conditions"))
+    return added(new, without_generated(rules).select(*new.columns), by)
 
-    both = generated.select("name", "tool", "action", F.lit(0).alias("part"), "ord").unionByName(without_generated(rules).select("name", "tool", "action", F.lit(1).alias("part"), "ord"))
-    return both.select((F.row_number().over(Window.orderBy("part", "ord")) - 1).alias("ord"), "name", "tool", "action")
 
+def added(rules: DataFrame, rule: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``rules`` and, behind them, those of ``rule`` (the same columns; its own ``ord`` is their order); ``by`` as in ``upserted``."""
+    (part,) = free(rules, "_part")
+    both = rules.withColumn(part, F.lit(0)).unionByName(rule.withColumn(part, F.lit(1)))
+    return both.withColumn("ord", F.row_number().over(Window.partitionBy(*by).orderBy(part, "ord", "name")) - 1).drop(part)
 
-def added(rules: DataFrame, rule: DataFrame) -> DataFrame:
-    """``rules`` and, behind them, those of ``rule`` (the same columns; its own ``ord`` is their order)."""
-    from pyspark.sql import Window
 
-    both = rules.withColumn("_part", F.lit(0)).unionByName(rule.withColumn("_part", F.lit(1)))
-    return both.withColumn("ord", F.row_number().over(Window.orderBy("_part", "ord")) - 1).drop("_part")
+def each(policy: DataFrame, owners: DataFrame) -> DataFrame:
+    """A policy for each row of ``owners``: the rules of ``policy`` (a control-plane table, which becomes a literal of the plan) beside its columns."""
+    rows = sorted(policy.select(*[x.split()[0] for x in RULE.split(", ")]).collect())
+    rule = F.from_json(F.lit(json.dumps([r.asDict(recursive=True) for r in rows])), f"array<struct<{RULE.replace(' array', ':array').replace(' int', ':int').replace(' string', ':string')}>>")
+    return owners.select("*", F.inline(rule))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalogue import BASE64, BODY_NAMES, COMMAND_NAMES, FILES, GENERATED, HINTS, KEYWORDS, PATH_NAMES, PROBES, REDACTED, TOOLS, payload_rows
+from ..functions.names import free
 from ..functions.text import escaped, matches, redacted
 
 PAYLOAD = "ord int, id string, name string, category string, tool string, arguments string, severity string"
@@ -73,8 +74,9 @@ def label(status: Column) -> Column:
     return F.when(status == "safe", "[=] SAFE OK").when(status == "blocked", "[+] BLOCKED").when(status == "redacted", "[~] REDACTED").otherwise("[!] VULNERABLE")
 
 
-def generated_rules(failed: DataFrame) -> DataFrame:
-    """A rule for each failed attack (id, category, tool, args): name, tool, action, message, field, patterns; unknown categories have none."""
+def generated_rules(failed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A rule for each failed attack (id, category, tool, args): name, tool, action, message, field, patterns, and the columns ``keep`` of the attack;
+    unknown categories have none."""
     args, category = F.col("args"), F.col("category")
     body, command, path = (F.coalesce(args[f], F.lit("")) for f in ("body", "command", "path"))
 
@@ -98,7 +100,8 @@ def generated_rules(failed: DataFrame) -> DataFrame:
         .when(category == "privilege_escalation", rule(*shell, F.array(first(command, "privilege_escalation")), first(command, "privilege_escalation", take=2)))
         .when(category == "pii_leak", rule(F.when(of_file, "file_read").otherwise("email_send"), F.when(of_file, "path").otherwise("body"), leak, leaks))
     )
-    return failed.withColumn("r", row).where("r is not null").select("ord", F.concat(F.lit(GENERATED), "id").alias("name"), "r.tool", F.lit("BLOCK").alias("action"), "r.message", "r.field", "r.patterns")
+    made = failed.select(*keep, "ord", F.concat(F.lit(GENERATED), "id").alias("name"), row.alias("_r")).where("_r is not null")
+    return made.select(*keep, "ord", "name", "_r.tool", F.lit("BLOCK").alias("action"), "_r.message", "_r.field", "_r.patterns")
 
 
 def tools(spark: SparkSession) -> DataFrame:
@@ -107,14 +110,16 @@ def tools(spark: SparkSession) -> DataFrame:
 
 
 def discovered(responses: DataFrame, body: str = "body") -> DataFrame:
-    """name and schema (JSON) of the tools with a name that responses list, in order; an answer with an error or without a list fails the job."""
+    """name and schema (JSON) of the tools with a name that responses list, in order, beside the other columns; an answer with an error or without a list fails the job."""
     v = F.try_parse_json(body)
     error, listed = F.try_variant_get(v, "$.error", "string"), F.try_variant_get(v, "$.result.tools", "variant")
     fine = ~F.coalesce(error, F.lit("")).isin("", "false", "0", "{}", "[]") | ~F.coalesce(F.schema_of_variant(listed).startswith("ARRAY"), F.lit(False))
     text = F.when(fine, F.raise_error(F.lit("no list of tools"))).otherwise(F.get_json_object(body, "$.result.tools"))
-    one = F.explode(F.from_json(text, "array<struct<name variant, inputSchema string>>")).alias("t")
-    named = responses.select(one).where(F.schema_of_variant("t.name") == "STRING")
-    return named.select(F.try_variant_get("t.name", "$", "string").alias("name"), F.col("t.inputSchema").alias("schema"))
+    one = F.explode(F.from_json(text, "array<struct<name variant, inputSchema string>>"))
+    kept = responses.drop(body, "name", "schema")
+    (t,) = free(kept, "t")
+    named = responses.select(*kept.columns, one.alias(t)).where(F.schema_of_variant(f"{t}.name") == "STRING")
+    return named.select(*kept.columns, F.try_variant_get(f"{t}.name", "$", "string").alias("name"), F.col(f"{t}.inputSchema").alias("schema"))
 
 
 def string_properties(schema: Column) -> Column:

@@ -19,7 +19,7 @@ def learned(results: DataFrame, rules: list[tuple]) -> list[tuple]:
     new = failed.orderBy("ord", "name").limit(MOST_RULES + 1).collect()
     if len(new) > MOST_RULES:
         raise ValueError(f"more than {MOST_RULES} failed attacks")
-    rows = [(r.name, r.tool, r.action, "", [("pattern_match", r.field, r.patterns, [])]) for r in new]
+    rows = [(r.name, r.tool, r.action, r.message, [("pattern_match", r.field, r.patterns, [])]) for r in new]
     rows += [r[1:] for r in sorted(rules, key=lambda r: r[0]) if not r[1].startswith(GENERATED)]
     return [(k, *r) for k, r in enumerate(rows)]
 
