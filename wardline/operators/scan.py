@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import difflib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalogue import BASE64, BODY_NAMES, COMMAND_NAMES, FILES, GENERATED, HINTS, KEYWORDS, PATH_NAMES, PROBES, REDACTED, TOOLS, payload_rows
 from ..functions.names import free
-from ..functions.text import escaped, matches, redacted
+from ..functions.text import escaped, matches, normalised_tool, redacted
 
 PAYLOAD = "ord int, id string, name string, category string, tool string, arguments string, severity string"
 
@@ -165,38 +168,73 @@ def dynamic_payloads(catalogue: DataFrame) -> DataFrame:
     return named.unionByName(injected).select(F.concat_ws("-", F.lit("dyn"), "x.kind", "name", "p").alias("id"), "x.category", F.col("name").alias("tool"), "x.severity", args.alias("args")).dropDuplicates(["id"])
 
 
-def mapped_tools(wanted: DataFrame, served: DataFrame) -> DataFrame:
-    """``wanted`` (tool) with ``server_tool``: exact, without regard to case, similar (ratio of at least 0.55), or by hint; else null.
+def mapped_tools(wanted: DataFrame, served: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``wanted`` (tool) with ``server_tool``: exact, without regard to case, similar (``similar_names``), or by hint; else null. ``served``: pos, name.
 
-    ``served`` (pos, name) is a tool catalogue: it is collected, and must be as small as one is (``MOST_TOOLS``).
+    ``by``: columns of both that say whose tools they are. All steps are equi-joins of distinct names; of several names that serve, one by its place.
     """
-    names = [r["name"] for r in served.orderBy("pos").limit(MOST_TOOLS + 1).collect()]
-    if len(names) > MOST_TOOLS:
-        raise ValueError(f"more than {MOST_TOOLS} tools")
-
-    @F.pandas_udf("string")
-    def find(tool):
-        import difflib
-        import re
-
-        def norm(s):
-            return re.sub("[-_]+", "", s.lower())
+    own = [F.col(c) for c in by]
+    (name,) = free(wanted, "server_tool") if "server_tool" not in wanted.columns else ("server_tool",)
+    asked = wanted.where("tool is not null").select(*own, "tool").distinct()
+    names = served.where("name is not null").select(*own, "pos", "name").distinct()
+    exact = names.select(*own, F.col("name").alias("tool"), F.col("name").alias("exact")).distinct()
+    folded = names.groupBy(*own, F.lower("name").alias("lower")).agg(F.max_by("name", "pos").alias("folded"))
+    normal = names.groupBy(*own, normalised_tool(F.col("name")).alias("normal")).agg(F.min_by("name", "pos").alias("similar"))
+    close = similar_names(asked.select(*own, normalised_tool(F.col("tool")).alias("name")).distinct(), normal.select(*own, F.col("normal").alias("name")), by)
+    hints = F.array(*[F.struct(F.lit(t).alias("tool"), F.lit(h).alias("hint")) for t, hs in HINTS.items() for h in hs])
+    hinted = names.select(*own, "pos", "name", F.inline(hints)).where(F.lower("name").contains(F.col("hint"))).groupBy(*own, "tool").agg(F.min_by("name", "pos").alias("hinted"))
+    keys = list(by)
+    similar = close.join(normal, [*keys, "normal"]).select(*keys, F.col("name").alias("_asked"), "similar") if by else close.join(normal, "normal").select(F.col("name").alias("_asked"), "similar")
+    found = (
+        asked.withColumns({"_asked": normalised_tool(F.col("tool")), "lower": F.lower("tool")}).join(exact, [*keys, "tool"], "left").join(folded, [*keys, "lower"], "left")
+        .join(similar, [*keys, "_asked"], "left").join(hinted, [*keys, "tool"], "left").select(*keys, "tool", F.coalesce("exact", "folded", "similar", "hinted").alias(name))
+    )
+    return wanted.drop(name).join(found, [*keys, "tool"], "left")
 
-        def one(t):
-            lower, normal = {n.lower(): n for n in names}, {}
-            for n in names:
-                normal.setdefault(norm(n), n)
-            if t in names or t.lower() in lower:
-                return t if t in names else lower[t.lower()]
-            close = difflib.get_close_matches(norm(t), [norm(n) for n in names], n=1, cutoff=0.55)
-            if close:
-                return normal[close[0]]
-            return next((n for n in names if any(h in n.lower() for h in HINTS.get(t, ()))), None)
 
-        return tool.map(one)
+#: How alike two names are at least: twice the length of what their longest common parts, taken in turn, have in common, by both lengths.
+ALIKE = 0.55
 
-    found = wanted.select("tool").distinct().withColumn("server_tool", find("tool"))
-    return wanted.join(found, "tool", "left")
 
+def similar_names(asked: DataFrame, names: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """name (of ``asked``), normal (the most similar name of ``names``; of equally similar ones the last in order) and ratio, for those of at least ``ALIKE``.
 
-MOST_TOOLS = 10_000
+    What two names have in common is at most what their letters have, counted with repetitions. Each letter with its number is a token;
+    names that are alike share one of their rarest, so that only these are joined (a prefix filter: nothing is lost). Of the pairs, those stay
+    whose lengths and letters allow the ratio; it is worked out for these alone.
+    """
+    own = [F.col(c) for c in by]
+
+    def tokens(df):
+        letters = F.split("name", "")
+        numbered = F.transform(letters, lambda x, i: F.concat(x, F.size(F.filter(F.slice(letters, F.lit(1), i + 1), lambda y: y == x)).cast("string")))
+        return df.where("name <> ''").select(*own, "name", numbered.alias("tokens"))
+
+    a, b = tokens(asked), tokens(names)
+    # letters with numbers: as many as there are letters, times the length of the longest name
+    rare = a.select(F.explode("tokens").alias("t")).unionAll(b.select(F.explode("tokens").alias("t"))).groupBy("t").agg(F.count("*").alias("n"))
+
+    def rarest(df, name):
+        spread = df.select(*own, "name", F.size("tokens").alias("size"), F.explode("tokens").alias("t")).join(rare, "t")
+        order = F.transform(F.array_sort(F.collect_list(F.struct("n", "t"))), lambda x: x["t"])
+        least = F.ceil(F.col("size") * ALIKE / (2 - ALIKE) - 1e-9).cast("int")  # in common with the shortest name that may be alike
+        kept = spread.groupBy(*own, "name", "size").agg(order.alias("order"))
+        return kept.select(*own, F.col("name").alias(name), F.col("size").alias(f"{name}_size"), F.explode(F.slice("order", F.lit(1), F.col("size") - least + 1)).alias("t"))
+
+    pairs = rarest(a, "name").join(rarest(b, "normal"), [*by, "t"]).where(2 * F.least("name_size", "normal_size") >= (ALIKE - 1e-9) * (F.col("name_size") + F.col("normal_size"))).select(*own, "name", "normal").distinct()
+    both = pairs.join(a.withColumnRenamed("tokens", "x"), [*by, "name"]).join(b.select(*own, F.col("name").alias("normal"), F.col("tokens").alias("y")), [*by, "normal"])
+    may = both.where(2 * F.size(F.array_intersect("x", "y")) >= (ALIKE - 1e-9) * (F.size("x") + F.size("y")))
+
+    @F.pandas_udf("double")
+    def ratio(name: pd.Series, normal: pd.Series) -> pd.Series:
+        match = difflib.SequenceMatcher()
+        out = []
+        for x, y in zip(name, normal, strict=True):
+            if match.b != x:
+                match.set_seq2(x)
+            match.set_seq1(y)
+            out.append(match.ratio())
+        return pd.Series(out, dtype="float64")
+
+    found = may.select(*own, "name", "normal", ratio("name", "normal").alias("ratio")).where(F.col("ratio") >= ALIKE)
+    return found.groupBy(*own, "name").agg(F.max(F.struct("ratio", "normal")).alias("best")).select(*own, "name", "best.normal", "best.ratio")

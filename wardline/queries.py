@@ -697,30 +697,31 @@ def union_payloads(spark, d):
     return attacks(spark, d).select("id").unionAll(scan.dynamic_payloads(catalogue_of(spark, d)).select("id"))
 
 
-def served(spark):
-    return spark.createDataFrame([(0, "bash_tool"), (1, "Email_Send"), (2, "read-file")], "pos int, name string")
+def served(spark, d, *names):
+    """Each session's server lists these tools."""
+    listed = F.array(*[F.struct(F.lit(k).alias("pos"), F.lit(n).alias("name")) for k, n in enumerate(names)])
+    return table(spark, d, "events").select(F.col("user_id").alias("session_id")).distinct().select("session_id", F.inline(listed))
 
 
-MAPPED = f"WITH {PAY}, served(tool, server_tool) AS (VALUES ('email_send', 'Email_Send'), ('shell_exec', 'bash_tool'), ('file_read', 'read-file'))"
+MAPPED = f"{ATTACKS}, served(tool, server_tool) AS (VALUES ('email_send', 'Email_Send'), ('shell_exec', 'bash_tool'), ('file_read', 'read-file'))"
 
 
-@query(f"{MAPPED} SELECT id, tool, server_tool FROM payloads LEFT JOIN served USING (tool)")
+@query(f"{MAPPED} SELECT id, session_id, tool, server_tool FROM p LEFT JOIN served USING (tool)")
 def map_tools(spark, d):
-    return scan.mapped_tools(scan.payloads(spark).select("id", "tool"), served(spark))
+    return scan.mapped_tools(attacks(spark, d).select("id", "session_id", "tool"), served(spark, d, "bash_tool", "Email_Send", "read-file"), ("session_id",)).select("id", "session_id", "tool", "server_tool")
 
 
-@query(f"{MAPPED} SELECT id, CASE tool WHEN 'email_send' THEN 'Email_Send' ELSE 'bash_tool' END AS tool FROM payloads WHERE tool <> 'file_read'")
+@query(f"{MAPPED} SELECT id, CASE tool WHEN 'email_send' THEN 'Email_Send' ELSE 'bash_tool' END AS tool FROM p WHERE tool <> 'file_read'")
 def remap_payloads(spark, d):
-    """On a server that has nothing like a reader of files."""
-    two = served(spark).where("pos < 2")
-    return scan.mapped_tools(scan.payloads(spark).select("id", "tool"), two).where("server_tool is not null").select("id", F.col("server_tool").alias("tool"))
+    """On servers that have nothing like a reader of files."""
+    m = scan.mapped_tools(attacks(spark, d).select("id", "session_id", "tool"), served(spark, d, "bash_tool", "Email_Send"), ("session_id",))
+    return m.where("server_tool is not null").select("id", F.col("server_tool").alias("tool"))
 
 
-@query(f"WITH {PAY} SELECT count(*) AS total, count(*) FILTER (tool = 'email_send') AS matched FROM payloads")
+@query(f"{ATTACKS} SELECT session_id, count(*) AS total, count(*) FILTER (tool = 'email_send') AS matched FROM p GROUP BY session_id")
 def payload_stats(spark, d):
-    one = spark.createDataFrame([(0, "EMAIL_SEND")], "pos int, name string")
-    m = scan.mapped_tools(scan.payloads(spark).select("id", "tool"), one)
-    return m.agg(F.count("*").alias("total"), F.count("server_tool").alias("matched"))
+    m = scan.mapped_tools(attacks(spark, d).select("id", "session_id", "tool"), served(spark, d, "EMAIL_SEND"), ("session_id",))
+    return m.groupBy("session_id").agg(F.count("*").alias("total"), F.count("server_tool").alias("matched"))
 
 
 # --- scalar functions ----------------------------------------------------------------------------------------------------
