@@ -42,6 +42,16 @@ def _parts(text: str):
     return [] if stack else out
 
 
+def _valid(text: str) -> bool:
+    try:
+        json.loads(text)
+    except RecursionError:
+        return True
+    except ValueError:
+        return False
+    return True
+
+
 def _walk(text: str) -> list[tuple[str, str, str]]:
     """path, type and value as text of each leaf of a JSON text, in its order, at any depth; of equal keys the last one's."""
     try:
@@ -65,6 +75,11 @@ def _walk(text: str) -> list[tuple[str, str, str]]:
     return out
 
 
+def leaf_texts(text: str) -> list[str]:
+    """The leaves of a text that is a JSON object or array, as text; any other text is its own only leaf."""
+    return [x for _, _, x in _walk(text)] if text.lstrip()[:1] in ("{", "[") and _valid(text) else [text]
+
+
 def leaves(df: DataFrame, column: str) -> DataFrame:
     """``df`` without the text ``column``, with a row for each leaf of its JSON, at any depth: path, type (STRING, BIGINT, DOUBLE, BOOLEAN
     or VOID) and value as text (null: empty; booleans as True and False).

@@ -12,6 +12,7 @@ from ..catalogue import ACTIONS, GENERATED, MESSAGES, RULES
 from ..functions.leaves import leaves_where
 from ..functions.names import free
 from ..functions.text import DIALECT, domain, matches
+from . import rule_index
 
 RULE = "ord int, name string, tool string, action string, message string, conditions array<struct<type:string,field:string,patterns:array<string>,domains:array<string>>>"
 
@@ -60,23 +61,8 @@ def rules_frame(spark: SparkSession, rules=RULES) -> DataFrame:
 
 
 def joined(calls: DataFrame, rules: DataFrame, key: str = "call_id") -> DataFrame:
-    """The decisions of rules that are a table, for many or changing pattern rules: one row a call with action and rule_name.
-
-    Rules meet calls by tool, wildcards as a second key of each call, so it is an equi-join; adaptive execution broadcasts the
-    rules if they are small. The first match is a minimum, pre-aggregated.
-    """
-    asked = calls.select(key, "args", F.explode(F.array_distinct(F.array("tool", F.lit("*")))).alias("tool"))
-
-    def holds(c):
-        value = F.coalesce(F.element_at("args", c["field"]), F.lit(""))
-        listed = F.coalesce(F.array_contains(c["domains"], domain(value)), F.lit(False))
-        hit = F.exists(c["patterns"], lambda p: F.regexp_like(value, F.concat(F.lit(DIALECT), p)))
-        any_leaf = F.exists(c["patterns"], lambda p: F.exists(F.map_values("args"), lambda v: F.regexp_like(F.coalesce(v, F.lit("")), F.concat(F.lit(DIALECT), p))))
-        return F.when(c["type"] == "always", True).when(c["type"] == "pattern_match", hit).when(c["type"] == "pii_detection", any_leaf).otherwise(~listed)
-
-    hits = asked.join(rules, "tool").where(F.forall("conditions", holds))
-    first = hits.groupBy(key).agg(F.min_by(F.struct("action", F.col("name").alias("rule_name")), "ord").alias("d"))
-    return calls.select(key).join(first, key, "left").select(key, F.coalesce("d.action", F.lit("ALLOW")).alias("action"), F.col("d.rule_name").alias("rule_name"))
+    """The decisions of rules that are a table, for many or changing rules: one row a call with action and rule_name. See ``rule_index``."""
+    return rule_index.first_match(calls, rules, key).drop("message")
 
 
 def valid(rules: list[dict], spark: SparkSession) -> list[tuple]:
