@@ -114,7 +114,7 @@ def test_frames_and_lines(spark, tmp_path):
 
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "x.bin").write_bytes(b'Content-Length: 2\r\n\r\n{}CONTENT-length: 7\r\nX: y\r\n\r\n{"a":1}Content-Length: 9\r\n\r\n{')
-    assert [r.body for r in messages.framed(spark, str(tmp_path / "a")).orderBy("n").collect()] == ["{}", '{"a":1}']
+    assert [(r.body, r.error) for r in messages.framed(spark, str(tmp_path / "a")).orderBy("n").collect()] == [("{}", None), ('{"a":1}', None), ("{", "cut short")]
     (tmp_path / "l.txt").write_text('{"id":1}\n\n{bad\n')
     assert [r.ok for r in messages.json_lines(spark, str(tmp_path / "l.txt")).select(F.col("message").isNotNull().alias("ok")).collect()] == [True, False]
     assert messages.policy(str(tmp_path / "none.yaml")) == []

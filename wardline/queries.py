@@ -20,7 +20,7 @@ from .functions import text as tx
 from .operators import correlate, policy, proxy, scan
 from .plans import messages as handling
 from .plans import pipeline, rescan
-from .sources import messages, reports
+from .sources import framed, messages, reports
 
 QUERIES, SQL = {}, {}
 
@@ -196,6 +196,17 @@ def src_framed(spark, d):
     return v.select(F.try_variant_get("v", "$.id", "long").alias("id"), F.try_variant_get("v", "$.method", "string").alias("method"))
 
 
+@query("SELECT event_id AS id, event_type AS method FROM events WHERE event_id % 9 <> 4")
+def src_framed_ranges(spark, d):
+    """The same by the data source, whose tasks read ranges of files; every ninth frame is no JSON and is set aside."""
+    path = scratch(spark)
+    bad = F.when(F.col("id") % 9 == 4, F.lit("{oops")).otherwise(F.to_json(F.struct("*")))
+    messages.write_framed(logged(spark, d).select(bad.alias("body")), path)
+    framed.register(spark)
+    v = spark.read.format("frames").option("splitBytes", 1 << 20).load(path).where("error is null").select(F.try_parse_json("body").alias("v"))
+    return v.select(F.try_variant_get("v", "$.id", "long").alias("id"), F.try_variant_get("v", "$.method", "string").alias("method"))
+
+
 @query("""SELECT '{"jsonrpc":"2.0","id":' || event_id || ',"method":"' || event_type || '"}' AS line FROM events""")
 def sink_ndjson(spark, d):
     path = scratch(spark)

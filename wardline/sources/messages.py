@@ -15,27 +15,24 @@ def json_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def framed(spark: SparkSession, path: str) -> DataFrame:
-    """path, n and body of each frame (header lines with a Content-Length, a blank line, so many bytes) of whole files.
+    """path, n, body and error of each frame (header lines with a Content-Length, a blank line, so many bytes) of whole files, which Spark reads.
 
-    A frame that is cut short ends its file.
+    What is no frame comes with an ``error`` and does not end its file. For long logs, see ``sources.framed``.
     """
     def run(batches):
-        import re
+        import io
 
         import pyarrow as pa
 
+        from .framed import _Window, frames
+
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                at, found = 0, []
-                while m := re.compile(rb"((?:[^\r\n]+\r?\n)+)\r?\n").match(data, at):
-                    size = re.search(rb"(?im)^content-length:\s*(\d+)", m.group(1))
-                    if not size or m.end() + int(size.group(1)) > len(data):
-                        break
-                    at = m.end() + int(size.group(1))
-                    found.append(data[m.end() : at].decode("utf-8", "replace"))
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(range(len(found)), pa.int64()), pa.array(found, pa.string())], names=["path", "n", "body"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, n long, body string")
+                found = list(frames(_Window(io.BytesIO(data), len(data)), 0, len(data)))
+                columns = [pa.array([name] * len(found), pa.string()), pa.array(range(len(found)), pa.int64()), *(pa.array([f[k] for f in found], pa.string()) for k in (1, 2))]
+                yield pa.RecordBatch.from_arrays(columns, names=["path", "n", "body", "error"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, n long, body string, error string")
 
 
 def write_lines(messages: DataFrame, path: str) -> None:
