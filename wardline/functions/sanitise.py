@@ -117,7 +117,7 @@ class Sanitiser:
         return done, found
 
 
-def _udf(kinds, root: str, under: str | None):
+def sanitiser(kinds, root: str, under: str | None = None):
     """The Arrow UDF of texts and tools."""
     kinds = tuple(kinds)
 
@@ -135,9 +135,9 @@ def sanitised(json: Column, tool: Column | None = None, root: str = "result", ki
 
     A root that is no object comes back as the member ``result`` of one. What is no JSON is redacted as a text. Null stays null, without findings.
     """
-    return _udf(kinds, root, None)(json, F.lit("text") if tool is None else tool)
+    return sanitiser(kinds, root)(json, F.lit("text") if tool is None else tool)
 
 
 def sanitised_answer(line: Column, tool: Column, kinds=PII) -> Column:
     """struct(text, findings) of an answer as a message: the leaves of its ``result`` redacted if that is an object; all else stays as it is."""
-    return _udf(kinds, "result", "result")(line, tool)
+    return sanitiser(kinds, "result", "result")(line, tool)

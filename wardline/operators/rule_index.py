@@ -112,13 +112,14 @@ def _grams(x: Column) -> Column:
     return F.transform(F.array(letters), lambda y: F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(y) - GRAM), lambda i: F.concat(*[F.get(y, i + k) for k in range(GRAM)]))))[0]
 
 
-def index(rules: DataFrame) -> DataFrame:
+def index(rules: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """field, gram and literal, and the rule's columns, for each literal of ``rules`` (of ``anchored``) that have some."""
-    each = rules.where("literals is not null").select("ord", "name", "field", F.explode("literals").alias("literal"))
-    grams = each.select("ord", "name", "field", "literal", F.explode(_grams(F.col("literal"))).alias("gram"))
+    named = [*by, "ord", "name"]
+    each = rules.where("literals is not null").select(*named, "field", F.explode("literals").alias("literal"))
+    grams = each.select(*named, "field", "literal", F.explode(_grams(F.col("literal"))).alias("gram"))
     known = grams.select("field", "literal", "gram").distinct().groupBy("field", "gram").agg(F.count("*").alias("n"))
-    rarest = grams.join(known, ["field", "gram"]).groupBy("ord", "name", "field", "literal").agg(F.min(F.struct("n", "gram")).alias("g"))
-    return rarest.select("ord", "name", "field", "literal", F.col("g.gram").alias("gram")).join(rules.drop("literals", "field"), ["ord", "name"])
+    rarest = grams.join(known, ["field", "gram"]).groupBy(*named, "field", "literal").agg(F.min(F.struct("n", "gram")).alias("g"))
+    return rarest.select(*named, "field", "literal", F.col("g.gram").alias("gram")).join(rules.drop("literals", "field"), named)
 
 
 def anchored(rules: DataFrame) -> DataFrame:
@@ -126,28 +127,28 @@ def anchored(rules: DataFrame) -> DataFrame:
     return rules.withColumn("a", anchor("conditions")).select(*[c for c in rules.columns if c not in ("field", "literals")], "a.field", "a.literals")
 
 
-def candidates(calls: DataFrame, rules: DataFrame, key: str) -> DataFrame:
+def candidates(calls: DataFrame, rules: DataFrame, key: str, by: tuple[str, ...] = ()) -> DataFrame:
     """``key``, args and rule (a struct) of the pairs of calls and rules that may match: all those that do, and few others."""
     rule = F.struct("ord", "name", "action", "message", "conditions").alias("rule")
     known = anchored(rules)
-    entries = index(known)
+    entries = index(known, by)
     if entries.count() <= FEW:
         entries = F.broadcast(entries)
-    said = calls.where("args is not null").select(key, F.col("tool").alias("_tool"), "args", F.explode("args").alias("field", "_value"))
+    said = calls.where("args is not null").select(key, *by, F.col("tool").alias("_tool"), "args", F.explode("args").alias("field", "_value"))
     said = said.withColumn("_value", folded(F.col("_value"))).where(F.length("_value") >= GRAM).withColumn("gram", F.explode(_grams(F.col("_value"))))
-    met = said.join(entries, ["field", "gram"]).where(((F.col("tool") == F.col("_tool")) | (F.col("tool") == "*")) & F.col("_value").contains(F.col("literal")))
-    asked = calls.select(key, F.coalesce("args", F.create_map().cast("map<string,string>")).alias("args"), F.explode(F.array_distinct(F.array("tool", F.lit("*")))).alias("tool"))
-    rest = asked.join(known.where("literals is null"), "tool")
+    met = said.join(entries, [*by, "field", "gram"]).where(((F.col("tool") == F.col("_tool")) | (F.col("tool") == "*")) & F.col("_value").contains(F.col("literal")))
+    asked = calls.select(key, *by, F.coalesce("args", F.create_map().cast("map<string,string>")).alias("args"), F.explode(F.array_distinct(F.array("tool", F.lit("*")))).alias("tool"))
+    rest = asked.join(known.where("literals is null"), [*by, "tool"])
     return met.select(key, "args", rule).unionByName(rest.select(key, "args", rule))
 
 
-def first_match(calls: DataFrame, rules: DataFrame, key: str = "call_id") -> DataFrame:
+def first_match(calls: DataFrame, rules: DataFrame, key: str = "call_id", by: tuple[str, ...] = ()) -> DataFrame:
     """``key``, action, rule_name and message of the rule that decides each of ``calls`` (tool, args: a map of text), as ``policy.compiled`` has them.
 
-    ``rules``: rows of a policy. Patterns are Python's, without regard to case. The first match is a minimum, pre-aggregated: a rule or tool that
-    a third of all calls have is spread over all tasks.
+    ``rules``: rows of a policy; ``by``: columns of both that say which policy it is. Patterns are Python's, without regard to case. The first match is
+    a minimum, pre-aggregated: a rule or tool that a third of all calls have is spread over all tasks.
     """
-    found = candidates(calls, rules, key).where(verified("args", F.col("rule.conditions")))
+    found = candidates(calls, rules, key, by).where(verified("args", F.col("rule.conditions")))
     first = found.groupBy(key).agg(F.min_by("rule", F.struct("rule.ord", "rule.name")).alias("d"))
     return calls.select(key).join(first, key, "left").select(
         key, F.coalesce("d.action", F.lit("ALLOW")).alias("action"), F.col("d.name").alias("rule_name"), F.coalesce("d.message", F.lit("")).alias("message")

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from . import catalogue as c
 from .functions import leaves as lv
+from .functions import sql
 from .functions import text as tx
-from .operators import correlate, policy, proxy, scan
+from .operators import correlate, policy, proxy, scan, versions
 from .plans import messages as handling
 from .plans import pipeline, rescan
 from .sources import framed, messages, reports
@@ -895,3 +896,53 @@ def messages_relayed(spark, d):
     """Raw answers over pipes, redacted if they answer an inspected call of their session: 1 and "1" are two ids."""
     x = handling.relayed(handling.requests(lines(spark, d, "stdio").drop("bypassed", "safe"), "stdio"), responses(spark, d, "stdio"))
     return x.select("session_id", "seq", "id", "tool", "answer", F.size("redactions").alias("n_redactions"))
+
+
+# --- policies over time --------------------------------------------------------------------------------------------------
+#: From when each of three versions holds: the plain rules, the same with what the failures under them gave, and these without the approval of emails.
+SINCE = ("2024-01-05 00:00:00", "2024-01-12 06:30:00", "2024-01-20 18:00:00")
+
+
+def history(spark, d):
+    at = [F.lit(t).cast("timestamp") for t in SINCE]
+    h = versions.first(spark.createDataFrame(policy.rule_rows(PLAIN), policy.RULE), at[0])
+    failed = scanned(spark, d).where("status = 'passed'").withColumn("id", F.col("payload_id")).dropDuplicates(["id"])
+    h = versions.learned(h, scan.generated_rules(failed.withColumn("ord", F.substring_index("id", "-", -1).cast("int") + F.when(F.col("id").startswith("pi"), 0).when(F.col("id").startswith("pe"), 100).otherwise(200))), at[1])
+    return versions.published(h, versions.rules_at(h).where("name <> 'flag_external_email'"), at[2])
+
+
+_VERSION = f"CASE WHEN ts >= TIMESTAMP '{SINCE[2]}' THEN 3 WHEN ts >= TIMESTAMP '{SINCE[1]}' THEN 2 WHEN ts >= TIMESTAMP '{SINCE[0]}' THEN 1 END"
+LEARNED = [r for r in c.RULES if r[0].startswith(c.GENERATED)] + PLAIN
+
+
+@query(f"""{CALLS}, v AS (SELECT *, {_VERSION} AS version FROM calls),
+ ruled AS (SELECT *, CASE version WHEN 1 THEN {rule_sql(PLAIN)} WHEN 2 THEN {rule_sql(LEARNED)} WHEN 3 THEN {rule_sql([r for r in LEARNED if r[0] != 'flag_external_email'])} END AS rule FROM v)
+ SELECT call_id, version, CASE WHEN rule IS NULL THEN 'ALLOW' WHEN rule = 'flag_external_email' THEN 'REQUIRE_APPROVAL' ELSE 'BLOCK' END AS action, rule AS rule_name, coalesce({MESSAGE_SQL}, '') AS message FROM ruled""")
+def policy_replay(spark, d):
+    """The calls decided under the policy that held when each was made."""
+    return versions.replayed(calls(spark, d), history(spark, d))
+
+
+@query(f"""SELECT * FROM (VALUES {values([(v, k, r[0], r[2], c.MESSAGES[r[0]], 1) for v, rules in ((1, PLAIN), (2, LEARNED), (3, [r for r in LEARNED if r[0] != 'flag_external_email'])) for k, r in enumerate(rules)])}) t(version, place, name, action, message, n_conditions)
+ WHERE (SELECT count(*) FROM events) > 0""")
+def policy_history(spark, d):
+    """The versions that the calls' failures lead to: conditions and messages are kept."""
+    w = Window.partitionBy("version").orderBy("ord")
+    return history(spark, d).select("version", (F.row_number().over(w) - 1).alias("place"), "name", "action", "message", F.size("conditions").alias("n_conditions"))
+
+
+# --- in SQL --------------------------------------------------------------------------------------------------------------
+@query(f"WITH t AS (SELECT conv_id, turn, role, {CHAT} AS text FROM conversations) " + " UNION ALL ".join(f"SELECT conv_id, turn, {q(s)} AS severity, 'said[0].text' AS field, {q(c.DESCRIPTIONS[n] + ' in chat')} AS description FROM t WHERE {any_of('text', [p])}" for s, n, p in c.INJECTION if s != "medium"))
+def sql_inspect_json(spark, d):
+    """The table function, in SQL, over conversations as JSON."""
+    sql.register(spark)
+    table(spark, d, "conversations").createOrReplaceTempView("wardline_conversations")
+    return spark.sql(f"WITH t AS (SELECT conv_id, turn, to_json(named_struct('said', array(named_struct('text', {CHAT})))) AS said FROM wardline_conversations) SELECT conv_id, turn, severity, field, description FROM t, LATERAL inspect_json(said, tool => 'chat', least => 'high')")
+
+
+@query(f"SELECT doc_id, md5({redact_sql('text')}) AS digest, {any_of('text', [p for _, p in c.PII])} AS personal FROM (SELECT doc_id, {PLANTED} AS text FROM documents)")
+def sql_functions(spark, d):
+    """The scalar functions, in SQL, over planted documents."""
+    sql.register(spark)
+    planted(spark, d).createOrReplaceTempView("wardline_planted")
+    return spark.sql("SELECT doc_id, md5(redacted(text)) AS digest, has_personal_data(text) AS personal FROM wardline_planted")
