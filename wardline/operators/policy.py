@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import json
+import re
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..catalogue import ACTIONS, GENERATED, MESSAGES, RULES
 from ..functions.leaves import leaves_where
@@ -14,6 +18,9 @@ from ..functions.names import free
 from ..functions.text import DIALECT, domain, matches
 from . import rule_index
 
+#: Kinds of conditions.
+KINDS = ("always", "pattern_match", "domain_allowlist", "pii_detection")
+CONDITIONS = T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("field", T.StringType()), T.StructField("patterns", T.ArrayType(T.StringType())), T.StructField("domains", T.ArrayType(T.StringType()))]))
 RULE = "ord int, name string, tool string, action string, message string, conditions array<struct<type:string,field:string,patterns:array<string>,domains:array<string>>>"
 
 
@@ -65,10 +72,8 @@ def joined(calls: DataFrame, rules: DataFrame, key: str = "call_id") -> DataFram
     return rule_index.first_match(calls, rules, key).drop("message")
 
 
-def valid(rules: list[dict], spark: SparkSession) -> list[tuple]:
-    """Raw rules (of a policy file) as rows; a malformed one is left out whole: no mapping, unknown action, bad condition or pattern."""
-    pattern = spark.sparkContext._jvm.java.util.regex.Pattern
-
+def _row(k: int, r: dict, compiles) -> tuple | None:
+    """The raw rule ``r`` as a row of a policy; None if anything is wrong with it. ``compiles`` raises for a pattern that is none."""
     def listed(c, key):
         if not isinstance(c.get(key), list):
             raise ValueError(f"{key} is no list")
@@ -76,27 +81,52 @@ def valid(rules: list[dict], spark: SparkSession) -> list[tuple]:
 
     def parsed(c):
         kind = str(c.get("type") or "").strip()
+        if kind not in KINDS:
+            raise ValueError(f"unknown condition {kind}")
         patterns = listed(c, "patterns") if kind in ("pattern_match", "pii_detection") else []
         domains = [d.strip().lower() for d in listed(c, "allowed_domains") if d.strip()] if kind == "domain_allowlist" else []
         field = c.get("field") if kind in ("pattern_match", "domain_allowlist") else ""
         if not isinstance(field, str):
             raise ValueError("field is no text")
         for p in patterns:
-            pattern.compile(DIALECT + p)
-        condition(kind, field, patterns, domains)
+            compiles(p)
         return kind, field, patterns, domains
 
-    out = []
-    for k, r in enumerate(rules):
-        try:
-            action = r["action"].strip().upper()
-            conditions = r.get("conditions") or [{"type": "always"}]
-            if action not in ACTIONS or not isinstance(conditions, list):
-                continue
-            out.append((k, str(r.get("name") or f"rule_{k}"), str(r.get("tool") or "*"), action, str(r.get("message") or ""), list(map(parsed, conditions))))
-        except Exception:  # noqa: BLE001, S112 - whatever is wrong with a rule, it alone is left out
-            continue
-    return out
+    try:
+        action = r["action"].strip().upper()
+        conditions = r.get("conditions") or [{"type": "always"}]
+        if action not in ACTIONS or not isinstance(conditions, list):
+            return None
+        return k, str(r.get("name") or f"rule_{k}"), str(r.get("tool") or "*"), action, str(r.get("message") or ""), list(map(parsed, conditions))
+    except Exception:  # noqa: BLE001 - whatever is wrong with a rule, it alone is left out
+        return None
+
+
+def valid(rules: list[dict], spark: SparkSession) -> list[tuple]:
+    """Raw rules (of a policy file) as rows; a malformed one is left out whole: no mapping, unknown action, bad condition or pattern."""
+    pattern = spark.sparkContext._jvm.java.util.regex.Pattern
+    rows = (_row(k, r, lambda p: pattern.compile(DIALECT + p)) for k, r in enumerate(rules))
+    return [r for r in rows if r]
+
+
+def parsed(raw: DataFrame) -> DataFrame:
+    """The same for rules that are a table (ord, rule: JSON): its other columns and those of a policy. Patterns have to be Python's."""
+    kinds = T.StructType([T.StructField("name", T.StringType()), T.StructField("tool", T.StringType()), T.StructField("action", T.StringType()), T.StructField("message", T.StringType()), T.StructField("conditions", CONDITIONS)])
+
+    @F.arrow_udf(kinds)
+    def read(ord: pa.Array, rule: pa.Array) -> pa.Array:
+        out = []
+        for k, text in zip(ord.to_pylist(), rule.to_pylist(), strict=True):
+            try:
+                row = _row(k, json.loads(text), lambda p: re.compile(p, re.IGNORECASE))
+            except (TypeError, ValueError, RecursionError):
+                row = None
+            out.append(None if row is None else {**dict(zip(kinds.names, row[1:], strict=True)), "conditions": [dict(zip(("type", "field", "patterns", "domains"), c, strict=True)) for c in row[5]]})
+        return pa.array(out, to_arrow_type(kinds))
+
+    (r,) = free(raw, "_r")
+    kept = [c for c in raw.columns if c not in ("rule", *kinds.names)]
+    return raw.withColumn(r, read("ord", "rule")).where(F.col(r).isNotNull()).select(*kept, f"{r}.*")
 
 
 def raw(rows: list[tuple]) -> list[dict]:

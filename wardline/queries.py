@@ -6,6 +6,7 @@ user, its time the event's. Texts get planted personal data and injections, sinc
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import tempfile
@@ -241,9 +242,11 @@ RAW_RULES = [
 ]
 
 
-@query("SELECT * FROM (VALUES (0, 'ok', 'shell_exec', 'BLOCK', 1), (4, 'rule_4', '*', 'ALLOW', 1), (11, 'rule_11', '*', 'REDACT_OUTPUT', 1), (12, 'rule_12', 'email_send', 'REQUIRE_APPROVAL', 2)) t(ord, name, tool, action, n_conditions)")
+@query("SELECT event_id AS ord, CASE event_id % 13 WHEN 0 THEN 'ok' ELSE 'rule_' || event_id END AS name, tool, action, n_conditions FROM events JOIN (VALUES (0, 'shell_exec', 'BLOCK', 1), (4, '*', 'ALLOW', 1), (11, '*', 'REDACT_OUTPUT', 1), (12, 'email_send', 'REQUIRE_APPROVAL', 2)) t(k, tool, action, n_conditions) ON event_id % 13 = k")
 def policy_compile(spark, d):
-    return spark.createDataFrame(policy.valid(RAW_RULES, spark), policy.RULE).select("ord", "name", "tool", "action", F.size("conditions").alias("n_conditions"))
+    """Of each event a raw rule, many of them malformed."""
+    raw = table(spark, d, "events").select(F.col("event_id").alias("ord"), chosen([json.dumps(r) for r in RAW_RULES]).alias("rule"))
+    return policy.parsed(raw).select("ord", "name", "tool", "action", F.size("conditions").alias("n_conditions"))
 
 
 @query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN md5(event_id::VARCHAR) WHEN 1 THEN user_id::VARCHAR END AS session FROM events")
