@@ -28,7 +28,9 @@ from .id_files import ByteEncoder, slices
 
 CHUNK = 2_000_000
 #: Segments that a worker keeps with their ids, and code points of them; then it starts anew. Longer segments are not kept.
-KEPT, KEPT_CHARS, LONGEST = 500_000, 10_000_000, 64
+KEPT, KEPT_CHARS, LONGEST = 250_000, 5_000_000, 64
+#: Pre-tokens of A that a worker keeps; then it starts anew.
+KEPT_A = 800_000
 #: Rows that go to a worker at a time.
 ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 #: A pair of ids as one number.
@@ -98,9 +100,20 @@ class PieceEncoder:
         return ids, sizes
 
 
+class SmallEncoder(ByteEncoder):
+    """With a table for ``KEPT_A`` pre-tokens, since a worker holds another vocabulary besides."""
+
+    BITS = 21
+
+    def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        if self.known > KEPT_A:
+            self._clear()
+        return super().encode(texts, end)
+
+
 class Aligner:
     def __init__(self, path_a: str, path_b: str):
-        self.a, self.b = ByteEncoder(path_a), PieceEncoder(path_b)
+        self.a, self.b = SmallEncoder(path_a), PieceEncoder(path_b)
         plain = {c: bytes([k]) for k, c in enumerate(byte_symbols())}
         vocab = self.a.library.get_vocab(with_added_tokens=True)
         self.bytes_a = [b""] * (max(vocab.values()) + 1)
