@@ -74,3 +74,14 @@ def test_odd_rules_and_calls(spark):
     assert {r.action for r in rule_index.first_match(calls, none).collect()} == {"ALLOW"} and rule_index.first_match(calls.limit(0), none).isEmpty()
     two = spark.createDataFrame([(0, "a", "*", "BLOCK", "", [("pattern_match", "x", ["needle"], [])]), (0, "b", "*", "ALLOW", "", [("pattern_match", "y", ["secret"], [])])], policy.RULE)
     assert rule_index.first_match(calls, two).where("call_id = 5").first().rule_name == "a"
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_calls_are_not_dealt_out_by_tool(spark):
+    """Tools are few: dealt out by them, all calls are a few tasks. Nor do rules' texts go with each pair through a sort."""
+    rules = policy.rule_rows() + [(90, "any", "*", "BLOCK", "m", [("pii_detection", "", [r"\d{3}-\d{2}"], [])])]
+    plan = plan_of(rule_index.first_match(q.calls(spark, SF), spark.createDataFrame(rules, policy.RULE)))
+    assert "hashpartitioning(tool" not in plan and "min_by" not in plan

@@ -13,14 +13,14 @@ from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.leaves import leaf_texts
 
 GRAM = 3
-#: Index entries up to this many are broadcast; more meet calls by a shuffle.
+#: Rows of rules or of their index up to this many are broadcast; more meet calls by a shuffle.
 FEW = 200_000
 
 
@@ -89,6 +89,11 @@ def compiled(pattern: str) -> re.Pattern:
     return re.compile(pattern, re.IGNORECASE)
 
 
+@lru_cache(maxsize=100_000)
+def _read(conditions: str) -> list[dict]:
+    return [{"field": None, "patterns": [], "domains": [], **c} for c in json.loads(conditions)]
+
+
 def _holds(condition: dict, args: dict) -> bool:
     kind, value = condition["type"], args.get(condition["field"]) or ""
     if kind == "always":
@@ -103,7 +108,12 @@ def _holds(condition: dict, args: dict) -> bool:
 
 @F.arrow_udf(T.BooleanType())
 def verified(args: pa.Array, conditions: pa.Array) -> pa.Array:
-    return pa.array([all(_holds(c, dict(a or ())) for c in cs) for a, cs in zip(args.to_pylist(), conditions.to_pylist(), strict=True)], pa.bool_())
+    """Whether all conditions (JSON: read once in a worker) hold of the arguments."""
+    out = []
+    for a, cs in zip(args.to_pylist(), conditions.to_pylist(), strict=True):
+        own = dict(a or ())
+        out.append(all(_holds(c, own) for c in _read(cs)))
+    return pa.array(out, pa.bool_())
 
 
 def _grams(x: Column) -> Column:
@@ -127,29 +137,39 @@ def anchored(rules: DataFrame) -> DataFrame:
     return rules.withColumn("a", anchor("conditions")).select(*[c for c in rules.columns if c not in ("field", "literals")], "a.field", "a.literals")
 
 
+def placed(rules: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``rules`` with ``place``: a number in their order (ord, name), so that the first of many is a minimum of numbers."""
+    w = Window.partitionBy(*by, "ord").orderBy("name", "tool", "action", "message", F.to_json("conditions"))
+    return rules.withColumn("place", F.shiftleft(F.col("ord").cast("long"), 31) + F.row_number().over(w) - 1)
+
+
+def _at_hand(rules: DataFrame) -> DataFrame:
+    """``rules`` for a join with calls, which stay where they are if the rules are few: few tools and fields are known, and each would be one task."""
+    return F.broadcast(rules) if rules.limit(FEW + 1).count() <= FEW else rules
+
+
 def candidates(calls: DataFrame, rules: DataFrame, key: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """``key``, args and rule (a struct) of the pairs of calls and rules that may match: all those that do, and few others."""
-    rule = F.struct("ord", "name", "action", "message", "conditions").alias("rule")
-    known = anchored(rules)
-    entries = index(known, by)
-    if entries.count() <= FEW:
-        entries = F.broadcast(entries)
+    """``key``, the columns ``by``, args and rule (ord, place, and conditions as JSON) of the pairs of calls and rules that may match: all those that do, and few others."""
+    rule = F.struct("ord", "place", "conditions").alias("rule")
+    known = anchored(placed(rules, by)).withColumn("conditions", F.to_json("conditions"))
+    entries, others = _at_hand(index(known, by).drop("name", "action", "message")), _at_hand(known.where("literals is null").drop("name", "action", "message"))
     said = calls.where("args is not null").select(key, *by, F.col("tool").alias("_tool"), "args", F.explode("args").alias("field", "_value"))
     said = said.withColumn("_value", folded(F.col("_value"))).where(F.length("_value") >= GRAM).withColumn("gram", F.explode(_grams(F.col("_value"))))
     met = said.join(entries, [*by, "field", "gram"]).where(((F.col("tool") == F.col("_tool")) | (F.col("tool") == "*")) & F.col("_value").contains(F.col("literal")))
     asked = calls.select(key, *by, F.coalesce("args", F.create_map().cast("map<string,string>")).alias("args"), F.explode(F.array_distinct(F.array("tool", F.lit("*")))).alias("tool"))
-    rest = asked.join(known.where("literals is null"), [*by, "tool"])
-    return met.select(key, "args", rule).unionByName(rest.select(key, "args", rule))
+    rest = asked.join(others, [*by, "tool"])
+    return met.select(key, *by, "args", rule).unionByName(rest.select(key, *by, "args", rule))
 
 
 def first_match(calls: DataFrame, rules: DataFrame, key: str = "call_id", by: tuple[str, ...] = ()) -> DataFrame:
     """``key``, action, rule_name and message of the rule that decides each of ``calls`` (tool, args: a map of text), as ``policy.compiled`` has them.
 
     ``rules``: rows of a policy; ``by``: columns of both that say which policy it is. Patterns are Python's, without regard to case. The first match is
-    a minimum, pre-aggregated: a rule or tool that a third of all calls have is spread over all tasks.
+    a minimum of places, pre-aggregated: only keys and numbers are shuffled, and what the rule says comes to them in the end.
     """
     found = candidates(calls, rules, key, by).where(verified("args", F.col("rule.conditions")))
-    first = found.groupBy(key).agg(F.min_by("rule", F.struct("rule.ord", "rule.name")).alias("d"))
-    return calls.select(key).join(first, key, "left").select(
-        key, F.coalesce("d.action", F.lit("ALLOW")).alias("action"), F.col("d.name").alias("rule_name"), F.coalesce("d.message", F.lit("")).alias("message")
+    first = found.groupBy(key, *by).agg(F.min("rule.place").alias("place"))
+    told = _at_hand(placed(rules, by).select(*by, "place", F.col("action").alias("_action"), F.col("name").alias("rule_name"), F.col("message").alias("_message")))
+    return calls.select(key, *by).join(first, [key, *by], "left").join(told, [*by, "place"], "left").select(
+        key, F.coalesce("_action", F.lit("ALLOW")).alias("action"), "rule_name", F.coalesce("_message", F.lit("")).alias("message")
     )
