@@ -85,3 +85,12 @@ def test_calls_are_not_dealt_out_by_tool(spark):
     rules = policy.rule_rows() + [(90, "any", "*", "BLOCK", "m", [("pii_detection", "", [r"\d{3}-\d{2}"], [])])]
     plan = plan_of(rule_index.first_match(q.calls(spark, SF), spark.createDataFrame(rules, policy.RULE)))
     assert "hashpartitioning(tool" not in plan and "min_by" not in plan
+
+
+def test_rules_of_tools(spark):
+    """Rules come to calls: each call keeps its row, and no call is shuffled."""
+    calls = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (3, None), (4, "*")], "call_id int, tool string")
+    rules = spark.createDataFrame([("a", 3), ("*", 1), ("a", 0), ("*", 1)], "tool string, ord int")
+    assert sorted((r.call_id, r.ords) for r in policy.of_tool(calls, rules).collect()) == [(1, [0, 1, 3]), (1, [0, 1, 3]), (2, [1]), (3, [1]), (4, [1])]
+    assert [r.ords for r in policy.of_tool(calls, rules.where("tool = 'a'")).orderBy("call_id").collect()] == [[0, 3], [0, 3], [], [], []]
+    assert "hashpartitioning(call_id" not in (plan := plan_of(q.QUERIES["tool_match"](spark, SF))) and "SortMergeJoin" not in plan

@@ -72,6 +72,16 @@ def joined(calls: DataFrame, rules: DataFrame, key: str = "call_id") -> DataFram
     return rule_index.first_match(calls, rules, key).drop("message")
 
 
+def of_tool(calls: DataFrame, rules: DataFrame) -> DataFrame:
+    """``calls`` with ``ords``: those of the ``rules`` (tool, ord) that are of their tool or of all tools, in order. The rules come to the calls: dealt out by
+    tool, all calls would be a few tasks."""
+    tool, named, every = free(calls, "_tool", "_named", "_every")
+    each = rules.groupBy(F.col("tool").alias(tool)).agg(F.collect_set("ord").alias(named))
+    met = calls.join(F.broadcast(each), F.col("tool") == F.col(tool), "left").drop(tool).join(F.broadcast(each.where(F.col(tool) == "*").select(F.col(named).alias(every))), F.lit(True), "left")
+    none = F.array().cast("array<int>")
+    return met.withColumn("ords", F.array_sort(F.array_union(F.coalesce(named, none), F.coalesce(every, none)))).drop(named, every)
+
+
 def _row(k: int, r: dict, compiles) -> tuple | None:
     """The raw rule ``r`` as a row of a policy; None if anything is wrong with it. ``compiles`` raises for a pattern that is none."""
     def listed(c, key):

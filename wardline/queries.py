@@ -294,9 +294,8 @@ def policy_first_match(spark, d):
 
 @query(f"{CALLS} SELECT call_id, tool = 'shell_exec' AS exact, true AS wildcard FROM calls")
 def tool_match(spark, d):
-    rules = spark.createDataFrame([("shell_exec", 0), ("*", 1)], "tool string, ord int")
-    m = calls(spark, d).select("call_id", F.explode(F.array("tool", F.lit("*"))).alias("tool")).join(rules, "tool")
-    return m.groupBy("call_id").agg(F.bool_or(F.col("ord") == 0).alias("exact"), F.bool_or(F.col("ord") == 1).alias("wildcard"))
+    m = policy.of_tool(calls(spark, d).select("call_id", "tool"), spark.createDataFrame([("shell_exec", 0), ("*", 1)], "tool string, ord int"))
+    return m.where(F.size("ords") > 0).select("call_id", *[F.array_contains("ords", k).alias(n) for k, n in ((0, "exact"), (1, "wildcard"))])
 
 
 @query(f"{CALLS} SELECT call_id, {any_of('a_command', c.RULES[4][5])} AS hit FROM calls")
