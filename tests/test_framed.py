@@ -93,3 +93,27 @@ def test_stream_is_batch(spark, tmp_path):
     (logs / "b").write_bytes(some(15))
     assert run() == list(range(n)) and n == 46
     assert run() == list(range(n))
+
+
+def test_reading_is_in_proportion():
+    """Each byte is read about once, however many frames there are."""
+    class Counted(io.BytesIO):
+        taken = 0
+
+        def read(self, n=-1):
+            out = super().read(n)
+            Counted.taken += len(out)
+            return out
+
+    data = b"".join(b"Content-Length: %d\r\n\r\n%s\r\n" % (len(x) + 2, x) for k in range(60_000) for x in [b'{"id":%d,"method":"m"}' % k])
+    w = framed._Window(Counted(data), len(data))
+    assert sum(e is None for _, _, e in framed.frames(w, 0, len(data))) == 60_000 and Counted.taken < 2 * len(data)
+
+
+def test_headers_far_apart():
+    """A header is found wherever it stands, also across the borders of what is looked through."""
+    frame = b"X-Y: z\r\nContent-Length: 2\r\n\r\n{}"
+    for gap in (0, 1, framed.FIRST - 20, framed.FIRST, framed.FIRST + framed.LONGEST - 12, framed.STEP + framed.LONGEST - 7, framed.AHEAD - 9, framed.AHEAD + framed.STEP + 3):
+        data = frame + b"\n" * gap + frame
+        w = framed._Window(io.BytesIO(data), len(data))
+        assert [x[0] for x in framed.frames(w, 0, len(data))] == [8, len(frame) + gap + 8], gap

@@ -22,8 +22,8 @@ SCHEMA = "path string, offset long, body string, error string"
 _HEADER = re.compile(rb"content-length:[ \t]*(\d{1,18})[ \t]*\r?\n(?:[A-Za-z0-9-]+:[^\r\n]*\r?\n)*\r?\n", re.IGNORECASE)
 _BEFORE = re.compile(rb"(?:[A-Za-z0-9-]+:[^\r\n]*\r?\n)+\Z")
 SPLIT = 32 << 20
-#: Bytes that are read at a time, and the most that a header takes.
-STEP, LONGEST = 1 << 20, 1 << 16
+#: Bytes that are looked through at a time, the most that a header takes, what is looked through first, and what is read at a time.
+STEP, LONGEST, FIRST, AHEAD = 1 << 20, 1 << 16, 1 << 12, 1 << 22
 
 
 class _Window:
@@ -32,27 +32,34 @@ class _Window:
     def __init__(self, file, size: int):
         self.file, self.size, self.at, self.data = file, size, 0, b""
 
-    def get(self, a: int, n: int) -> bytes:
-        """Up to ``n`` bytes from ``a`` on."""
+    def near(self, a: int, n: int) -> tuple[bytes, int, int]:
+        """What is read, and from where to where in it up to ``n`` bytes from ``a`` on stand."""
         n = min(n, self.size - a)
         if n <= 0:
-            return b""
+            return b"", 0, 0
         if not (self.at <= a and a + n <= self.at + len(self.data)):
             self.file.seek(a)
-            self.at, self.data = a, self.file.read(max(n, STEP))
-        return self.data[a - self.at : a - self.at + n]
+            self.at, self.data = a, self.file.read(max(n, AHEAD))
+        return self.data, a - self.at, min(a - self.at + n, len(self.data))
+
+    def get(self, a: int, n: int) -> bytes:
+        """Up to ``n`` bytes from ``a`` on."""
+        data, lo, hi = self.near(a, n)
+        return data[lo:hi]
 
 
 def _next_header(w: _Window, at: int, end: int):
     """Start, end of the header, and length of the body, of the first header that starts from ``at`` on and before ``end``."""
+    step = FIRST  # most often, it is right here
     while at < end:
-        part = w.get(at, STEP + LONGEST)
-        m = _HEADER.search(part)
-        if m and (m.start() < STEP or len(part) < STEP + LONGEST):
-            return (at + m.start(), at + m.end(), int(m.group(1))) if at + m.start() < end else None
-        if len(part) < STEP + LONGEST:
+        data, lo, hi = w.near(at, step + LONGEST)
+        m = _HEADER.search(data, lo, hi)
+        if m and (m.start() - lo < step or hi - lo < step + LONGEST):
+            begin = at + m.start() - lo
+            return (begin, begin + m.end() - m.start(), int(m.group(1))) if begin < end else None
+        if hi - lo < step + LONGEST:
             return None
-        at += STEP
+        at, step = at + step, STEP
     return None
 
 

@@ -8,6 +8,9 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Frames that are held at a time, and rows of a file that is written: readers of whole files hold one.
+FRAMES, PER_FILE = 5_000, 500_000
+
 
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
     """message (VARIANT) and line of a log of JSON lines; blank lines are passed over, what is no JSON has a null message."""
@@ -21,6 +24,7 @@ def framed(spark: SparkSession, path: str) -> DataFrame:
     """
     def run(batches):
         import io
+        from itertools import batched
 
         import pyarrow as pa
 
@@ -28,9 +32,11 @@ def framed(spark: SparkSession, path: str) -> DataFrame:
 
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = list(frames(_Window(io.BytesIO(data), len(data)), 0, len(data)))
-                columns = [pa.array([name] * len(found), pa.string()), pa.array(range(len(found)), pa.int64()), *(pa.array([f[k] for f in found], pa.string()) for k in (1, 2))]
-                yield pa.RecordBatch.from_arrays(columns, names=["path", "n", "body", "error"])
+                n = 0
+                for found in batched(frames(_Window(io.BytesIO(data), len(data)), 0, len(data)), FRAMES):
+                    columns = [pa.array([name] * len(found), pa.string()), pa.array(range(n, n + len(found)), pa.int64()), *(pa.array([f[k] for f in found], pa.string()) for k in (1, 2))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["path", "n", "body", "error"])
+                    n += len(found)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, n long, body string, error string")
 
@@ -41,9 +47,9 @@ def write_lines(messages: DataFrame, path: str) -> None:
 
 
 def write_framed(bodies: DataFrame, path: str) -> None:
-    """The column ``body`` (JSON) as frames; the line end behind each body counts as its white space."""
+    """The column ``body`` (JSON) as frames, at most ``PER_FILE`` a file; the line end behind each body counts as its white space."""
     frame = F.concat(F.lit("Content-Length: "), (F.octet_length("body") + 2).cast("string"), F.lit("\r\n\r\n"), F.col("body"))
-    bodies.select(frame.alias("value")).write.option("lineSep", "\r\n").text(path)
+    bodies.select(frame.alias("value")).write.option("lineSep", "\r\n").option("maxRecordsPerFile", PER_FILE).text(path)
 
 
 def policy(path: str) -> list[dict]:
