@@ -1,5 +1,6 @@
 """The writer's choices: each makes its pictures shorter, and the readers undo it."""
 
+import heapq
 import hashlib
 
 import numpy as np
@@ -78,3 +79,31 @@ def test_counts_and_clashing_names(spark):
     assert back.columns == ["doc_id", "media", "payload", "feature", "n_pictures", "n_special"]
     assert {r.doc_id: hashlib.md5(r.payload).hexdigest() for r in back.where("doc_id < 3").collect()} == {i: hashlib.md5(media.padded((t or "").encode())).hexdigest() for i, t in rows[:2]}
     assert media.read(d.select(F.lit(None).cast("binary").alias("media"))).select("payload", "n_special").distinct().collect() == [(None, None)]
+
+
+def test_codes_by_two_queues():
+    """The code lengths of a heap, whose ties go to what was there first; codes as they are counted up; one parse of a plain picture tells that it is plain."""
+    rng = np.random.default_rng(3)
+    for n in (2, 3, 17, 280):
+        counts = rng.integers(0, 5, n) * rng.integers(1, 50, n)
+        counts[:2] += 1
+        heap = [(int(w), k, [k]) for k, w in enumerate(counts) if w]
+        want, new = np.zeros(n, int), n
+        heapq.heapify(heap)
+        while len(heap) > 1:
+            a, b = heapq.heappop(heap), heapq.heappop(heap)
+            want[a[2] + b[2]] += 1
+            heapq.heappush(heap, (a[0] + b[0], new, a[2] + b[2]))
+            new += 1
+        got = webp.code_lengths(counts, webp.LEFT)
+        assert want.max() <= webp.LEFT and got.tolist() == want.tolist()
+        code, codes = 0, np.zeros(n, int)
+        for size in range(1, webp.LEFT + 1):
+            code <<= 1
+            for s in np.flatnonzero(got == size):
+                codes[s], code = int(f"{code:0{size}b}"[::-1], 2), code + 1
+        assert webp.reversed_codes(got).tolist() == codes.tolist()
+    plain, told = [], [rng.integers(0, 256, 640, np.uint8).tobytes(), b"ab" * 320, b"0" * 64]
+    files = [x for t in told for x in webp.pictures(webp.write_payload(t))]
+    assert b"".join(x.tobytes() for x in webp.read_gray(files, plain)) == b"".join(told)
+    assert [not p for p in plain] == [webp.special(f) for f in files] and len(set(plain)) == 2

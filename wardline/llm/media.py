@@ -66,13 +66,15 @@ def read(df: DataFrame, media: str = "media", payload: str = "payload", features
             for a, b in _slices(batch.column(place)):
                 part = batch.slice(a, b - a)
                 series = [None if x is None else webp.pictures(x) for x in part.column(place).to_pylist()]
-                found = iter(webp.read_gray([x for s in series if s for x in s]))
+                plainly: list[bool] = []
+                found = iter(webp.read_gray([x for s in series if s for x in s], plainly))
+                plain = iter(plainly)
                 rows = [None if s is None else np.concatenate([next(found) for _ in s]) for s in series]
                 made = [
                     pa.array([None if r is None else r.tobytes() for r in rows], pa.binary()),
                     pa.array([None if r is None else feature(r) for r in rows], pa.string()),
                     pa.array([None if s is None else len(s) for s in series], pa.int64()),
-                    pa.array([None if s is None else sum(map(webp.special, s)) for s in series], pa.int64()),
+                    pa.array([None if s is None else sum(not next(plain) and webp.special(x) for x in s) for s in series], pa.int64()),
                 ]
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, payload, features, "n_pictures", "n_special"])
 

@@ -14,7 +14,6 @@ the general reader one by one.
 from __future__ import annotations
 
 import functools
-import heapq
 import struct
 
 import numpy as np
@@ -61,32 +60,54 @@ def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
         return lengths
     weights = counts[used].tolist()
     while True:
-        heap = [(w, k) for k, w in enumerate(weights)]
-        heapq.heapify(heap)
-        parent, n = {}, len(weights)
-        while len(heap) > 1:
-            (a, i), (b, j) = heapq.heappop(heap), heapq.heappop(heap)
-            parent[i] = parent[j] = n
-            heapq.heappush(heap, (a + b, n))
+        # two queues: leaves by weight, and what is joined, whose weights only grow
+        order = sorted(range(len(weights)), key=weights.__getitem__)
+        leaf, joined, n = len(weights), [], len(weights)
+        parent, at, below = [0] * (2 * leaf - 1), 0, 0
+        while n < 2 * leaf - 1:
+            total = 0
+            for _ in range(2):
+                if below == len(joined) or (at < leaf and weights[order[at]] <= joined[below]):
+                    total, k, at = total + weights[order[at]], order[at], at + 1
+                else:
+                    total, k, below = total + joined[below], leaf + below, below + 1
+                parent[k] = n
+            joined.append(total)
             n += 1
-        depth = {n - 1: 0}
+        depth = [0] * n
         for k in range(n - 2, -1, -1):
             depth[k] = depth[parent[k]] + 1
-        if max(found := [depth[k] for k in range(len(weights))]) <= longest:
+        if max(found := depth[:leaf]) <= longest:
             lengths[used] = found
             return lengths
         weights = [w // 2 + 1 for w in weights]
 
 
+#: The longest code that the format has.
+LEFT = 15
+
+
+@functools.cache
+def backwards(n: int) -> np.ndarray:
+    """Of each number of ``n`` bits the one with its bits in the other order."""
+    out = np.zeros(1, np.int64)
+    for _ in range(n):
+        out = np.concatenate([out << 1, out << 1 | 1])
+    return out
+
+
+def canonical(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols that have codes, in the order of their codes, and the codes' lengths."""
+    used = np.flatnonzero(lengths)
+    order = used[np.argsort(lengths[used], kind="stable")]
+    return order, lengths[order]
+
+
 def reversed_codes(lengths: np.ndarray) -> np.ndarray:
     """Canonical codes, first bit lowest."""
     codes = np.zeros(len(lengths), np.int64)
-    code = 0
-    for n in range(1, int(lengths.max(initial=0)) + 1):
-        code <<= 1
-        for s in np.flatnonzero(lengths == n).tolist():
-            codes[s] = int(f"{code:0{n}b}"[::-1], 2)
-            code += 1
+    order, size = canonical(lengths)
+    codes[order] = backwards(LEFT)[(np.cumsum(1 << LEFT - size) - (1 << LEFT - size)) & (1 << LEFT) - 1]
     return codes
 
 
@@ -101,6 +122,10 @@ class Bits:
         self.size += n
 
 
+#: The flat code for code lengths.
+FLAT = {s: int(f"{k:04b}"[::-1], 2) for k, s in enumerate([*range(13), 16, 17, 18])}
+
+
 def put_code(bits: Bits, lengths: np.ndarray) -> None:
     """A prefix code's description: simple for one or two symbols below 256, else run lengths under a flat 4-bit code."""
     used = np.flatnonzero(lengths).tolist() or [0]
@@ -111,30 +136,31 @@ def put_code(bits: Bits, lengths: np.ndarray) -> None:
         for s in used:
             bits.put(s, 8)
         return
-    bits.put(0, 1)
-    bits.put(12, 4)
-    for _ in range(16):
-        bits.put(4, 3)
-    bits.put(0, 1)
-    flat = {s: int(f"{k:04b}"[::-1], 2) for k, s in enumerate([*range(13), 16, 17, 18])}
+    own = Bits()
+    own.put(0, 1)
+    own.put(12, 4)
+    own.put(sum(4 << 3 * k for k in range(16)), 48)
+    own.put(0, 1)
     at, all_ = 0, lengths.tolist()
-    while at < len(all_):
-        if all_[at]:
-            bits.put(flat[all_[at]], 4)
+    for s in [*np.flatnonzero(lengths).tolist(), len(all_)]:
+        while at < s:
+            run = min(s - at, 138)
+            if run >= 11:
+                own.put(FLAT[18] | run - 11 << 4, 11)
+            elif run >= 3:
+                own.put(FLAT[17] | run - 3 << 4, 7)
+            else:
+                own.put(0, 4 * run)
+            at += run
+        if s < len(all_):
+            own.put(FLAT[all_[s]], 4)
             at += 1
-            continue
-        run = 1
-        while at + run < len(all_) and not all_[at + run] and run < 138:
-            run += 1
-        if run >= 11:
-            bits.put(flat[18], 4)
-            bits.put(run - 11, 7)
-        elif run >= 3:
-            bits.put(flat[17], 4)
-            bits.put(run - 3, 3)
-        else:
-            bits.put(0, 4 * run)
-        at += run
+    bits.put(own.value, own.size)
+
+
+def put_single(bits: Bits, symbol: int) -> None:
+    """The description of a code of one symbol below 256."""
+    bits.put(5 | symbol << 3, 11)
 
 
 def riff(data: bytes) -> bytes:
@@ -175,6 +201,7 @@ def prefixed(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(x < 4, x, 2 * high + (x >> np.maximum(n, 0) & 1)), x & (1 << n) - 1, n
 
 
+@functools.lru_cache
 def near_codes(width: int) -> dict[int, int]:
     """The short distance code of each distance that has one."""
     out: dict[int, int] = {}
@@ -186,26 +213,32 @@ def near_codes(width: int) -> dict[int, int]:
 def put_image(bits: Bits, flat: np.ndarray, width: int, alpha: int, found: list[tuple[int, int, int]]) -> bytes:
     """The picture's data: ``bits``, then the main image's codes and pixels, with back-references where ``found`` says so."""
     bits.put(0, 2)  # no cache, no groups
-    at, back, size = np.array(found, np.int64).reshape(-1, 3).T
-    copied = np.zeros(len(flat) + 1, np.int64)
-    np.add.at(copied, at, 1)
-    np.add.at(copied, at + size, -1)
-    start = np.zeros(len(flat), bool)
-    start[at] = True
-    token = np.flatnonzero((np.cumsum(copied)[:-1] == 0) | start)
-    copy = np.flatnonzero(start[token])
-    symbol = flat[token].astype(np.int64)
-    length, more, n_more = prefixed(size)
-    symbol[copy] = 256 + length
-    codes = near_codes(width) if found else {}
-    far, rest, n_rest = prefixed(np.array([codes.get(d, d + 120) for d in back.tolist()], np.int64))
-    lengths, of_far = code_lengths(np.bincount(symbol, minlength=280)), code_lengths(np.bincount(far, minlength=40)) if found else np.eye(40, dtype=np.int64)[0]
+    symbol = flat.astype(np.int64)
+    if found:
+        at, back, size = np.array(found, np.int64).T
+        copied = np.zeros(len(flat) + 1, np.int64)
+        np.add.at(copied, at, 1)
+        np.add.at(copied, at + size, -1)
+        start = np.zeros(len(flat), bool)
+        start[at] = True
+        token = np.flatnonzero((np.cumsum(copied)[:-1] == 0) | start)
+        copy = np.flatnonzero(start[token])
+        symbol = symbol[token]
+        length, more, n_more = prefixed(size)
+        symbol[copy] = 256 + length
+        codes = near_codes(width)
+        far, rest, n_rest = prefixed(np.array([codes.get(d, d + 120) for d in back.tolist()], np.int64))
+        of_far = code_lengths(np.bincount(far, minlength=40))
+    lengths = code_lengths(np.bincount(symbol, minlength=280))
     put_code(bits, lengths)
     for single in (0, 0, alpha):
-        put_code(bits, np.eye(256, dtype=np.int64)[single])
-    put_code(bits, of_far)
+        put_single(bits, single)
+    if found:
+        put_code(bits, of_far)
+    else:
+        put_single(bits, 0)
     fields = 4 if found else 1
-    n, value = np.zeros((2, len(token), fields), np.int64)
+    n, value = np.zeros((2, len(symbol), fields), np.int64)
     if np.count_nonzero(lengths) > 1:
         n[:, 0], value[:, 0] = lengths[symbol], reversed_codes(lengths)[symbol]
     if found:
@@ -267,7 +300,7 @@ def with_predictor(samples: np.ndarray) -> bytes:
     bits.put(7, 3)
     bits.put(0, 1)  # no cache; the modes' image: all are the row above, which takes no bits
     for single in (2, 0, 0, 255, 0):
-        put_code(bits, np.eye(280 if single == 2 else 256, dtype=np.int64)[single])
+        put_single(bits, single)
     bits.put(0, 1)
     rest = samples.copy()
     rest[1:] -= samples[:-1]
@@ -304,8 +337,7 @@ def write_payload(payload: bytes) -> bytes:
 
 class Reader:
     def __init__(self, data: bytes):
-        self.value, self.left, self.at = int.from_bytes(data, "little"), len(data) * 8, 0
-        self.data = data
+        self.data, self.left, self.at = data, len(data) * 8, 0
 
     def take(self, n: int) -> int:
         value = self.peek(n)
@@ -349,13 +381,24 @@ class Code:
             return np.full(1 << bits, self.one * 16, np.int32)
         if max(self.lengths) > bits:
             return None
-        out = np.zeros(1 << bits, np.int32)
-        for (n, code), s in self.found.items():
-            out[code :: 1 << n] = s * 16 + n
-        return out
+        order, size = canonical(np.array(self.lengths))
+        return np.repeat((order * 16 + size).astype(np.int32), 1 << bits - size)[backwards(bits)]
+
+
+@functools.lru_cache
+def single(symbol: int, size: int) -> Code:
+    return Code([int(s == symbol) for s in range(size)])
+
+
+@functools.lru_cache
+def of_lengths(order: tuple[int, ...]) -> list[int]:
+    """The table, for windows of 7 bits, of a code for code lengths."""
+    return Code(list(order)).table(7).tolist()
 
 
 def take_code(bits: Reader, size: int) -> Code:
+    if bits.peek(3) == 5 and bits.peek(11) >> 3 < size:
+        return single(bits.take(11) >> 3, size)
     lengths = [0] * size
     if bits.take(1):
         two, wide = bits.take(1), bits.take(1)
@@ -365,12 +408,14 @@ def take_code(bits: Reader, size: int) -> Code:
     order = [0] * 19
     for k in range(bits.take(4) + 4):
         order[LENGTH_ORDER[k]] = bits.take(3)
-    code = Code(order)
+    table = of_lengths(tuple(order))
     most = 2 + bits.take(2 + 2 * bits.take(3)) if bits.take(1) else size
     at, last = 0, 8
     while at < size and most:
         most -= 1
-        s = code.take(bits)
+        found = table[bits.peek(7)]
+        bits.take(found & 15)
+        s = found >> 4
         if s < 16:
             lengths[at] = s
             last, at = s or last, at + 1
@@ -615,14 +660,16 @@ def plain_code(bits: Reader) -> np.ndarray | None:
     return codes[0].table()
 
 
-def read_gray(datas: list[bytes]) -> list[np.ndarray]:
-    """The samples (rows) of many pictures' green channels."""
+def read_gray(datas: list[bytes], plainly: list[bool] | None = None) -> list[np.ndarray]:
+    """The samples (rows) of many pictures' green channels. ``plainly`` is told of each whether it was read as prefix codes alone."""
     out: list = [None] * len(datas)
     plain = []
     for k, data in enumerate(datas):
         bits = Reader(data)
         width, height = head(bits)
         table = plain_code(bits)
+        if plainly is not None:
+            plainly.append(table is not None)
         if table is None:
             out[k] = read_pixels(data)[..., 2].astype(np.uint8)
         else:
