@@ -174,3 +174,13 @@ def test_relayed_lines_pass_as_they_are(spark, text):
     none = messages.requests(spark.createDataFrame([], "session_id string, seq long, line string"), "stdio")
     got = messages.relayed(none, spark.createDataFrame([("s", 1, text)], "session_id string, seq long, response string")).first()
     assert (got.answer, got.tool, got.redactions) == (text, None, [])
+
+
+def test_json_is_redacted_in_pieces(spark):
+    """No more rows of a batch than a few are Python's at a time; rows, nulls and other columns stay."""
+    from wardline.functions import text as tx
+
+    rows = [(k, None if k % 7 == 0 else f'{{"a":["ssn 123-45-6789",{k}]}}' if k % 5 else f"no json {k} 123-45-6789") for k in range(3 * tx.ROWS + 5)]
+    df = spark.createDataFrame(rows, "k int, j string").coalesce(1)
+    want = {r.k: r.x for r in df.select("k", F.pandas_udf(tx.redacted_json, "string")("j").alias("x")).collect()}
+    assert {r.k: r.j for r in tx.with_redacted_json(df, "j").collect()} == want and want[1] == '{"a":["ssn [REDACTED-SSN]",1]}' and want[0] is None

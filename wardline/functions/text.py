@@ -7,7 +7,8 @@ import re
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,6 +90,25 @@ def redacted_json(values: pd.Series) -> pd.Series:
     return values.map(one)
 
 
+#: Rows of JSON that are held as Python's texts at a time.
+ROWS = 200
+
+
+def with_redacted_json(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with the text ``column`` redacted as ``redacted_json`` does. Of a batch, ``ROWS`` rows at a time are Python's texts, so that a worker's memory
+    does not grow with what batches hold."""
+    place = df.columns.index(column)
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, ROWS):
+                part = batch.slice(a, ROWS)
+                done = redacted_json(pd.Series(part.column(place).to_pylist(), dtype="object"))
+                yield part.set_column(place, part.schema.field(place), pa.array(done.tolist(), part.schema.field(place).type))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def redaction_counts(x: Column, kinds=PII) -> list[Column]:
     """How many matches of each kind the redaction of ``x`` replaces."""
     return [F.regexp_count(redacted(x, kinds[:k]), F.lit(DIALECT + p)).alias(label.lower()) for k, (label, p) in enumerate(kinds)]
