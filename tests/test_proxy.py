@@ -100,6 +100,18 @@ def test_discovery_fails_on_errors(spark):
     assert {r.id: r.args for r in scan.dynamic_payloads(tools).collect()} == {"dyn-cmd-t-cmd": {"cmd": c.PROBES["cmd"], "zeta": "test"}, "dyn-pi-t-zeta": {"zeta": c.PROBES["pi"]}}
 
 
+def test_defaults_are_worked_out_once(spark):
+    """What a row's schema says is parsed once, not for each property or once more for a filter; odd properties and needs don't matter."""
+    from wardline.queries import QUERIES
+
+    plan = QUERIES["fill_defaults"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert (plan.count("from_json("), plan.count("get_json_object(")) == (3, 3)  # tools, properties, needed
+    rows = [({"a": "1"}, ["a", "b", "c", "d"], ["c", None, "b", "x"]), (None, ["a"], ["a"]), ({"a": "1"}, None, ["a"]), ({"a": None}, ["a", None, "d"], None), ({"x": None}, ["a", None, "d"], [None, "d"]), ({}, [], [])]
+    df = spark.createDataFrame(rows, "a map<string,string>, p array<string>, n array<string>").coalesce(1)
+    got = [r.x for r in df.select(scan.with_defaults(F.col("a"), F.col("p"), F.col("n")).alias("x")).collect()]
+    assert got == [{"a": "1", "b": "test", "c": "test"}, None, None, {"a": None}, {"x": None, "d": "test"}, {}]
+
+
 def test_configuration_and_access(spark):
     assert [proxy.upstream_error(*x) for x in (("u", None), (None, "c"), ("u", "c"), (None, ""))] == [None, None, 503, 503]
     row = spark.range(1).select(proxy.authorised(F.lit("POST"), F.lit(None), None).alias("open"), proxy.authorised(F.lit("POST"), F.lit(None).cast("string"), "t").alias("shut"), proxy.route(F.lit(None).cast("string")).alias("route"))

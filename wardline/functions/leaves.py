@@ -149,11 +149,11 @@ def _walked(s: Column, x: Column) -> Column:
         .when(first == ".", _state(around, x["mark"], pos, _VALUES))
         .when(first == "{", _state(inner, F.lit(""), F.lit(-1), ".}"))
         .when(first == "[", _state(inner, F.lit("[0]"), F.lit(0), _VALUES + "]"))
-        .otherwise(_bound(back.otherwise(F.struct(F.lit(-1).alias("pos"), F.lit(_IN_OBJECT).alias("may"))), lambda b: _state(rest, outside, b["pos"], b["may"])))
+        .otherwise(bound(back.otherwise(F.struct(F.lit(-1).alias("pos"), F.lit(_IN_OBJECT).alias("may"))), lambda b: _state(rest, outside, b["pos"], b["may"])))
     )
 
 
-def _bound(x: Column, f) -> Column:
+def bound(x: Column, f) -> Column:
     """``f(x)``, where ``x`` is worked out once."""
     return F.transform(F.array(x), f)[0]
 
@@ -186,7 +186,7 @@ def leaves_where(json: Column, root: Column | str, wanted, scalars: bool = False
         leaf = string | token.rlike(_SCALAR)
         key = F.translate(_unquoted(F.regexp_replace(token, r"\s*:$", "")), _BETWEEN, "�")
         mark = F.when(string, "v").when(token.isin("{", "}", "[", "]", ","), token).when(token.endswith(":"), F.concat(F.lit("."), key)).when(leaf, "v").otherwise("?")
-        return _bound(F.when(leaf if scalars else string, as_text(token)), lambda said: F.struct(mark.alias("mark"), F.when(wanted(said), said).alias("said")))
+        return bound(F.when(leaf if scalars else string, as_text(token)), lambda said: F.struct(mark.alias("mark"), F.when(wanted(said), said).alias("said")))
 
     def any_in(run):
         return F.exists(run, lambda x: x["said"].isNotNull())
@@ -202,17 +202,17 @@ def leaves_where(json: Column, root: Column | str, wanted, scalars: bool = False
 
     def split(run, start):
         short = lambda runs: F.flatten(F.zip_with(runs, _starts(runs, start)["starts"], leaves))
-        return F.when(any_in(run), _bound(_runs(run, RUNS[1]), short)).otherwise(none)
+        return F.when(any_in(run), bound(_runs(run, RUNS[1]), short)).otherwise(none)
 
     def of(runs):
         done = lambda a: F.when((a["s"]["pos"] == -2) & (a["s"]["may"] == _NOTHING), F.flatten(F.zip_with(runs, a["starts"], split)))
-        return _bound(_starts(runs, _state(F.lit(""), F.lit(""), F.lit(-2), _VALUES)), done)
+        return bound(_starts(runs, _state(F.lit(""), F.lit(""), F.lit(-2), _VALUES)), done)
 
     opened = F.coalesce(json.rlike(r"^\s*[{\[]"), F.lit(False))
     text = F.when(opened, json)
     whole = F.regexp_replace(text, rf"(?:{_TOKENS}|\s)", "") == ""
     tokens = F.transform(F.regexp_extract_all(text, F.lit(_TOKENS), F.lit(0)), read)
-    return F.when(opened & whole, _bound(tokens, lambda x: _bound(_runs(x, RUNS[0]), of)))
+    return F.when(opened & whole, bound(tokens, lambda x: bound(_runs(x, RUNS[0]), of)))
 
 
 def string_leaves(json: Column, root: Column | str) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalogue import BASE64, BODY_NAMES, COMMAND_NAMES, FILES, GENERATED, HINTS, KEYWORDS, PATH_NAMES, PROBES, REDACTED, TOOLS, payload_rows
+from ..functions.leaves import bound
 from ..functions.names import free
 from ..functions.text import escaped, matches, normalised_tool, redacted
 
@@ -115,13 +116,14 @@ def tools(spark: SparkSession) -> DataFrame:
 def discovered(responses: DataFrame, body: str = "body") -> DataFrame:
     """name and schema (JSON) of the tools with a name that responses list, in order, beside the other columns; an answer with an error or without a list fails the job."""
     v = F.try_parse_json(body)
-    error, listed = F.try_variant_get(v, "$.error", "string"), F.try_variant_get(v, "$.result.tools", "variant")
-    fine = ~F.coalesce(error, F.lit("")).isin("", "false", "0", "{}", "[]") | ~F.coalesce(F.schema_of_variant(listed).startswith("ARRAY"), F.lit(False))
-    text = F.when(fine, F.raise_error(F.lit("no list of tools"))).otherwise(F.get_json_object(body, "$.result.tools"))
-    one = F.explode(F.from_json(text, "array<struct<name variant, inputSchema string>>"))
+    error, listed = F.try_variant_get(v, "$.error", "string"), F.try_variant_get(v, "$.result.tools", "array<variant>")
+    wrong = ~F.coalesce(error, F.lit("")).isin("", "false", "0", "{}", "[]") | listed.isNull()
+    text = F.when(wrong, F.raise_error(F.lit("no list of tools"))).otherwise(F.get_json_object(body, "$.result.tools"))
     kept = responses.drop(body, "name", "schema")
-    (t,) = free(kept, "t")
-    named = responses.select(*kept.columns, one.alias(t)).where(F.schema_of_variant(f"{t}.name") == "STRING")
+    t, listing = free(kept, "t", "listing")
+    # the text is a column of its own, where the body is parsed once for both conditions; in a generator it would be for each
+    one = F.explode(F.from_json(listing, "array<struct<name variant, inputSchema string>>"))
+    named = responses.select(*kept.columns, text.alias(listing)).select(*kept.columns, one.alias(t)).where(F.schema_of_variant(f"{t}.name") == "STRING")
     return named.select(*kept.columns, F.try_variant_get(f"{t}.name", "$", "string").alias("name"), F.col(f"{t}.inputSchema").alias("schema"))
 
 
@@ -140,9 +142,13 @@ def required(schema: Column) -> Column:
 
 
 def with_defaults(args: Column, properties: Column, needed: Column) -> Column:
-    """``args`` and, for each property that is needed and not there, the value test."""
-    lacking = F.filter(properties, lambda p: F.array_contains(needed, p) & ~F.map_contains_key(args, p))
-    return F.map_concat(args, F.map_from_arrays(lacking, F.transform(lacking, lambda _: F.lit("test"))))
+    """``args`` and, for each property that is needed and not there, the value test. All three are worked out once a row, whatever they are made of."""
+
+    def filled(x):
+        lacking = F.filter(x["properties"], lambda p: F.array_contains(x["needed"], p) & ~F.map_contains_key(x["args"], p))
+        return F.map_concat(x["args"], F.map_from_entries(F.transform(lacking, lambda p: F.struct(p, F.lit("test")))))
+
+    return bound(F.struct(args.alias("args"), properties.alias("properties"), needed.alias("needed")), filled)
 
 
 def dynamic_payloads(catalogue: DataFrame) -> DataFrame:

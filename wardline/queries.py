@@ -702,8 +702,9 @@ def dynamic_probe_dedupe(spark, d):
 
 @query(f"WITH {LISTS} SELECT event_id, name, 'text' AS p, 'given' AS value FROM seen UNION ALL SELECT event_id, name, 'tag', 'test' FROM seen WHERE starts_with(name, 'write_note_')")
 def fill_defaults(spark, d):
-    x = listed(spark, d).select("event_id", "name", scan.with_defaults(F.create_map(F.lit("text"), F.lit("given")), scan.string_properties(F.col("schema")), scan.required(F.col("schema"))).alias("args"))
-    return x.select("event_id", "name", F.explode("args").alias("p", "value"))
+    x = listed(spark, d).select("event_id", "name", scan.string_properties(F.col("schema")).alias("properties"), scan.required(F.col("schema")).alias("needed"))
+    # not a column of its own: Spark would filter by its size, with all that it is made of once more
+    return x.select("event_id", "name", F.explode(scan.with_defaults(F.create_map(F.lit("text"), F.lit("given")), F.col("properties"), F.col("needed"))).alias("p", "value"))
 
 
 @query(f"{DYNAMIC}, {PAY} SELECT id || '-' || event_id AS id FROM events JOIN payloads ON event_id % {len(c.PAYLOADS)} = payloads.ord UNION ALL SELECT 'dyn-' || kind || '-' || name || '-' || p FROM dyn")
