@@ -184,3 +184,19 @@ def test_json_is_redacted_in_pieces(spark):
     df = spark.createDataFrame(rows, "k int, j string").coalesce(1)
     want = {r.k: r.x for r in df.select("k", F.pandas_udf(tx.redacted_json, "string")("j").alias("x")).collect()}
     assert {r.k: r.j for r in tx.with_redacted_json(df, "j").collect()} == want and want[1] == '{"a":["ssn [REDACTED-SSN]",1]}' and want[0] is None
+
+
+def test_messages_are_parsed_once(spark):
+    """Whether a line has an id is not asked by a filter, which Spark copies, with the parsing, to where lines are read; what waits for nothing is not shuffled."""
+    from wardline.queries import QUERIES
+
+    plan = QUERIES["messages_relayed"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson(") == 3  # requests, responses with an id and those without
+    line = '{"jsonrpc":"2.0","id":%s,"method":"tools/call","params":{"name":"shell_exec","arguments":{"command":"ls"}}}'
+    handled = messages.requests(spark.createDataFrame([("s", 1, line % 1), ("s", 2, line % "null"), ("s", 3, "no message"), (None, 4, line % 2)], "session_id string, seq long, line string"), "stdio")
+    answer = '{"jsonrpc":"2.0","id":%s,"result":{"x":"' + SSN + '"}}'
+    rows = [("s", 5, answer % 1), ("s", 6, answer % "null"), ("s", 7, "no message"), ("s", 8, None), ("s", 9, answer % 1), (None, 10, answer % 2), ("s", 11, '{"id":1,"method":"m"}')]
+    got = {r.seq: r for r in messages.relayed(handled, spark.createDataFrame(rows, "session_id string, seq long, response string")).collect()}
+    assert {k: (r.session_id, r.id, r.tool, len(r.redactions)) for k, r in got.items()} == {
+        5: ("s", "1", "shell_exec", 1), 6: ("s", None, None, 0), 7: ("s", None, None, 0), 8: ("s", None, None, 0), 9: ("s", "1", None, 0), 10: (None, "2", "shell_exec", 1), 11: ("s", None, None, 0)}
+    assert {k: r.answer for k, r in got.items()} == {k: x if k not in (5, 10) else x.replace(SSN, "ssn [REDACTED-SSN]") for _, k, x in rows}

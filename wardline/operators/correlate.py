@@ -19,12 +19,13 @@ def first_responses(responses: DataFrame) -> DataFrame:
 def _timeline(requests: DataFrame, responses: DataFrame, waits: Column | None = None) -> DataFrame:
     """Requests and responses of each (session, id) in one order, with the seq of the last of either kind before each.
 
-    Without ``seq``, requests come before responses. One shuffle, by (session, id), for both. Requests for which ``waits`` isn't true are neither.
+    Without ``seq``, requests come before responses. One shuffle, by (session, id), for both. Requests for which ``waits`` isn't true are left out.
     """
     def part(df, asks):
         seq = F.col("seq").cast("long") if "seq" in df.columns else F.lit(0 if asks else 1).cast("long")
         text, error = (F.lit(None).cast("string") if asks or c not in df.columns else F.col(c).cast("string") for c in ("text", "error"))
-        return df.select(*KEY, seq.alias("seq"), (F.when(waits, True) if asks and waits is not None else F.lit(asks)).alias("asks"), (F.col("tool") if asks else F.lit(None).cast("string")).alias("tool"), text.alias("text"), error.alias("error"))
+        rows = [*map(F.col, KEY), seq.alias("seq"), F.lit(asks).alias("asks"), (F.col("tool") if asks else F.lit(None).cast("string")).alias("tool"), text.alias("text"), error.alias("error")]
+        return df.select(F.inline(F.when(waits, F.array(F.struct(*rows))))) if asks and waits is not None else df.select(*rows)
 
     w = Window.partitionBy(*KEY).orderBy("seq", F.col("asks").desc())
     before = w.rowsBetween(Window.unboundedPreceding, -1)
@@ -37,7 +38,7 @@ def met(requests: DataFrame, responses: DataFrame, waits: Column | None = None)
     """session_id, id, seq, tool, text and error of ``responses``, with the tool of the request that each answers: the last one of its
     (session, id) before it (by seq), unless another response has taken that already.
 
-    ``waits``: a condition on requests that others don't meet. It is a column of the shuffle, since a filter on what is costly to know would be
+    ``waits``: a condition on requests that others don't meet. It generates a row or none, since a filter on what is costly to know would be
     copied, with all it is made of, to where the requests are read."""
     t = _timeline(requests, responses, waits).where(~F.col("asks"))
     waiting = F.col("_asked").isNotNull() & (F.col("_answered").isNull() | (F.col("_answered") <= F.col("_asked.seq")))
